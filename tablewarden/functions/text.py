@@ -29,8 +29,12 @@ def casefold_tokens(c: Column, pattern: str = WORD) -> Column:
     return F.array_distinct(tokens(c, pattern))
 
 
-def hit_ratio(words: Column, vocabulary: list[str]) -> Column:
-    """Share of ``words`` that occur in ``vocabulary``; 0 for an empty list of words."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    hits = F.size(F.filter(words, lambda w: F.array_contains(known, w)))
-    return F.coalesce(F.try_divide(hits.cast("double"), F.size(words)), F.lit(0.0))
+def word_count(c: Column, pattern: str = WORD) -> Column:
+    """Number of words of a text."""
+    return F.regexp_count(F.lower(c), F.lit(pattern))
+
+
+def hit_count(c: Column, vocabulary: list[str]) -> Column:
+    """How many words of a text belong to ``vocabulary``: one pass of a pattern, no array of words is built."""
+    letters = WORD.removesuffix("+")
+    return F.regexp_count(F.lower(c), F.lit(f"(?<!{letters})(?:{'|'.join(vocabulary)})(?!{letters})"))

@@ -50,7 +50,7 @@ def unbalanced_brackets(col: str, issue_type: str = "format_violation") -> Rule:
 
 def truncated_code(col: str, issue_type: str = "format_violation") -> Rule:
     """Code whose last line opens something or ends in an operator, or whose brackets stay open."""
-    last = F.regexp_extract(strip(F.col(col)), r"([^\n]*)$", 1)
+    last = F.substring_index(strip(F.col(col)), "\n", -1)
     bare = bare_code(strip(F.col(col)))
     opens = sum((_count(bare, a) - _count(bare, b) for a, b in ("()", "[]", "{}")), F.lit(0)) > 0
     dangling = last.rlike(r"([-+*/=,(\[{&|]|\b(and|or|not|in|return|if|else|elif|for|while|def)|:)\s*$")

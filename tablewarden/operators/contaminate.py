@@ -17,8 +17,9 @@ from ..functions.draws import draw, picked
 from ..functions.numbers import as_number
 from ..functions.text import strip
 
-# (cell text, row id, seed, column name) -> new cell text; NULL means the rule cannot apply to this cell.
-Rewrite = Callable[[Column, Column, int, str], Column]
+# (cell text, luck) -> new cell text; NULL means the rule cannot apply to this cell.  ``luck`` is a BIGINT drawn for
+# this fault and row, the only source of chance a rule may use.
+Rewrite = Callable[[Column, Column], Column]
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,11 @@ class FaultRule:
 NOT_NUMBERS = ["not-a-number", "N/A", "null", "undefined"]
 
 
-def _pick(row: Column, col: str, seed: int, n: int | Column, label: str) -> Column:
-    return F.pmod(draw(row, f"{label}:{col}", seed), n if isinstance(n, Column) else F.lit(n)).cast("int")
+def _text_for_number(v: Column, luck: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in NOT_NUMBERS]), (luck % len(NOT_NUMBERS) + 1).cast("int"))
 
 
-def _text_for_number(v, row, seed, col):
-    return F.element_at(F.array(*[F.lit(x) for x in NOT_NUMBERS]), _pick(row, col, seed, len(NOT_NUMBERS), "text") + 1)
-
-
-def _negative(v, row, seed, col):
+def _negative(v: Column, luck: Column) -> Column:
     """Minus the absolute value; a blank cell becomes -1; text that is no number is left alone."""
     n = as_number(v)
     shown = F.when(n == F.floor(n), F.concat((-F.abs(n)).cast("decimal(38,0)").cast("string"), F.lit(".0")))
@@ -51,63 +48,63 @@ def _negative(v, row, seed, col):
     return F.when(v.isNull() | (v == ""), F.lit("-1")).when(n.isNotNull(), shown)
 
 
-def _typo(v, row, seed, col):
+def _typo(v: Column, luck: Column) -> Column:
     """Drop, double or swap one letter at a drawn place."""
-    at = _pick(row, col, seed, F.greatest(F.length(v) - 1, F.lit(1)), "place") + 1
-    kind = _pick(row, col, seed, 3, "kind")
-    head, here, rest = F.substring(v, F.lit(1), at - 1), F.substring(v, at, F.lit(1)), F.substring(v, at + 1, F.length(v))
-    swapped = F.concat(head, F.substring(v, at + 1, F.lit(1)), here, F.substring(v, at + 2, F.length(v)))
-    made = F.when(kind == 0, F.concat(head, rest)).when(kind == 1, F.concat(head, here, here, rest)).otherwise(swapped)
-    made = F.when(made == v, F.concat(head, here, here, rest)).otherwise(made)
-    return F.when(F.length(v) >= 2, made)
+    at = (luck % F.greatest(F.length(v) - 1, F.lit(1)) + 1).cast("int")
+    kind = F.floor(luck / 65536) % 3
+    pair = F.substring(v, at, F.lit(2))
+    a, b = F.left(pair, F.lit(1)), F.substring(pair, 2, 1)
+    doubled = F.concat(a, pair)
+    made = F.when(kind == 0, b).when((kind == 1) | (a == b), doubled).otherwise(F.concat(b, a))
+    return F.when(F.length(v) >= 2, F.concat(F.substring(v, F.lit(1), at - 1), made, F.substring(v, at + 2, F.length(v))))
 
 
 def _date_layout(layout: str) -> Rewrite:
-    return lambda v, row, seed, col: F.date_format(F.try_to_timestamp(F.substring(v, 1, 10), F.lit("yyyy-MM-dd")), layout)
+    return lambda v, luck: F.date_format(F.try_to_timestamp(F.substring(v, 1, 10), F.lit("yyyy-MM-dd")), layout)
 
 
-def _letter_for_digit(v, row, seed, col):
+def _letter_for_digit(v: Column, luck: Column) -> Column:
     return F.when(v.contains("0"), F.translate(v, "0", "O"))
 
 
-def _extra_decimal(v, row, seed, col):
+def _extra_decimal(v: Column, luck: Column) -> Column:
     return F.when(v.rlike(r"^[+-]?[0-9]+\.[0-9]{2}$"), F.concat(v, F.lit("9")))
 
 
-def _flip_flag(v, row, seed, col):
+def _flip_flag(v: Column, luck: Column) -> Column:
     return F.when(strip(v) == "0", "1").when(strip(v) == "1", "0")
 
 
 def scaled(factor: float, places: int = 2) -> Rewrite:
     """Multiply a number, which breaks a sum, a ratio or a range."""
-    return lambda v, row, seed, col: (as_number(v) * F.lit(factor)).cast(f"decimal(38,{places})").cast("string")
+    return lambda v, luck: (as_number(v) * F.lit(factor)).cast(f"decimal(38,{places})").cast("string")
 
 
 def cut_short(share: float) -> Rewrite:
     """Keep only the first part of a text."""
-    return lambda v, row, seed, col: F.when(
+    return lambda v, luck: F.when(
         F.length(v) > 1, F.substring(v, F.lit(1), F.greatest(F.floor(F.length(v) * share).cast("int"), F.lit(1)))
     )
 
 
 def prefixed(marker: str) -> Rewrite:
-    return lambda v, row, seed, col: F.concat(F.lit(marker), v)
+    return lambda v, luck: F.concat(F.lit(marker), v)
 
 
 def constant(value: str) -> Rewrite:
-    return lambda v, row, seed, col: F.lit(value)
+    return lambda v, luck: F.lit(value)
 
 
 def shifted_time(days: int) -> Rewrite:
     """Move a timestamp text by whole days."""
     fmt = "yyyy-MM-dd'T'HH:mm:ss"
-    return lambda v, row, seed, col: F.date_format(
+    return lambda v, luck: F.date_format(
         F.try_to_timestamp(v, F.lit(fmt)) + F.make_interval(days=F.lit(days)), fmt
     )
 
 
 def renamed_key(old: str, new: str) -> Rewrite:
-    return lambda v, row, seed, col: F.when(
+    return lambda v, luck: F.when(
         v.contains(f'"{old}"'), F.replace(v, F.lit(f'"{old}"'), F.lit(f'"{new}"'))
     )
 
@@ -115,7 +112,7 @@ def renamed_key(old: str, new: str) -> Rewrite:
 def dropped_key(key: str) -> Rewrite:
     """Take a key out of a JSON object; the other members keep their types."""
     as_map = lambda v: F.try_parse_json(v).try_cast("map<string,variant>")
-    return lambda v, row, seed, col: F.when(
+    return lambda v, luck: F.when(
         v.contains(f'"{key}"'), F.to_json(F.map_filter(as_map(v), lambda k, x: k != key))
     )
 
@@ -124,7 +121,7 @@ def added_key(key: str, json_value: str) -> Rewrite:
     """Append a member to a JSON object text."""
     member = f'"{key}": {json_value}}}'
 
-    def rewrite(v, row, seed, col):
+    def rewrite(v: Column, luck: Column) -> Column:
         t = strip(v)
         body = F.regexp_replace(t, r"\s*\}$", "")
         glue = F.when(body == "{", F.lit("")).otherwise(F.lit(", "))
@@ -136,14 +133,14 @@ def added_key(key: str, json_value: str) -> Rewrite:
 def retyped_key(key: str, json_value: str) -> Rewrite:
     """Replace the scalar value of a JSON member."""
     pattern = rf'("{key}"\s*:\s*)("[^"]*"|[-+0-9.eE]+|true|false|null)'
-    return lambda v, row, seed, col: F.when(
+    return lambda v, luck: F.when(
         v.rlike(pattern), F.regexp_replace(v, pattern, "$1" + json_value.replace("\\", "\\\\").replace("$", "\\$"))
     )
 
 
 RULES: dict[str, FaultRule] = {
-    "missing_value": FaultRule(lambda v, r, s, c: F.lit(""), "missing_value", 1.0, "Empty {col} field"),
-    "whitespace_value": FaultRule(lambda v, r, s, c: F.lit(" "), "missing_value", 2.5, "Whitespace-only {col} field"),
+    "missing_value": FaultRule(lambda v, luck: F.lit(""), "missing_value", 1.0, "Empty {col} field"),
+    "whitespace_value": FaultRule(lambda v, luck: F.lit(" "), "missing_value", 2.5, "Whitespace-only {col} field"),
     "wrong_type_text": FaultRule(_text_for_number, "wrong_type", 1.0, "{col} is text instead of expected type"),
     "negative_value": FaultRule(_negative, "out_of_range", 1.0, "Negative {col}"),
     "typo": FaultRule(_typo, "format_violation", 1.0, "{col} is misspelled"),
@@ -212,11 +209,13 @@ def contaminate(
             chosen = picked(row, f"{i}:{fault.col}", fault.rate, seed)
         if fault.where is not None:
             chosen = chosen & fault.where
-        made = rule.rewrite(F.col(fault.col), row, seed, fault.col)
-        new = f"__new_{i}"
-        # The new value is computed once; where the rule cannot apply it is NULL and the cell keeps its value.
-        work = work.withColumn(new, F.when(chosen, made)).withColumn(
-            fault.col, F.coalesce(F.col(new), F.col(fault.col))
+        new, luck = f"__new_{i}", f"__luck_{i}"
+        made = rule.rewrite(F.col(fault.col), F.col(luck))
+        # Draw, new value and cell are computed once each, one projection upon the other; where the rule cannot apply
+        # the new value is NULL and the cell keeps what it has.
+        work = (
+            work.withColumn(luck, draw(row, f"value:{i}:{fault.col}", seed)).withColumn(new, F.when(chosen, made))
+            .withColumn(fault.col, F.coalesce(F.col(new), F.col(fault.col)))
         )
         difficulty = rule.difficulty if fault.difficulty is None else fault.difficulty
         description = (fault.description or rule.description).replace("{col}", fault.col)

@@ -25,21 +25,19 @@ def _pieces(word: Column, k: int) -> Column:
     ])
 
 
-def _probes(value: Column, k: int) -> Column:
-    """Every place where a value can hold a piece of a dictionary word of similar length."""
-    made = []
-    for d in range(-k, k + 1):
-        n = F.length(value) + d
-        for i in range(k + 1):
-            start = F.floor(n * i / (k + 1)).cast("int")
-            size = F.floor(n * (i + 1) / (k + 1)).cast("int") - start
-            for shift in range(-k, k + 1):
-                at = start + shift
-                made.append(F.when(
-                    (n > 0) & (at >= 0) & (at + size <= F.length(value)),
-                    F.struct(n.alias("n"), F.lit(i).alias("i"), F.substring(value, at + 1, size).alias("piece")),
-                ))
-    return F.array_distinct(F.array(*made))
+def _probes(values: DataFrame, k: int) -> DataFrame:
+    """Every place where a value can hold a piece of a dictionary word of similar length: ``v, n, i, piece``."""
+    ways = F.array(*[
+        F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+        for d in range(-k, k + 1) for i in range(k + 1) for shift in range(-k, k + 1)
+    ])
+    laid = values.select("v", F.explode(ways).alias("w")).select("v", "w.*").withColumn("n", F.length("v") + F.col("d"))
+    start = F.floor(F.col("n") * F.col("i") / (k + 1)).cast("int")
+    size = F.floor(F.col("n") * (F.col("i") + 1) / (k + 1)).cast("int") - start
+    placed = laid.withColumn("at", start + F.col("shift")).withColumn("size", size)
+    return placed.where("n > 0 AND at >= 0 AND at + size <= length(v)").select(
+        "v", "n", "i", F.substring("v", F.col("at") + 1, F.col("size")).alias("piece")
+    ).distinct()
 
 
 def near_words(values: DataFrame, value: str, words: DataFrame, word: str, max_distance: int = 2) -> DataFrame:
@@ -50,7 +48,7 @@ def near_words(values: DataFrame, value: str, words: DataFrame, word: str, max_d
     w = words.select(strip(F.col(word)).alias("w")).where("w IS NOT NULL AND w <> ''").distinct()
     v = values.select(strip(F.col(value)).alias("v")).where("v IS NOT NULL AND v <> ''").distinct()
     unknown = v.join(w, v["v"] == w["w"], "left_anti")
-    probes = unknown.select("v", F.explode(_probes(F.col("v"), max_distance)).alias("p")).where("p IS NOT NULL").select("v", "p.*")
+    probes = _probes(unknown, max_distance)
     pieces = w.select("w", F.explode(_pieces(F.col("w"), max_distance)).alias("p")).select("w", "p.*")
     pairs = probes.join(pieces, ["n", "i", "piece"]).select("v", "w").distinct()
     near = pairs.withColumn("d", F.levenshtein("v", "w", max_distance)).where("d >= 1")

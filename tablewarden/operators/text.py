@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import as_number
-from ..functions.text import casefold_tokens, hit_ratio, is_blank, strip, tokens
+from ..functions.text import casefold_tokens, hit_count, is_blank, strip, word_count
 from .rules import Rule
 
 # Markers of leaked instructions.
@@ -65,18 +65,28 @@ def truncated(col: str, issue_type: str = "missing_value") -> Rule:
                 observed=F.right(strip(c), F.lit(20)))
 
 
-def guess_language(text: Column, min_words: int = 5, min_share: float = 0.05) -> Column:
-    """Language whose function words make up the largest share of a text; NULL when too short or unclear."""
-    words = tokens(text)
-    scored = [F.struct(hit_ratio(words, w).alias("share"), F.lit(lang).alias("lang")) for lang, w in STOP_WORDS.items()]
-    best = F.greatest(*scored)
-    return F.when((F.size(words) >= min_words) & (best["share"] >= min_share), best["lang"])
+def with_language(
+    df: DataFrame, col: str, out: str = "guessed_lang", min_words: int = 5, min_share: float = 0.05
+) -> DataFrame:
+    """Add the language whose function words make up the largest share of a text; NULL when too short or unclear.
+
+    Words are counted in one projection and compared in the next, so every pattern passes over the text once.
+    """
+    text = F.col(col)
+    counted = df.withColumn("__n", word_count(text)).withColumn(
+        "__hits", F.struct(*[hit_count(text, words).alias(lang) for lang, words in STOP_WORDS.items()])
+    )
+    shares = [
+        F.struct((F.col(f"__hits.{lang}") / F.col("__n")).alias("share"), F.lit(lang).alias("lang")) for lang in STOP_WORDS
+    ]
+    ranked = counted.withColumn("__best", F.when(F.col("__n") > 0, F.greatest(*shares)))
+    clear = (F.col("__n") >= min_words) & (F.col("__best.share") >= min_share)
+    return ranked.withColumn(out, F.when(clear, F.col("__best.lang"))).drop("__n", "__hits", "__best")
 
 
-def language_mismatch(col: str, declared: str | Column, min_words: int = 5, min_share: float = 0.05) -> Rule:
-    """Text whose function words belong to another language than the declared one."""
-    lang = F.col(declared) if isinstance(declared, str) else declared
-    guess = guess_language(F.col(col), min_words, min_share)
+def language_mismatch(col: str, declared: str | Column, guessed: str = "guessed_lang") -> Rule:
+    """Text of another language than the declared one; ``guessed`` comes from :func:`with_language`."""
+    lang, guess = F.col(declared) if isinstance(declared, str) else declared, F.col(guessed)
     return Rule(f"language_mismatch:{col}", col, "inconsistent_value", guess != lang, observed=guess, expected=lang)
 
 

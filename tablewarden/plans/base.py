@@ -57,19 +57,19 @@ def s_money(c: str) -> str:
     return f"CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR)"
 
 
-def s_typo(c: str, row: str, col: str, seed: int = 42) -> str:
-    at = f"({s_draw(row, f'place:{col}', seed)} % greatest(length({c}) - 1, 1) + 1)"
-    kind = f"({s_draw(row, f'kind:{col}', seed)} % 3)"
-    head, here = f"substr({c}, 1, {at} - 1)", f"substr({c}, {at}, 1)"
-    rest, after = f"substr({c}, {at} + 1)", f"substr({c}, {at} + 2)"
+def s_luck(row: str, col: str, fault: int = 0, seed: int = 42) -> str:
+    return s_draw(row, f"value:{fault}:{col}", seed)
+
+
+def s_typo(c: str, row: str, col: str, fault: int = 0) -> str:
+    luck = s_luck(row, col, fault)
+    at = f"({luck} % greatest(length({c}) - 1, 1) + 1)"
+    a, b = f"substr({c}, {at}, 1)", f"substr({c}, {at} + 1, 1)"
     made = (
-        f"CASE {kind} WHEN 0 THEN {head} || {rest} WHEN 1 THEN {head} || {here} || {here} || {rest} "
-        f"ELSE {head} || substr({c}, {at} + 1, 1) || {here} || {after} END"
-    )
-    return (
-        f"(CASE WHEN length({c}) >= 2 THEN CASE WHEN ({made}) = {c} THEN {head} || {here} || {here} || {rest} "
-        f"ELSE {made} END END)"
+        f"CASE WHEN {luck} // 65536 % 3 = 0 THEN {b} WHEN {luck} // 65536 % 3 = 1 OR {a} = {b} THEN {a} || {a} || {b} "
+        f"ELSE {b} || {a} END"
     )
+    return f"(CASE WHEN length({c}) >= 2 THEN substr({c}, 1, {at} - 1) || {made} || substr({c}, {at} + 2) END)"
 
 
 def s_spoilt(c: str, chosen: str, new: str) -> str:

@@ -13,7 +13,7 @@ from ..operators import keyed, ordered, relations, rules, spelling, statistics
 from ..operators.contaminate import Fault, append_copies, contaminate, copy_from_donor, scaled, shifted_time
 from ..operators.score import confusion, precision_recall, weighted_score
 from .base import (
-    findings, query, s_blank, s_draw, s_finding, s_money, s_number, s_picked, s_spoilt, s_typo, table,
+    findings, query, s_blank, s_finding, s_luck, s_money, s_number, s_picked, s_spoilt, s_typo, table,
 )
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -128,7 +128,7 @@ _WORDS = "['not-a-number', 'N/A', 'null', 'undefined']"
 
 @query("wrong_type", f"""
 WITH a AS (SELECT o_orderkey, {s_spoilt(s_money('o_totalprice'), _O_TEXT,
-           f"{_WORDS}[{s_draw('o_orderkey', 'text:o_totalprice')} % 4 + 1]")} AS v FROM orders),
+           f"{_WORDS}[{s_luck('o_orderkey', 'o_totalprice')} % 4 + 1]")} AS v FROM orders),
 b AS (SELECT o_orderkey, {s_spoilt('v', _O_LETTER, "CASE WHEN contains(v, '0') THEN replace(v, '0', 'O') END")} AS v FROM a)
 SELECT {s_finding('o_orderkey', 'o_totalprice', 'wrong_type', 'v AS observed')} FROM b
 WHERE NOT {s_blank('v')} AND {s_number('v')} IS NULL
@@ -570,8 +570,8 @@ def dirty_orders(spark, sf):
 _K = "o_orderkey"
 DIRTY_ORDERS_SQL = f"""
 o1 AS (SELECT {_K}, {s_spoilt('o_orderstatus', s_picked(_K, '0:o_orderstatus', 0.01), "''")} AS o_orderstatus,
-  {s_spoilt(s_money('o_totalprice'), s_picked(_K, '1:o_totalprice', 0.01), f"{_WORDS}[{s_draw(_K, 'text:o_totalprice')} % 4 + 1]")} AS p,
-  {s_spoilt('o_orderpriority', s_picked(_K, '3:o_orderpriority', 0.01), s_typo('o_orderpriority', _K, 'o_orderpriority'))} AS o_orderpriority,
+  {s_spoilt(s_money('o_totalprice'), s_picked(_K, '1:o_totalprice', 0.01), f"{_WORDS}[{s_luck(_K, 'o_totalprice', 1)} % 4 + 1]")} AS p,
+  {s_spoilt('o_orderpriority', s_picked(_K, '3:o_orderpriority', 0.01), s_typo('o_orderpriority', _K, 'o_orderpriority', 3))} AS o_orderpriority,
   {s_spoilt(_ISO, s_picked(_K, '4:o_orderdate', 0.01), "strftime(o_orderdate, '%m-%d-%Y')")} AS o_orderdate FROM orders),
 dirty AS (SELECT * EXCLUDE (p), {s_spoilt('p', s_picked(_K, '2:o_totalprice', 0.01), "CASE WHEN regexp_matches(p, '^[+-]?[0-9]+[.][0-9]{2}$') THEN p || '9' END")} AS o_totalprice FROM o1),
 found AS (
