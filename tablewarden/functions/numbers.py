@@ -14,8 +14,10 @@ from .text import strip
 # The accepted spellings of a number, as anchored patterns.
 _DIGITS = "[0-9]+(_[0-9]+)*"
 FINITE = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
-INFINITE = "(?i)^[+-]?(inf|infinity)$"
-NOT_A_NUMBER = "(?i)^[+-]?nan$"
+_PADDED = rf"(?U)^\s*{FINITE[1:-1]}\s*$"
+_SPECIAL = r"(?iU)^\s*[+-]?(inf|infinity|nan)\s*$"
+# Digit separator and Unicode blanks, all of which may surround a number.
+_SKIPPED = "_\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Number words and what they stand for.
 UNITS = {
@@ -29,12 +31,12 @@ SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 
 def as_number(c: Column) -> Column:
     """DOUBLE value of a text cell, or NULL when the text is not a number."""
-    t = strip(c)
-    return (
-        F.when(t.rlike(FINITE), F.translate(t, "_", "").try_cast("double"))
-        .when(t.rlike(INFINITE), F.when(t.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-        .when(t.rlike(NOT_A_NUMBER), F.lit(float("nan")))
+    special = (
+        F.when(c.ilike("%nan%"), F.lit(float("nan")))
+        .when(c.contains("-"), F.lit(float("-inf")))
+        .otherwise(F.lit(float("inf")))
     )
+    return F.when(c.rlike(_PADDED), F.translate(c, _SKIPPED, "").try_cast("double")).when(c.rlike(_SPECIAL), special)
 
 
 def plain_decimal(c: Column, scale: int = 2) -> Column:

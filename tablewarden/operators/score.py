@@ -122,92 +122,96 @@ def weighted_score(counts: DataFrame, decimals: int | None = None) -> DataFrame:
     return counts.withColumn("identify_score", score if decimals is None else F.round(score, decimals))
 
 
-# The reason given with each grade.
-REASONS = {
-    "not_faulty": "not an issue cell",
-    "no_cell": "cell not found",
-    "exact": "exact match",
-    "filled": "valid fix (non-empty value for missing field)",
-    "still_empty": "fix is still empty",
-    "typed": "valid fix (correct type)",
-    "still_wrong_type": "fix is still wrong type",
-    "in_range": "valid fix (in reasonable range)",
-    "right_sign": "partially valid (right direction)",
-    "still_out": "fix still out of reasonable range",
-    "formatted": "valid fix (correct format)",
-    "format_unclear": "fix attempted but format unclear",
-    "exact_number": "exact numeric match",
-    "near_number": "valid fix (within 20% of correct value)",
-    "ballpark": "partially valid (right ballpark)",
-    "far_number": "correct cell, value not close",
-    "number_tried": "numeric fix attempted",
-    "text_tried": "text fix attempted (cannot verify automatically)",
-    "close_number": "numeric close match",
-    "wrong": "correct cell, wrong value",
+# Score, verdict and reason of every grade.
+GRADES = {
+    "not_faulty": (0.0, "wrong", "not an issue cell"),
+    "no_cell": (0.0, "wrong", "cell not found"),
+    "exact": (1.0, "correct", "exact match"),
+    "filled": (0.8, "partial", "valid fix (non-empty value for missing field)"),
+    "still_empty": (0.0, "wrong", "fix is still empty"),
+    "typed": (0.8, "partial", "valid fix (correct type)"),
+    "still_wrong_type": (0.1, "partial", "fix is still wrong type"),
+    "in_range": (0.8, "partial", "valid fix (in reasonable range)"),
+    "right_sign": (0.4, "partial", "partially valid (right direction)"),
+    "still_out": (0.1, "partial", "fix still out of reasonable range"),
+    "formatted": (0.8, "partial", "valid fix (correct format)"),
+    "format_unclear": (0.4, "partial", "fix attempted but format unclear"),
+    "exact_number": (1.0, "correct", "exact numeric match"),
+    "near_number": (0.8, "partial", "valid fix (within 20% of correct value)"),
+    "ballpark": (0.4, "partial", "partially valid (right ballpark)"),
+    "far_number": (0.1, "partial", "correct cell, value not close"),
+    "number_tried": (0.4, "partial", "numeric fix attempted"),
+    "text_tried": (0.4, "partial", "text fix attempted (cannot verify automatically)"),
+    "close_number": (0.8, "partial", "numeric close match"),
+    "wrong": (0.1, "partial", "correct cell, wrong value"),
 }
 
 
-def grade_fix(proposed: Column, clean: Column, issue_type: Column) -> Column:
-    """Struct ``(score, verdict, reason)`` of one proposal. ``issue_type`` is NULL for a cell without a fault."""
+def _grade_name(kind: Column, p: Column, c: Column, n: Column, m: Column, gap: Column) -> Column:
+    """Name of the grade, from the issue type, both stripped texts, both numbers and their relative gap.
 
-    def grade(score: float, verdict: str, reason: str) -> Column:
-        return F.struct(
-            F.lit(score).alias("score"), F.lit(verdict).alias("verdict"), F.lit(REASONS[reason]).alias("reason")
-        )
-
-    p, c = strip(proposed), strip(clean)
-    n, m = as_number(p), as_number(c)
-    n_is_nan, m_is_nan = F.coalesce(F.isnan(n), F.lit(False)), F.coalesce(F.isnan(m), F.lit(False))
+    The gap is NULL unless both are comparable numbers and the clean one is not 0, so its tests are written to be
+    false for NULL; NaN needs the same care because Spark sorts it above every number.
+    """
     numbers = n.isNotNull() & m.isNotNull()
-    # Comparisons with NaN are false here; Spark itself sorts NaN above every number.
-    comparable = numbers & ~n_is_nan & ~m_is_nan
-    gap = F.when(comparable & (m != 0), F.try_divide(F.abs(n - m), F.abs(m)))
-    gap = F.when(~F.isnan(gap), gap)
-    within = lambda limit: F.coalesce(gap <= limit, F.lit(False))
-    zero_clean = numbers & ~m_is_nan & (m == 0)
-
-    missing = F.when(p != "", grade(0.8, "partial", "filled")).otherwise(grade(0.0, "wrong", "still_empty"))
-    typed = F.when(n.isNotNull(), grade(0.8, "partial", "typed")).otherwise(grade(0.1, "partial", "still_wrong_type"))
+    within = lambda limit: gap.isNotNull() & (gap <= limit)
+    positive = lambda x: (x > 0) & ~F.isnan(x)
+    name = F.lit
+    missing = F.when(p != "", name("filled")).otherwise(name("still_empty"))
+    typed = F.when(n.isNotNull(), name("typed")).otherwise(name("still_wrong_type"))
     ranged = (
-        F.when(~numbers, grade(0.1, "partial", "wrong"))
-        .when(within(0.5), grade(0.8, "partial", "in_range"))
-        .when(comparable & (n > 0) & (m > 0), grade(0.4, "partial", "right_sign"))
-        .otherwise(grade(0.1, "partial", "still_out"))
+        F.when(~numbers, name("wrong")).when(within(0.5), name("in_range"))
+        .when(positive(n) & positive(m), name("right_sign")).otherwise(name("still_out"))
     )
     formatted = (
-        F.when(p.rlike(r"(?U)^\d{4}-\d{2}-\d{2}"), grade(0.8, "partial", "formatted"))
-        .when((p != "") & (p != c), grade(0.4, "partial", "format_unclear"))
-        .otherwise(grade(0.1, "partial", "wrong"))
+        F.when(p.rlike(r"(?U)^\d{4}-\d{2}-\d{2}"), name("formatted"))
+        .when((p != "") & (p != c), name("format_unclear")).otherwise(name("wrong"))
     )
     valued = (
-        F.when(zero_clean, grade(0.4, "partial", "number_tried"))
-        .when(numbers & within(0.01), grade(1.0, "correct", "exact_number"))
-        .when(numbers & within(0.2), grade(0.8, "partial", "near_number"))
-        .when(numbers & within(0.5), grade(0.4, "partial", "ballpark"))
-        .when(numbers, grade(0.1, "partial", "far_number"))
-        .when((F.length(p) > 10) & (p != c), grade(0.4, "partial", "text_tried"))
-        .otherwise(grade(0.1, "partial", "wrong"))
+        F.when(numbers & (m == 0), name("number_tried")).when(within(0.01), name("exact_number"))
+        .when(within(0.2), name("near_number")).when(within(0.5), name("ballpark")).when(numbers, name("far_number"))
+        .when((F.length(p) > 10) & (p != c), name("text_tried")).otherwise(name("wrong"))
     )
-    other = F.when(within(0.01), grade(0.8, "partial", "close_number")).otherwise(grade(0.1, "partial", "wrong"))
+    other = F.when(within(0.01), name("close_number")).otherwise(name("wrong"))
     return (
-        F.when(issue_type.isNull(), grade(0.0, "wrong", "not_faulty"))
-        .when(clean.isNull(), grade(0.0, "wrong", "no_cell"))
-        .when(F.lower(p) == F.lower(c), grade(1.0, "correct", "exact"))
-        .when(issue_type == "missing_value", missing)
-        .when(issue_type == "wrong_type", typed)
-        .when(issue_type == "out_of_range", ranged)
-        .when(issue_type == "format_violation", formatted)
-        .when(issue_type.isin("inconsistent_value", "statistical_outlier"), valued)
+        F.when(kind.isNull(), name("not_faulty")).when(c.isNull(), name("no_cell"))
+        .when(F.lower(p) == F.lower(c), name("exact"))
+        .when(kind == "missing_value", missing).when(kind == "wrong_type", typed)
+        .when(kind == "out_of_range", ranged).when(kind == "format_violation", formatted)
+        .when(kind.isin("inconsistent_value", "statistical_outlier"), valued)
         .otherwise(other)
     )
 
 
+def with_grades(df: DataFrame) -> DataFrame:
+    """Add ``score``, ``verdict`` and ``reason`` to rows with ``proposed``, ``clean_value`` and ``issue_type``.
+
+    ``issue_type`` is NULL for a cell without a fault.  Texts, numbers, gap and grade are one projection each, so that
+    nothing is computed twice and the generated code stays small.
+    """
+    texts = df.withColumns({"__p": strip(F.col("proposed")), "__c": strip(F.col("clean_value"))})
+    numbers = texts.withColumns({"__n": as_number(F.col("__p")), "__m": as_number(F.col("__c"))})
+    n, m = F.col("__n"), F.col("__m")
+    gap = F.when(m != 0, F.try_divide(F.abs(n - m), F.abs(m)))
+    graded = numbers.withColumn("__gap", F.nanvl(gap, F.lit(None).cast("double"))).withColumn(
+        "__grade", _grade_name(F.col("issue_type"), F.col("__p"), F.col("__c"), n, m, F.col("__gap"))
+    )
+    # The grades are joined as a table, so that a filter on the score is decided there, not by grading twice.
+    grades = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(key).alias("__grade"), F.lit(points).alias("score"), F.lit(verdict).alias("verdict"),
+                 F.lit(reason).alias("reason"))
+        for key, (points, verdict, reason) in GRADES.items()
+    ])))
+    return graded.join(F.broadcast(grades), "__grade").select(*df.columns, "score", "verdict", "reason")
+
+
 def grade_fixes(fixes: DataFrame, truth: DataFrame) -> DataFrame:
     """Every proposal with its score, verdict and reason, and the weight of its cell."""
     cells = truth_cells(truth)
     joined = lookup_join(_same_case(fixes), cells, CELL, "episode_id")
-    graded = joined.withColumn("g", grade_fix(F.col("proposed"), F.col("clean_value"), F.col("issue_type")))
-    return graded.select(*STEP, "seq", "row_id", "col", "proposed", "clean_value", "issue_type", "weight", "g.*")
+    return with_grades(joined).select(
+        *STEP, "seq", "row_id", "col", "proposed", "clean_value", "issue_type", "weight", "score", "verdict", "reason"
+    )
 
 
 def fix_summary(steps: DataFrame, details: DataFrame, truth: DataFrame, decimals: int | None = None) -> DataFrame:

@@ -1,0 +1,9 @@
+"""Structured Streaming forms of the checks and of episode scoring."""
+
+from .episodes import broadcast_truth, score_batches, score_rows, stream_episodes
+from .quality import findings_stream, repeated_keys, sink_findings, windowed_quality
+
+__all__ = [
+    "broadcast_truth", "findings_stream", "repeated_keys", "score_batches", "score_rows", "sink_findings",
+    "stream_episodes", "windowed_quality",
+]
