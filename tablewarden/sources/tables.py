@@ -34,7 +34,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.csv(path, header=True, escape='"', emptyValue="")
+        # Outer blanks are kept: a cell of blanks is a finding, and must still be one after the table is read back.
+        writer.csv(path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     else:
         writer.format(fmt).save(path)
 
