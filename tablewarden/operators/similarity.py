@@ -22,14 +22,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import casefold_tokens, is_blank
+from ..functions.text import tokens
 from ..session import cut_lineage
 from .keyed import to_findings
 from .skew import digest, lookup_join
 
 COMMON = 1024  # the most frequent tokens; the list is cut to this length, so it is a small literal
 CHUNK = 20_000  # members of a block that one task compares
+BITS = 512  # parity bits per set
+LONGS = T.ArrayType(T.LongType())
 
 
 def _verified(pairs: DataFrame, items: DataFrame, similar: Callable[[Column, Column], Column]) -> DataFrame:
@@ -58,9 +61,9 @@ def earlier_match(
     ).where("members > 1")
     led = lookup_join(blocks, heads, ["block"], "id", "inner")
     l_side = led.select(F.struct("id", *extra).alias("l"), F.col("head").alias("r"))
-    to_heads = l_side.where((F.col("r.id") < F.col("l.id")) & ok).select(
+    to_heads = cut_lineage(l_side.where((F.col("r.id") < F.col("l.id")) & ok).select(
         F.col("l.id").alias("id"), F.col("r.id").alias("other")
-    ).distinct()
+    ).distinct())
     settled = cut_lineage(
         _verified(to_heads, items, similar).groupBy("id").agg(F.min("other").alias("other"))
     )
@@ -76,7 +79,7 @@ def earlier_match(
     stored = lookup_join(blocks, sizes, ["block"], "id", "inner").where("id <> head_id")
     stored = stored.withColumn("__y", mine).withColumn("__x", F.explode(every))
     cell = ["block", "__x", "__y"]
-    pairs = (
+    pairs = cut_lineage(
         probe.select(*cell, F.struct("id", *extra).alias("l"))
         .join(stored.select(*cell, F.struct("id", *extra).alias("r")), cell)
         .where((F.col("r.id") < F.col("l.id")) & ok)
@@ -86,10 +89,13 @@ def earlier_match(
     return settled.unionByName(late)
 
 
-def _folded(df: DataFrame, key: Column, row_id: str, payload: Column) -> tuple[DataFrame, DataFrame]:
+def _folded(
+    df: DataFrame, key: Column, row_id: str, payload: Column
+) -> tuple[DataFrame, DataFrame]:
     """(first row per equal payload as ``id, payload``; later copies as ``id, other``)."""
-    rows = df.select(F.col(row_id).cast("bigint").alias("id"), payload.alias("payload")).where("payload IS NOT NULL")
-    keyed = cut_lineage(rows.withColumn("key", key))
+    rows = df.select(F.col(row_id).cast("bigint").alias("id"), payload.alias("payload")).withColumn("key", key)
+    # Filtered after it is written: a filter before would be pushed down and work the payload out twice.
+    keyed = cut_lineage(rows).where("size(payload) > 0")
     firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     copies = lookup_join(keyed.select("id", "key"), firsts.where("n > 1"), ["key"], "id", "inner").where(
         "id > first"
@@ -98,7 +104,7 @@ def _folded(df: DataFrame, key: Column, row_id: str, payload: Column) -> tuple[D
     return items, copies
 
 
-def common_tokens(items: DataFrame) -> list[str]:
+def common_tokens(items: DataFrame) -> list[int]:
     """The most frequent tokens, the most frequent last; never more than ``COMMON``."""
     top = (
         items.select(F.explode("payload").alias("t")).groupBy("t").count()
@@ -113,12 +119,36 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _word_sets(df: DataFrame, col: str, row_id: str) -> tuple[DataFrame, DataFrame]:
-    words = casefold_tokens(F.col(col))
-    payload = F.when(~is_blank(F.col(col)) & (F.size(words) > 0), F.array_sort(words))
-    items, copies = _folded(df, digest(F.col("payload")), row_id, payload)
+    """Sets of words as sorted 64-bit hashes, which are smaller and quicker to compare than the words."""
+    words = F.array_sort(F.array_distinct(F.transform(tokens(F.col(col)), lambda t: F.xxhash64(t))))
+    items, copies = _folded(df, digest(F.col("payload")), row_id, words)
     return cut_lineage(items), copies
 
 
+@F.pandas_udf(LONGS)
+def parity_bits(sets: pd.Series) -> pd.Series:
+    """``BITS`` bits per set, each the parity of the number of members that hash to it."""
+    made = []
+    for members in sets:
+        counts = np.bincount(np.asarray(members, dtype=np.int64).view(np.uint64).astype(np.uint64) % np.uint64(BITS), minlength=BITS)
+        made.append(np.packbits((counts & 1).astype(np.uint8)).view(np.int64))
+    return pd.Series(made, dtype=object)
+
+
+def _close_enough(threshold: float) -> Column:
+    """Cheap exact test of a pair ``l, r`` of sets by size and parity bits, before the sets themselves are fetched.
+
+    Sets of ``n`` and ``m`` members with Jaccard similarity >= t differ in at most ``n + m - 2 t (n + m) / (1 + t)``
+    members, and every bit that differs stands for at least one of those.
+    """
+    l_n, r_n, t = F.col("l.n"), F.col("r.n"), F.lit(threshold)
+    sizes = (r_n >= t * l_n - F.lit(1e-9)) & (l_n >= t * r_n - F.lit(1e-9))
+    differing = sum(
+        (F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("r.bits")[i])) for i in range(BITS // 64)), F.lit(0)
+    )
+    return sizes & (differing <= (l_n + r_n) * (1 - t) / (1 + t) + F.lit(1e-6))
+
+
 def near_duplicate_pairs(df: DataFrame, col: str, threshold: float, row_id: str = "row_id") -> DataFrame:
     """Rows with an earlier row whose word set has Jaccard similarity >= ``threshold``: ``id, other``.  Exact.
 
@@ -128,24 +158,18 @@ def near_duplicate_pairs(df: DataFrame, col: str, threshold: float, row_id: str
     """
     items, copies = _word_sets(df, col, row_id)
     frequent = common_tokens(items)
-    known = F.array(*[F.lit(t) for t in frequent]) if frequent else F.array().cast("array<string>")
-    by_hash = F.transform(
-        F.array_sort(F.transform(F.array_except("payload", known), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))),
-        lambda s: s["t"],
-    )
-    ordered = F.concat(by_hash, F.array_intersect(known, F.col("payload")))
+    known = F.array(*[F.lit(t) for t in frequent]) if frequent else F.array().cast("array<bigint>")
+    ordered = F.concat(F.array_except("payload", known), F.array_intersect(known, F.col("payload")))
     n = F.size("payload")
     prefix = n - F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int") + 1
     blocks = cut_lineage(
-        items.select("id", n.alias("n"), F.posexplode(F.slice(ordered, F.lit(1), prefix)).alias("pos", "block"))
-    )
-    # Sizes must be close, and enough tokens must be left after the shared one to reach the wanted overlap.
-    l_n, r_n = F.col("l.n"), F.col("r.n")
-    t = F.lit(threshold)
-    need = t / (1 + t) * (l_n + r_n) - F.lit(1e-9)
-    ok = (r_n >= t * l_n - F.lit(1e-9)) & (l_n >= t * r_n - F.lit(1e-9)) & (
-        1 + F.least(l_n - F.col("l.pos") - 1, r_n - F.col("r.pos") - 1) + F.least(F.col("l.pos"), F.col("r.pos")) >= need
+        items.select("id", n.alias("n"), parity_bits("payload").alias("bits"), F.slice(ordered, F.lit(1), prefix).alias("prefix"))
+        .select("id", "n", "bits", F.posexplode("prefix").alias("pos", "block"))
     )
+    # Enough tokens must be left before and after the shared one to reach the wanted overlap.
+    t, l_n, r_n = F.lit(threshold), F.col("l.n"), F.col("r.n")
+    reach = 1 + F.least(l_n - F.col("l.pos") - 1, r_n - F.col("r.pos") - 1) + F.least(F.col("l.pos"), F.col("r.pos"))
+    ok = _close_enough(threshold) & (reach >= t / (1 + t) * (l_n + r_n) - F.lit(1e-9))
     found = earlier_match(items, blocks, lambda a, b: jaccard(a, b) >= threshold, ok)
     return copies.unionByName(found)
 
@@ -158,6 +182,25 @@ def near_duplicate_text(
     return to_findings(found, dataset, col, "duplicate_row", f"near_duplicate_text:{col}", expected=F.col("other"))
 
 
+def min_hashes(count: int):
+    """Vectorised MinHash signature of a set of 64-bit hashes: ``count`` odd multipliers and shifts from a fixed seed."""
+    rng = np.random.default_rng(42)
+    factors = rng.integers(1, 2**63, size=count, dtype=np.uint64) | np.uint64(1)
+    offsets = rng.integers(0, 2**63, size=count, dtype=np.uint64)
+
+    @F.pandas_udf(LONGS)
+    def sign(sets: pd.Series) -> pd.Series:
+        made = []
+        for members in sets:
+            h = np.asarray(members, dtype=np.int64).view(np.uint64)
+            mixed = np.multiply.outer(h, factors) + offsets
+            mixed ^= mixed >> np.uint64(32)
+            made.append(mixed.min(axis=0).view(np.int64))
+        return pd.Series(made, dtype=object)
+
+    return sign
+
+
 def near_duplicate_lsh(
     df: DataFrame, col: str, threshold: float = 0.65, bands: int = 20, rows_per_band: int = 4, row_id: str = "row_id",
     dataset: str = "data",
@@ -166,14 +209,14 @@ def near_duplicate_lsh(
     items, copies = _word_sets(df, col, row_id)
 
     def band(i: int) -> Column:
-        lows = [
-            F.array_min(F.transform("payload", lambda t, s=i * rows_per_band + j: F.xxhash64(F.lit(s), t)))
-            for j in range(rows_per_band)
-        ]
-        return F.xxhash64(F.lit(i), *lows)
-
-    blocks = cut_lineage(items.select("id", F.explode(F.array(*[band(i) for i in range(bands)])).alias("block")))
-    found = copies.unionByName(earlier_match(items, blocks, lambda a, b: jaccard(a, b) >= threshold))
+        return F.xxhash64(F.lit(i), *[F.col("lows")[i * rows_per_band + j] for j in range(rows_per_band)])
+
+    signed = items.select("id", F.size("payload").alias("n"), parity_bits("payload").alias("bits"),
+                          min_hashes(bands * rows_per_band)("payload").alias("lows"))
+    blocks = cut_lineage(signed.select("id", "n", "bits", F.explode(F.array(*[band(i) for i in range(bands)])).alias("block")))
+    found = copies.unionByName(
+        earlier_match(items, blocks, lambda a, b: jaccard(a, b) >= threshold, _close_enough(threshold))
+    )
     return to_findings(found.withColumnRenamed("id", "row_id"), dataset, col, "duplicate_row",
                        f"near_duplicate_lsh:{col}", expected=F.col("other"))
 
@@ -204,7 +247,7 @@ def bucket_keys(dims: int, tables: int, bits: int):
     planes = np.array([hyperplane(i, dims) for i in range(tables * bits)], dtype=np.float64)
     weights = (1 << np.arange(bits)).astype(np.int64)
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(LONGS)
     def buckets(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return pd.Series([], dtype=object)

@@ -15,12 +15,12 @@ SPLITTERS = 255  # cut points of an ordered scan
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "left") -> DataFrame:
     """Join ``rows`` to ``facts``, which holds each key at most once, when some keys fill a large share of ``rows``.
 
-    Facts that Spark itself would broadcast are joined plainly.  Otherwise the ``HOT_KEYS`` most frequent keys of
+    When either side is so small that Spark itself would broadcast it, the join is a plain one.  Otherwise the ``HOT_KEYS`` most frequent keys of
     ``rows`` are found with a map-side-combined count, their rows are spread over all shuffle partitions by
     ``spread_by``, and only their facts are repeated per partition.  The result equals a plain join.
     """
     spark = rows.sparkSession
-    if plan_bytes(facts) <= broadcast_limit(spark):
+    if min(plan_bytes(facts), plan_bytes(rows)) <= broadcast_limit(spark):
         return rows.join(facts, keys, how)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = (

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import FINITE
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Tables whose rows are dear to process: texts and records that are parsed.
+SPREAD = {"documents", "pages", "conversations", "events"}
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,7 +29,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A stored table.  One that comes in fewer pieces than there are cores is spread over them first; a large one is
+    read as it is stored."""
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    if name in SPREAD:
+        cores = spark.sparkContext.defaultParallelism
+        if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores:
+            return df.repartition(cores)
+    return df
 
 
 def findings(df: DataFrame, *extra: str) -> DataFrame:
