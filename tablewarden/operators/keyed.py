@@ -30,8 +30,11 @@ def to_findings(
 
 
 def first_of_copies(df: DataFrame, key: Column, row_id: str = "row_id") -> DataFrame:
-    """Rows that repeat an earlier row's key: ``row_id``, ``first_id``, ``copies`` (rows with that key)."""
-    keyed = df.select(F.col(row_id).cast("bigint").alias("row_id"), key.alias("__key")).where("__key IS NOT NULL")
+    """Rows that repeat an earlier row's key: ``row_id``, ``first_id``, ``copies`` (rows with that key).
+
+    Callers leave out rows without a key; a test for NULL here would be pushed down and work the key out twice.
+    """
+    keyed = df.select(F.col(row_id).cast("bigint").alias("row_id"), key.alias("__key"))
     groups = keyed.groupBy("__key").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # Most keys are single: they leave before the join, which keeps its right side small.
     repeated = groups.where("copies > 1")
@@ -55,7 +58,7 @@ def duplicate_key(
     for k in keys:
         given = given & ~is_blank(F.col(k).cast("string"))
     key = digest(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])
-    found = first_of_copies(df, F.when(given, key), row_id)
+    found = first_of_copies(df.where(given), key, row_id)
     name = report_col or keys[0]
     return to_findings(found, dataset, name, "duplicate_row", f"duplicate_key:{','.join(keys)}",
                        expected=F.col("first_id"))
@@ -72,7 +75,7 @@ def duplicate_text(
 ) -> DataFrame:
     """Later copies of a text, exact or after :func:`normal_text`.  Blank texts do not count as copies."""
     text = normal_text(F.col(col)) if normalise else F.col(col)
-    found = first_of_copies(df, F.when(~is_blank(F.col(col)), digest(text)), row_id)
+    found = first_of_copies(df.where(~is_blank(F.col(col))), digest(text), row_id)
     return to_findings(found, dataset, col, issue_type, f"duplicate_text:{col}", expected=F.col("first_id"))
 
 

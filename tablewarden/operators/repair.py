@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import as_number, digits_for_letters, number_from_words, truncate_decimals
 from ..functions.text import is_blank, strip
 from .keyed import keep_first
-from .rules import DATE_SHAPES, nearest_word
+from .rules import DATE_SHAPES, SMALL_DICTIONARY
 from .skew import lookup_join
 from .spelling import near_words
 from .statistics import exact_quantiles
@@ -38,12 +38,18 @@ def ocr_digits(col: str) -> Column:
 def nearest_value(col: str, words: Iterable[str], max_distance: int = 2, aliases: dict[str, str] | None = None) -> Column:
     """Nearest allowed value; ``aliases`` names replacements that no edit distance can find."""
     listed = sorted(set(words))
-    near = nearest_word(strip(F.col(col)), listed, max_distance)
+    if len(listed) > SMALL_DICTIONARY:
+        raise ValueError(f"{len(listed)} words are too many to inline; use nearest_value_from")
+    given = strip(F.col(col))
+    near = F.array_sort(F.array(*[
+        F.when(F.levenshtein(given, F.lit(w), max_distance) >= 1,
+               F.struct(F.levenshtein(given, F.lit(w), max_distance).alias("distance"), F.lit(w).alias("word")))
+        for w in listed
+    ]))
     # A second word at the same distance makes the choice arbitrary: no proposal.
-    distances = [F.levenshtein(strip(F.col(col)), F.lit(w), max_distance) for w in listed]
-    best = F.array_min(F.array(*[F.when(d >= 1, d) for d in distances]))
-    ties = sum((F.when(d == best, 1).otherwise(0) for d in distances), F.lit(0))
-    found = F.when(ties == 1, near)
+    first, second = F.get(near, F.lit(0)), F.get(near, F.lit(1))
+    clear = ~given.isin(listed) & (first["distance"] < F.coalesce(second["distance"], F.lit(max_distance + 1)))
+    found = F.when(clear, first["word"])
     for wrong, right in (aliases or {}).items():
         found = F.when(strip(F.col(col)) == wrong, F.lit(right)).otherwise(found)
     return found
@@ -154,14 +160,17 @@ def impute(df: DataFrame, col: str, group: str | None = None, how: str = "mode",
 
 def propose(df: DataFrame, repairs: dict[str, Column], row_id: str = "row_id") -> DataFrame:
     """Proposals of many repairs in one pass: ``row_id, col, proposed``; unchanged values are not proposed."""
+    worked = df.select(
+        F.col(row_id).cast("bigint").alias("row_id"),
+        *[F.col(c).cast("string").alias(f"__old_{i}") for i, c in enumerate(repairs)],
+        *[expr.cast("string").alias(f"__new_{i}") for i, expr in enumerate(repairs.values())],
+    )
     made = [
-        F.when(expr.isNotNull() & ~expr.cast("string").eqNullSafe(F.col(c).cast("string")),
-               F.struct(F.lit(c).alias("col"), expr.cast("string").alias("proposed")))
-        for c, expr in repairs.items()
+        F.when(F.col(f"__new_{i}").isNotNull() & ~F.col(f"__new_{i}").eqNullSafe(F.col(f"__old_{i}")),
+               F.struct(F.lit(c).alias("col"), F.col(f"__new_{i}").alias("proposed")))
+        for i, c in enumerate(repairs)
     ]
-    return df.select(F.col(row_id).cast("bigint").alias("row_id"), F.explode(F.array(*made)).alias("p")).where(
-        "p IS NOT NULL"
-    ).select("row_id", "p.*")
+    return worked.select("row_id", F.explode(F.array(*made)).alias("p")).where("p IS NOT NULL").select("row_id", "p.*")
 
 
 def fix_table(proposals: DataFrame, episode_id: str, step: int, dataset: str) -> DataFrame:

@@ -365,12 +365,12 @@ def unsafe_pattern(spark, sf):
 
 
 @query("word_sets", """
-SELECT lang, count(*) AS docs, sum(len(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+')))) AS words
+SELECT lang, count(*) AS docs, CAST(sum(len(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+')))) AS BIGINT) AS words
 FROM documents GROUP BY 1
 """)
 def word_sets(spark, sf):
     """Distinct words per document, summed by language; the sets that the near-duplicate search works on."""
     n = F.size(casefold_tokens(F.col("text"))).cast("bigint")
     return table(spark, sf, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum(n).cast("decimal(38,0)").alias("words")
+        F.count(F.lit(1)).alias("docs"), F.sum(n).alias("words")
     )
