@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import BLANKS, strip
 
 # The accepted spellings of a number, as anchored patterns.
 _DIGITS = "[0-9]+(_[0-9]+)*"
 FINITE = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 _PADDED = rf"(?U)^\s*{FINITE[1:-1]}\s*$"
 _SPECIAL = r"(?iU)^\s*[+-]?(inf|infinity|nan)\s*$"
-# Digit separator and Unicode blanks, all of which may surround a number.
-_SKIPPED = "_\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SKIPPED = "_" + BLANKS  # digit separators, and the blanks that may surround a number
 
 # Number words and what they stand for.
 UNITS = {

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 WORD = "[a-zà-öø-ÿ0-9]+"
 
 
+# The Unicode blanks.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Drop leading and trailing Unicode whitespace (``trim`` alone drops only blanks)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Drop leading and trailing Unicode blanks (``trim`` alone drops only the ASCII space)."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_blank(c: Column) -> Column:
-    """True for NULL, the empty string and whitespace-only text; never NULL itself."""
-    return c.isNull() | ~c.rlike(r"(?U)\S")
+    """True for NULL, the empty string and text of blanks only; never NULL itself."""
+    return c.isNull() | (strip(c) == "")
 
 
 def tokens(c: Column, pattern: str = WORD) -> Column:

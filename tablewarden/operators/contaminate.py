@@ -209,12 +209,14 @@ def contaminate(
             chosen = picked(row, f"{i}:{fault.col}", fault.rate, seed)
         if fault.where is not None:
             chosen = chosen & fault.where
-        new, luck = f"__new_{i}", f"__luck_{i}"
+        new, luck, hit = f"__new_{i}", f"__luck_{i}", f"__hit_{i}"
         made = rule.rewrite(F.col(fault.col), F.col(luck))
-        # Draw, new value and cell are computed once each, one projection upon the other; where the rule cannot apply
+        # Choice, draw, new value and cell are computed once each, one projection upon the other; where the rule cannot apply
         # the new value is NULL and the cell keeps what it has.
         work = (
-            work.withColumn(luck, draw(row, f"value:{i}:{fault.col}", seed)).withColumn(new, F.when(chosen, made))
+            work.withColumn(hit, chosen)
+            .withColumn(luck, F.when(F.col(hit), draw(row, f"value:{i}:{fault.col}", seed)))
+            .withColumn(new, F.when(F.col(hit), made))
             .withColumn(fault.col, F.coalesce(F.col(new), F.col(fault.col)))
         )
         difficulty = rule.difficulty if fault.difficulty is None else fault.difficulty

@@ -116,7 +116,7 @@ base AS (SELECT s.episode_id, s.step, s.dataset, len(s.fixes) > 0 AS has_fixes,
    FROM sub s LEFT JOIN cnt USING (episode_id, step) LEFT JOIN tot USING (dataset) LEFT JOIN fsum USING (episode_id, step)),
 pr AS (SELECT *, reported - tp AS fp, n - tp AS fn, CASE WHEN reported > 0 THEN tp / reported ELSE 0 END AS p, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS r,
    CASE WHEN w > 0 THEN found / w ELSE 0 END AS wr, CASE WHEN found > 0 THEN found / (found + (reported - tp) * w / n) ELSE 0 END AS wp,
-   CASE WHEN w > 0 THEN least(greatest(earned / w, 0), 1) ELSE 0 END AS fix_score FROM base),
+   CASE WHEN w > 0 THEN least(greatest(earned / w, 0), 1) WHEN fixes_correct + fixes_partial + fixes_wrong = 0 THEN 1 ELSE 0 END AS fix_score FROM base),
 sc AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1, CASE WHEN wp + wr > 0 THEN 2 * wp * wr / (wp + wr) ELSE 0 END AS identify_score FROM pr),
 cb AS (SELECT *, CASE WHEN has_fixes THEN 0.6::DOUBLE * identify_score + 0.4::DOUBLE * fix_score ELSE identify_score END AS combined_reward FROM sc),
 sheet AS (SELECT *, max(combined_reward) OVER (PARTITION BY episode_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS best_score FROM cb)"""
