@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import topk
+from . import codes, quality, secrets, topk, warc
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,27 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op2_warc_round_trip", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM f
+""")
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(spark, parquet(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    model = quality.train(docs, parquet(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "site_quality.*", (F.col("site_quality.quality") >= 0.5).alias("keep"))
+
+
 @query("op8_exact_topk", """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
@@ -41,6 +62,23 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
+def public_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op10_token_codes")
+def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.token_files(spark, parquet(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
