@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, quality, secrets, topk, warc
+from . import bpe, codes, extract, quality, secrets, topk, warc
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op3_extract")
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = parquet(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages))
+
+
 @query("op4_quality")
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents")
@@ -46,6 +52,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "site_quality.*", (F.col("site_quality.quality") >= 0.5).alias("keep"))
 
 
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(parquet(spark, sf_dir, "documents"), path), path))
+
+
 @query("op8_exact_topk", """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings
