@@ -47,19 +47,17 @@ def _record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_file: int = 20_000,
-                   level: int = 4) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 4) -> DataFrame:
     """Write one record per page below ``folder``; returns the index (see ``INDEX``), already stored.
 
     Null html is an empty payload, a null URL an empty one (line ends in URLs become spaces, as headers are lines).  A page
     without id is a response and nobody refers to it; of rows with one id and equal payloads each is a response if the id is
     the group's largest, else each revisits it.  An empty table writes nothing.  A task that ran twice leaves an archive
-    that no index row names.
+    that no index row names.  A task of the join with the record types writes one archive for each 64 MB of text: the pages are
+    not shuffled again for it.
     """
-    spark = pages.sparkSession
     flat = rows_of(pages, page_id=F.col(id_col).cast("bigint"), url=F.coalesce(F.col(url_col).cast("string"), F.lit("")), html=F.coalesce(F.col(html_col).cast("string"), F.lit("")))
     typed = flat.withColumn("digest", F.sha1("html")).join(record_types(flat), ["page_id", "digest"], "left")
-    n = tasks_for(spark, flat.count(), rows_per_file)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs = root = None
@@ -80,7 +78,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             made = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "digest", "file", "offset", "length"])
             yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return cut_lineage(typed.repartition(n, F.xxhash64("page_id", "url")).mapInPandas(write, INDEX))
+    return cut_lineage(typed.mapInPandas(write, INDEX))
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], int, bytes]:
