@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, extract, quality, secrets, simhash, topk, warc
+from . import bpe, codes, decontaminate, extract, quality, repeats, secrets, simhash, topk, warc
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,35 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(parquet(spark, sf_dir, "documents"), path), path))
 
 
+@query("op6_repeats", r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS m FROM grams) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM hit),
+sets AS (SELECT doc_id, list(i) AS s, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(s, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN sets ON d.doc_id = sets.doc_id
+""")
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(parquet(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_decontaminate", r"""
+WITH words AS (
+  SELECT item_id AS id, 'i' AS kind, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+  UNION ALL SELECT doc_id, 'd', list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM documents
+), grams AS (SELECT DISTINCT id, kind, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM words WHERE len(w) > 0),
+items AS (SELECT *, count(*) OVER (PARTITION BY id) AS n_item FROM grams WHERE kind = 'i')
+SELECT d.id AS doc_id, i.id AS item_id, CAST(count(*) AS BIGINT) AS n_shared, CAST(n_item AS BIGINT) AS n_item
+FROM items i JOIN grams d ON d.kind = 'd' AND d.g = i.g GROUP BY d.id, i.id, n_item HAVING count(*) >= ceil(n_item * 0.8)
+""")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item")
+
+
 @query("op8_exact_topk", """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS t FROM embeddings

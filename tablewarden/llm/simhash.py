@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_size, cut_lineage, fold_ascii, join_small, rows_of, split_words, tasks_for
+from .common import batches_by_size, cut_lineage, join_small, rows_of, tasks_for
 from .components import components
 
 BITS = 64
@@ -28,16 +28,15 @@ BUCKET = 4096  # fingerprints compared in one piece; larger buckets become a gri
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included; without words zero."""
-    words = split_words(fold_ascii(text or ""))
-    if not words:
+    data = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes, so A-Z alone and the six spaces alone
+    if not data:
         return 0
-    data = [w.encode("utf-8", "surrogatepass") for w in words]
     sizes = np.fromiter(map(len, data), np.int64, len(data)) + 1
     ends = np.cumsum(sizes)
     starts, line = ends - sizes, b" ".join(data)
-    width = min(width, len(words))
-    cuts = map(slice, starts[: len(words) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, cuts), repeat(seed)), np.uint64, len(words) - width + 1)
+    width = min(width, len(data))
+    cuts = map(slice, starts[: len(data) - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, cuts), repeat(seed)), np.uint64, len(data) - width + 1)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
