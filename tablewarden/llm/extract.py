@@ -243,17 +243,18 @@ def made_pages(n: int = 400, seed: int = 11) -> list[str]:
 
     pages = []
     for _ in range(n):
-        body = [f"<h{draw.choice('112')}>{some(9)}</h2>"]
-        for _ in range(draw.randint(1, 12)):
+        bare_page = draw.random() < 0.2  # a few short blocks and nothing around them
+        body = [] if bare_page or draw.random() < 0.2 else [f"<h{draw.choice('112')}>{some(9)}</h2>"]
+        for _ in range(draw.randint(1, 2) if bare_page else draw.randint(1, 12)):
             body.append(draw.choice([
-                lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()} <a href='#'>{some(2)}</a> <em>{prose()}</em></p>", lambda: f"<p><b>{prose()}<br>",
+                lambda: f"<p>{prose()}</p>", lambda: f"<p>{some(3)}.</p>", lambda: f"<p>{prose()} <a href='#'>{some(2)}</a> <em>{prose()}</em></p>", lambda: f"<p><b>{prose()}<br>",
                 lambda: f"<h2>{some(6)}</h2>", lambda: f"<ul><li>{prose()}</li><li>{some(5)}</li></ul>", lambda: f"<blockquote>{prose()}</blockquote>", lambda: f"<div>{prose()}</div>",
                 lambda: f"<pre>{prose()}</pre>", lambda: f"<table><tr><td>{some(3)}</td><td>{some(3)}</td></tr></table>"])())
         spots = [f"<div{mark}>{x}</div>" if draw.random() < 0.1 else None or x for x in body]
         wrap = draw.choice(["<article{m}>", "<main{m}>", '<div class="content"{m}>', '<div id="post-body"{m}>', '<section class="entry article"{m}>', "<article class='post'{m}>"]).format(m=mark)
         tag = wrap[1:].split()[0]
         inner = "".join(spots)
-        if draw.random() < 0.35:  # a notice inside the main part ends it and begins it anew
+        if not bare_page and draw.random() < 0.35:  # a notice inside the main part ends it and begins it anew
             cut = draw.randint(1, len(spots))
             outer = draw.choice(["article", "div class='page'", "main"])
             name = outer.split()[0]
@@ -263,7 +264,7 @@ def made_pages(n: int = 400, seed: int = 11) -> list[str]:
         head = [chrome("nav", ["menu", "nav", "navigation", "breadcrumb"]), chrome("header", ["header", "masthead", "top"]), notice()]
         foot = [chrome("footer", ["footer", "bottom", "copyright"]), notice(), comments(), f"<footer>&copy; {word()} &middot; {prose()}</footer>"]
         bare = [f"<nav><ul>{links(8)}</ul></nav>", f"<header><h1>{some(4)}</h1></header>"]
-        pages.append("<html><body>" + "".join(draw.sample(head + bare, draw.randint(0, 4))) + inner + "".join(draw.sample(foot, draw.randint(0, 3))) + "</body></html>")
+        pages.append("<html><body>" + "".join(draw.sample(head + bare, 0 if bare_page else draw.randint(0, 4))) + inner + "".join(draw.sample(foot, 0 if bare_page else draw.randint(0, 3))) + "</body></html>")
     return pages
 
 
@@ -280,7 +281,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
     def label(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [_training(b[:blocks_per_page], t[:blocks_per_page]) for b, t in filter(None, map(own_labels, frame["html"].dropna()))]
-            yield pd.DataFrame({"x": [x for x, _ in found], "y": [y for _, y in found]})
+            if found:
+                yield pd.DataFrame({"x": [x for x, _ in found], "y": [y for _, y in found]})
 
     rows = flat.join(F.broadcast(drawn), "page_id").select("html").mapInPandas(label, "x array<array<string>>, y array<int>").collect()
     pairs = sorted((([list(t) for t in r["x"]], list(r["y"])) for r in rows), key=str)
