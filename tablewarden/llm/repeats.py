@@ -27,7 +27,7 @@ from .bpe import _blocks as blocks
 from .common import fresh_path, open_folder, rows_of
 
 WINDOW, GRAM = 13, 6
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 5_000_000  # a worker holds about 50 bytes for each
 SHARD_WORDS = 50_000
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
