@@ -2,8 +2,9 @@
 
 Documents are taken in blocks.  A pass over the texts gives every block's distinct words under short codes, in order of first
 appearance; a second pass over the same blocks gives every document as a sequence of these codes.  The words of all blocks are
-brought together by word, each distinct word is encoded once, and its ids go back to the blocks, where the sequences turn into
-ids by position.  So the text itself is never shuffled, and a word costs one row per block however often it occurs.
+brought together by a hash of the word, packed: one row holds the words of a block that belong to one share of the word table.
+Where a share is, each distinct word is encoded once, and the ids go back to the blocks, where the sequences turn into ids by
+position.  So the text itself is never shuffled, and a word is sent once per block however often it occurs.
 
 A word here is a run between ASCII white space.  The tokenizers this serves drop white space before they split, and none of
 their tokens spans it, so the ids of a text are those of its words in order.
@@ -11,6 +12,7 @@ their tokens spans it, so the ids of a text are those of its words in order.
 
 from __future__ import annotations
 
+import math
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,9 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, split_words
+from ..session import plan_bytes
+from .common import rows_of
 
 BLOCK_CHARS = 24_000_000
+SHARE_BYTES = 8 << 20  # of the documents as stored, for one share of the word table
+MOST_SHARES = 1 << 20  # as many tasks as a stage well has; with more data a share only holds more words
 
 
 def to_varint(codes: np.ndarray) -> bytes:
@@ -74,11 +79,11 @@ def _key(texts: list[str]) -> int:
     return digest.intdigest() - (1 << 63)
 
 
-def _coded(texts: list[str]) -> tuple[dict[str, int], list[np.ndarray]]:
-    table: dict[str, int] = defaultdict(count().__next__)
+def _coded(texts: list[str]) -> tuple[dict[bytes, int], list[np.ndarray]]:
+    table: dict[bytes, int] = defaultdict(count().__next__)
     sequences = []
     for text in texts:
-        words = split_words(text)
+        words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space only
         sequences.append(np.fromiter(map(table.__getitem__, words), np.int64, len(words)))
     return table, sequences
 
@@ -92,11 +97,22 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
     flat = rows_of(docs, doc_id=F.col(id_col).cast("bigint"), text=F.coalesce(F.col(text_col), F.lit("")))
 
+    size = plan_bytes(docs)
+    wanted = math.ceil(size / SHARE_BYTES) if size < 1 << 60 else 0  # so large only where Spark has no estimate
+    shares = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), MOST_SHARES)
+
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
         for key, _, texts in _blocks(frames, block_chars):
-            table, _ = _coded(texts)
-            if table:
-                yield pd.DataFrame({"block": key, "code": np.arange(len(table), dtype=np.int32), "word": list(table)})
+            table = list(_coded(texts)[0])
+            share = np.fromiter(map(xxhash.xxh64_intdigest, table), np.uint64, len(table)) % np.uint64(shares)
+            order = np.argsort(share, kind="stable")
+            found, starts = np.unique(share[order], return_index=True)
+            rows = [(key, int(own), to_varint(np.diff(codes, prepend=0)), pack.compress(b"\n".join([table[i] for i in codes])))
+                    for own, codes in zip(found, np.split(order, starts[1:])) if len(codes)]
+            yield pd.DataFrame(rows, columns=["block", "share", "codes", "words"])
 
     def sequences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, ids, texts in _blocks(frames, block_chars):
@@ -104,40 +120,49 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def encode_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import zstandard
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, b""
-        for frame in frames:  # sorted by word, so equal words follow one another, also from one frame to the next
-            word = frame["word"].to_numpy()
-            fresh = np.concatenate([[word[0] != last], word[1:] != word[:-1]]) if len(word) else np.zeros(0, bool)
-            made = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(word[fresh].tolist(), add_special_tokens=False)]
-            known = [last_ids, *made]
-            ids = [known[i] for i in np.cumsum(fresh)]
-            if ids:
-                last, last_ids = word[-1], ids[-1]
-            yield pd.DataFrame({"block": frame["block"], "code": frame["code"], "ids": ids})
+        unpack = zstandard.ZstdDecompressor()
+        now, known = None, {}
+        for frame in frames:  # sorted by share, and one share of the word table is held at a time
+            rows = []
+            for block, share, codes, packed in zip(frame["block"], frame["share"], frame["codes"], frame["words"]):
+                if share != now:
+                    now, known = share, {}
+                table = unpack.decompress(packed).split(b"\n")
+                fresh = [w for w in table if w not in known]
+                made = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False)
+                known.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in made)))
+                ids = [known[w] for w in table]
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                rows.append((block, codes, to_varint(counts), to_varint(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))))
+            yield pd.DataFrame(rows, columns=["block", "codes", "counts", "ids"])
 
     def place(parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        known = known.drop_duplicates("code").sort_values("code")
-        if parts.empty or len(known) and known["code"].iloc[-1] != len(known) - 1:
+        codes = [np.cumsum(from_varint(c)) for c in known["codes"]]
+        counts = [from_varint(c) for c in known["counts"]]
+        flat_ids = np.concatenate([np.zeros(0, np.int64), *(from_varint(i) for i in known["ids"])]).astype(np.int32)
+        codes, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (codes, counts))
+        sizes, starts = np.full(codes.max(initial=-1) + 1, -1), np.zeros(codes.max(initial=-1) + 1, np.int64)
+        sizes[codes], starts[codes] = counts, np.cumsum(counts) - counts
+        if parts.empty or (sizes < 0).any():
             raise RuntimeError("a block was read differently the second time")
-        sizes = np.array([len(b) // 4 for b in known["ids"]], np.int64)
-        starts, flat_ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known["ids"]), "<u4").astype(np.int32)
         made = []
         for data in parts["codes"]:
-            codes = from_varint(data)
-            if len(codes) and codes.max() >= len(sizes):
+            own = from_varint(data)
+            if len(own) and own.max() >= len(sizes):
                 raise RuntimeError("a block was read differently the second time")
-            n = sizes[codes]
+            n = sizes[own]
             ends = np.cumsum(n)
-            made.append(flat_ids[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            made.append(flat_ids[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
         return pd.DataFrame({"doc_id": parts["doc_id"].astype("Int64"), "ids": made})
 
-    table = flat.mapInPandas(words, "block bigint, code int, word string").repartition("word").sortWithinPartitions("word")
-    back = table.mapInPandas(encode_words, "block bigint, code int, ids binary")
+    table = flat.mapInPandas(words, "block bigint, share bigint, codes binary, words binary").repartition(shares, "share").sortWithinPartitions("share")
+    back = table.mapInPandas(encode_words, "block bigint, codes binary, counts binary, ids binary")
     coded = flat.mapInPandas(sequences, "block bigint, doc_id bigint, codes binary")
     return coded.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>")
 
