@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,23 +15,13 @@ from pyspark.sql import functions as F
 from ..session import broadcast_limit, cut_lineage, fresh_path, shared_dir  # noqa: F401  (used by the operators)
 
 # A word of every contract: a run of characters other than space and the controls 9 to 13.
-SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-_TO_SPACE = str.maketrans({c: " " for c in "\x09\x0a\x0b\x0c\x0d"})
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def split_words(text: str) -> list[str]:
-    """The words of ``text``; ``str.split()`` alone would also split at other Unicode spaces."""
-    return list(filter(None, text.translate(_TO_SPACE).split(" ")))
-
-
-def fold_ascii(text: str) -> str:
-    """A-Z in lower case, all else unchanged."""
-    if text.isascii():
-        return text.lower()
-    return text.translate(_FOLD)
-
-
-_FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    """The words of ``text``; ``str.split()`` also splits at other Unicode spaces, so it serves texts without them only."""
+    return WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def sha256(text: str) -> str:
