@@ -6,8 +6,9 @@ gate checks the shape first, so that every operator agrees on what a number is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import BLANKS, strip
 
@@ -38,9 +39,15 @@ def as_number(c: Column) -> Column:
     return F.when(c.rlike(_PADDED), F.translate(c, _SKIPPED, "").try_cast("double")).when(c.rlike(_SPECIAL), special)
 
 
+def number_of(df: DataFrame, c: Column) -> Column:
+    """DOUBLE value of a column of ``df``, text or not; a cell that is no number is NULL and never an error."""
+    text = isinstance(df.select(c).schema[0].dataType, (T.StringType, T.CharType, T.VarcharType))
+    return as_number(c) if text else c.try_cast("double")
+
+
 def plain_decimal(c: Column, scale: int = 2) -> Column:
-    """Text of a numeric column without exponents: ``1.0E7`` becomes ``10000000.00``."""
-    return c.cast(f"decimal(38,{scale})").cast("string")
+    """Text of a numeric column without exponents: ``1.0E7`` becomes ``10000000.00``; NULL where it has no room."""
+    return c.try_cast(f"decimal(38,{scale})").cast("string")
 
 
 def digits_for_letters(c: Column) -> Column:
@@ -56,25 +63,27 @@ def number_from_words(c: Column) -> Column:
     words = F.filter(
         F.split(F.regexp_replace(F.lower(strip(c)), r"[-\s,]+", " "), " "), lambda w: (w != "") & (w != "and")
     )
-    values = F.transform(words, lambda w: F.try_element_at(table, w).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("group"))
+    values = F.transform(words, lambda w: F.try_element_at(table, w).cast("double"))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("group"))
 
     def add(acc: Column, v: Column) -> Column:
         total, group = acc["total"], acc["group"]
-        factor = F.greatest(group, F.lit(1).cast("long"))
+        factor = F.greatest(group, F.lit(1.0))
         return (
-            F.when(v >= 1000, F.struct((total + factor * v).alias("total"), F.lit(0).cast("long").alias("group")))
+            F.when(v >= 1000, F.struct((total + factor * v).alias("total"), F.lit(0.0).alias("group")))
             .when(v == 100, F.struct(total.alias("total"), (factor * v).alias("group")))
             .otherwise(F.struct(total.alias("total"), (group + v).alias("group")))
         )
 
-    # No more than a few words make a number; longer texts are prose and must not overflow the fold.
-    spelled = (F.size(words) > 0) & (F.size(words) <= 24) & ~F.exists(values, lambda v: v.isNull())
-    return F.when(spelled, F.aggregate(values, start, add, lambda acc: acc["total"] + acc["group"]))
+    # A text of number words may name more than a bigint holds; the fold is in doubles, exact up to 2^53, and such a text is NULL.
+    spelled = (F.size(words) > 0) & ~F.exists(values, lambda v: v.isNull())
+    whole = F.when(spelled, F.aggregate(values, start, add, lambda acc: acc["total"] + acc["group"]))
+    return F.when(whole <= float(2**53), whole.try_cast("bigint"))
 
 
 def truncate_decimals(c: Column, places: int) -> Column:
-    """Cut (not round) a decimal text to ``places`` decimals; NULL when it is no plain decimal."""
-    exact = F.when(strip(c).rlike(r"^[+-]?[0-9]{1,18}(\.[0-9]{1,16})?$"), strip(c).try_cast("decimal(36,16)"))
-    factor = F.lit(10**places).cast("decimal(18,0)")
-    return (F.signum(exact).cast("int") * F.floor(F.abs(exact) * factor) / factor).cast(f"decimal(38,{places})")
+    """Cut (not round) a decimal text to ``places`` decimals; NULL when it is no plain decimal or has no room in 38 digits.
+
+    The cut is made on the text, so it does not matter how many decimals there are."""
+    plain = F.when(strip(c).rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), strip(c))
+    return F.regexp_extract(plain, rf"^([+-]?[0-9]+(?:\.[0-9]{{0,{places}}})?)", 1).try_cast(f"decimal(38,{places})")

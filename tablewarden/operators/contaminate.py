@@ -43,8 +43,11 @@ def _text_for_number(v: Column, luck: Column) -> Column:
 def _negative(v: Column, luck: Column) -> Column:
     """Minus the absolute value; a blank cell becomes -1; text that is no number is left alone."""
     n = as_number(v)
-    shown = F.when(n == F.floor(n), F.concat((-F.abs(n)).cast("decimal(38,0)").cast("string"), F.lit(".0")))
-    shown = F.coalesce(shown, F.regexp_replace((-F.abs(n)).cast("decimal(38,10)").cast("string"), "0+$", ""))
+    shown = F.when(n == F.floor(n), F.concat((-F.abs(n)).try_cast("decimal(38,0)").cast("string"), F.lit(".0")))
+    decimals = F.regexp_replace((-F.abs(n)).try_cast("decimal(38,10)").cast("string"), "0+$", "")
+    # What ten decimals or 38 digits cannot show keeps its own text, with a minus before it.
+    signed = F.concat(F.lit("-"), F.regexp_replace(strip(v), "^[+-]", ""))
+    shown = F.coalesce(shown, F.when(decimals.rlike("[1-9]"), decimals), signed)
     return F.when(v.isNull() | (v == ""), F.lit("-1")).when(n.isNotNull(), shown)
 
 
@@ -77,7 +80,7 @@ def _flip_flag(v: Column, luck: Column) -> Column:
 
 def scaled(factor: float, places: int = 2) -> Rewrite:
     """Multiply a number, which breaks a sum, a ratio or a range."""
-    return lambda v, luck: (as_number(v) * F.lit(factor)).cast(f"decimal(38,{places})").cast("string")
+    return lambda v, luck: (as_number(v) * F.lit(factor)).try_cast(f"decimal(38,{places})").cast("string")
 
 
 def cut_short(share: float) -> Rewrite:

@@ -28,7 +28,7 @@ def chronological(
 
 def id_profile(df: DataFrame, col: str) -> DataFrame:
     """Bounds and counts of an id column, and how many ids are missing or repeated."""
-    per_id = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("bigint").alias("id")).count()
+    per_id = df.groupBy(F.col(col).try_cast("bigint").alias("id")).count().where("id IS NOT NULL")
     return per_id.agg(
         F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.sum("count").alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct"),
@@ -44,11 +44,12 @@ def sequential_id(
     """Ids that repeat or whose predecessor is absent.
 
     Every id votes for itself and for its successor, so one grouped count finds the gaps without an ordered scan.
-    ``start`` is the id that needs no predecessor (``None``: the smallest one present).
+    ``start`` is the id that needs no predecessor (``None``: the smallest one present).  Cells that are no whole number take
+    no part; the type check reports them.
     """
-    ids = df.where(F.col(col).isNotNull()).select(
-        F.col(row_id).cast("bigint").alias("row_id"), F.col(col).cast("bigint").alias("id")
-    )
+    ids = df.select(
+        F.col(row_id).cast("bigint").alias("row_id"), F.col(col).try_cast("bigint").alias("id")
+    ).where("id IS NOT NULL")
     per_id = ids.groupBy("id").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
     votes = per_id.select(
         F.explode(F.array(

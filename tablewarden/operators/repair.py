@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import as_number, digits_for_letters, number_from_words, truncate_decimals
 from ..functions.text import is_blank, strip
 from .keyed import keep_first
-from .rules import DATE_SHAPES, SMALL_DICTIONARY
+from .rules import DATE_SHAPES
 from .skew import lookup_join
 from .spelling import near_words
 from .statistics import exact_quantiles
@@ -36,10 +36,11 @@ def ocr_digits(col: str) -> Column:
 
 
 def nearest_value(col: str, words: Iterable[str], max_distance: int = 2, aliases: dict[str, str] | None = None) -> Column:
-    """Nearest allowed value; ``aliases`` names replacements that no edit distance can find."""
+    """Nearest allowed value; ``aliases`` names replacements that no edit distance can find.
+
+    The words are inlined; for a dictionary of thousands :func:`nearest_value_from` plans better and answers alike.
+    """
     listed = sorted(set(words))
-    if len(listed) > SMALL_DICTIONARY:
-        raise ValueError(f"{len(listed)} words are too many to inline; use nearest_value_from")
     given = strip(F.col(col))
     near = F.array_sort(F.array(*[
         F.when(F.levenshtein(given, F.lit(w), max_distance) >= 1,
@@ -56,12 +57,15 @@ def nearest_value(col: str, words: Iterable[str], max_distance: int = 2, aliases
 
 
 def nearest_value_from(df: DataFrame, col: str, words: DataFrame, word: str = "word", max_distance: int = 2,
-                       row_id: str = "row_id") -> DataFrame:
-    """The same against a dictionary table: ``row_id, col, proposed``."""
+                       row_id: str = "row_id", aliases: dict[str, str] | None = None) -> DataFrame:
+    """The same against a dictionary table: ``row_id, col, proposed``; two nearest words at one distance give no proposal."""
     rows = df.select(F.col(row_id).cast("bigint").alias("row_id"), strip(F.col(col)).alias("value")).where(
         "value IS NOT NULL"
     )
-    near = near_words(rows, "value", words, word, max_distance)
+    near = near_words(rows, "value", words, word, max_distance).where("ways = 1").select("value", "nearest")
+    if aliases:
+        named = df.sparkSession.createDataFrame(sorted(aliases.items()), "value string, nearest string")
+        near = near.join(F.broadcast(named), "value", "left_anti").unionByName(named)
     return lookup_join(rows, near, ["value"], "row_id", "inner").select(
         "row_id", F.lit(col).alias("col"), F.col("nearest").alias("proposed")
     )

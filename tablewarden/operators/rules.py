@@ -172,14 +172,14 @@ def max_decimals(col: str, places: int = 2, issue_type: str = "format_violation"
     )
 
 
-SMALL_DICTIONARY = 64
-
-
 def nearest_word(c: Column, words: Iterable[str], max_distance: int = 2) -> Column:
-    """Closest word within ``max_distance`` edits, ties to the smaller word; NULL when none is near or equal."""
+    """Closest word within ``max_distance`` edits, ties to the smaller word; NULL when none is near or equal.
+
+    The words are inlined; for a dictionary of thousands ``spelling.misspelling_against`` plans better and answers alike.
+    """
     listed = sorted(set(words))
-    if not 0 < len(listed) <= SMALL_DICTIONARY:
-        raise ValueError(f"1 to {SMALL_DICTIONARY} words can be inlined; use spelling.misspelling_against for more")
+    if not listed:
+        return F.lit(None).cast("string")
     ranked = [
         F.when(
             F.levenshtein(c, F.lit(w), max_distance) >= 1,

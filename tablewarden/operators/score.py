@@ -246,13 +246,10 @@ def clamp(c: Column) -> Column:
 
 
 def best_so_far(
-    step_scores: DataFrame, score: str = "combined_reward", out: str = "best_score", submissions: DataFrame | None = None
+    step_scores: DataFrame, score: str = "combined_reward", out: str = "best_score"
 ) -> DataFrame:
-    """Running best per episode, also for an episode with very many steps.
-
-    ``submissions`` (the rows the scores came from) gives the distribution of steps without scoring twice.
-    """
-    return carry(step_scores, score, "step", "dataset", ["episode_id"], "max", out, cuts_from=submissions)
+    """Running best per episode, also for an episode with very many steps."""
+    return carry(step_scores, score, "step", "dataset", ["episode_id"], "max", out)
 
 
 def score_steps(
@@ -272,7 +269,7 @@ def score_steps(
         F.col("has_fixes"), IDENTIFY_WEIGHT * F.col("identify_score") + FIX_WEIGHT * F.col("fix_score")
     ).otherwise(F.col("identify_score"))
     full = steps.join(identified, STEP).join(fixed, STEP).withColumn("combined_reward", combined)
-    return best_so_far(full, submissions=submissions).select(
+    return best_so_far(full).select(
         *STEP, "tp", "fp", "fn", "precision", "recall", "f1", "identify_score", "difficulty_found",
         "difficulty_missed", "fix_score", "fixes_correct", "fixes_partial", "fixes_wrong", "fixes_attempted",
         "has_fixes", "combined_reward", "best_score",

@@ -2,86 +2,83 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import broadcast_limit, cut_lineage, plan_bytes
 
-HOT_KEYS = 256  # rows of the frequent-key table; it is cut to this size, so it can always be broadcast
-SPLITTERS = 255  # cut points of an ordered scan
+SALTS = 16  # salts of a hot key per shuffle partition: so many that hashing them again deals the rows out evenly
+SLICE_BYTES = 64 << 20  # of the planned size of an ordered table, for one slice of its order
+
+
+def hot_limit(rows: DataFrame) -> int:
+    """How many keys count as hot: any key that could fill a twentieth of a shuffle partition is among so many."""
+    return 20 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "left") -> DataFrame:
     """Join ``rows`` to ``facts``, which holds each key at most once, when some keys fill a large share of ``rows``.
 
-    When either side is so small that Spark itself would broadcast it, the join is a plain one.  Otherwise the ``HOT_KEYS`` most frequent keys of
-    ``rows`` are found with a map-side-combined count, their rows are spread over all shuffle partitions by
-    ``spread_by``, and only their facts are repeated per partition.  The result equals a plain join.
+    When either side is so small that Spark itself would broadcast it, the join is a plain one.  An aggregate is planned as
+    large as its input, so facts that look large are stored and measured first; the few facts of a grouped table are then
+    broadcast as well.  Otherwise the most frequent keys of ``rows`` are found with a map-side-combined count, their rows are
+    spread by ``spread_by`` over many salts per shuffle partition, and only their facts are repeated per salt; in a left join
+    rows with a NULL key, which match nothing, are spread likewise.  The result equals a plain join.
     """
     spark = rows.sparkSession
-    if min(plan_bytes(facts), plan_bytes(rows)) <= broadcast_limit(spark):
+    limit = broadcast_limit(spark)
+    if min(plan_bytes(facts), plan_bytes(rows)) <= limit:
         return rows.join(facts, keys, how)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if plan_bytes(facts := cut_lineage(facts)) <= limit:
+        return rows.join(F.broadcast(facts), keys, how)
+    salts = SALTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = (
-        rows.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(HOT_KEYS)
+        rows.dropna(subset=keys).groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(hot_limit(rows))
         .select(*keys, F.lit(True).alias("__hot"))
     )
+    hot = cut_lineage(hot)
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+        "__salt", F.when(F.col("__hot") | empty, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     )
     salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     )
     joined = salted_rows.drop("__hot").join(salted_facts.drop("__hot"), [*keys, "__salt"], how)
     return joined.drop("__salt")
 
 
-def _bucket(c: Column, cuts: list[str], data_type) -> Column:
-    """Index of the first cut above ``c``: a balanced tree of comparisons that stays inside generated code."""
-
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(cuts[mid]).cast(data_type), node(lo, mid)).otherwise(node(mid + 1, hi))
-
-    return node(0, len(cuts))
-
-
-def _cut_points(df: DataFrame, order: str, row_id: str) -> list[str]:
-    """At most ``SPLITTERS`` ascending values of ``order``, drawn evenly over the rows.
-
-    They only balance the work; the result does not depend on them.
-    """
-    drawn = (
-        df.where(F.col(order).isNotNull())
-        .select(order, F.xxhash64(row_id, order).alias("__h")).orderBy("__h").limit(SPLITTERS)
-    )
-    return drawn.agg(F.array_sort(F.collect_set(order)).cast("array<string>")).first()[0]
-
-
 def carry(
     df: DataFrame, value: str, order: str, row_id: str, partition_by: list[str] | None = None, how: str = "last",
-    out: str = "carried", split: bool | None = None, cuts_from: DataFrame | None = None,
+    out: str = "carried", split: bool | None = None,
 ) -> DataFrame:
     """Add ``out``: what the earlier rows of the group carry to this one.
 
     ``last`` is the latest earlier non-NULL ``value``; ``max`` the largest ``value`` so far, this row included.
-    Rows are ordered by ``(order, row_id)``.  The order is cut into slices of about equal size, each (group, slice)
-    is scanned on its own, and one summary row per (group, slice) hands the state on, so neither a group that fills
-    a third of the table nor a table without groups runs in one task.  A table small enough to be broadcast is
-    scanned in one slice.  ``cuts_from`` names a cheaper table with the same spread of ``order`` and ``row_id``.
+    Rows are ordered by ``(order, row_id)``, rows without ``order`` first.  A table too large to be broadcast is range
+    partitioned by that order into slices, their number taken from its size, and stored; each (group, slice) is scanned on
+    its own, and one summary row per (group, slice) hands the state on, so neither a group that fills a third of the table
+    nor a table without groups nor a value of ``order`` that many rows share runs in one task.  A smaller table is scanned
+    in one slice.
     """
     keys = list(partition_by or [])
-    source = df if cuts_from is None else cuts_from
-    split = plan_bytes(source) > broadcast_limit(df.sparkSession) if split is None else split
-    cuts = _cut_points(source, order, row_id) if split else []
-    sliced = df.withColumn("__slice", _bucket(F.col(order), cuts, df.schema[order].dataType).cast("int"))
-    within = Window.partitionBy(*keys, "__slice").orderBy(F.col(order), F.col(row_id))
+    size = plan_bytes(df)
+    split = size > broadcast_limit(df.sparkSession) if split is None else split
+    first = [F.col(order).asc_nulls_first(), F.col(row_id).asc_nulls_first()]
+    sliced = df
+    if split:
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(size, 1 << 60) / SLICE_BYTES))
+        ranged = df.repartitionByRange(min(n, 1_000_000), *first)
+        sliced = cut_lineage(ranged.withColumn("__slice", F.spark_partition_id()))
+    within = Window.partitionBy(*keys, *(["__slice"] if split else [])).orderBy(*first)
     if how == "last":
         local = F.last(value, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
-        end = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(order, row_id)))
+        end = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(F.col(order).isNotNull().alias("o"), order, row_id)))
         over_slices, pick = F.last("__end", ignorenulls=True), F.coalesce
     elif how == "max":
         local = F.max(value).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -90,8 +87,8 @@ def carry(
     else:
         raise ValueError(f"unknown carry: {how}")
     scanned = sliced.withColumn("__local", local)
-    if not cuts:
-        return scanned.withColumnRenamed("__local", out).drop("__slice")
+    if not split:
+        return scanned.withColumnRenamed("__local", out)
     ends = sliced.groupBy(*keys, "__slice").agg(end.alias("__end"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     handed = ends.select(*keys, "__slice", over_slices.over(before).alias("__before"))

@@ -43,7 +43,7 @@ def _probes(values: DataFrame, k: int) -> DataFrame:
 def near_words(values: DataFrame, value: str, words: DataFrame, word: str, max_distance: int = 2) -> DataFrame:
     """For every distinct value that is no dictionary word: the nearest word within ``max_distance`` edits.
 
-    Columns ``value, nearest, distance``; ties go to the smaller word.
+    Columns ``value, nearest, distance, ways``; ties go to the smaller word, and ``ways`` counts the words at that distance.
     """
     w = words.select(strip(F.col(word)).alias("w")).where("w IS NOT NULL AND w <> ''").distinct()
     v = values.select(strip(F.col(value)).alias("v")).where("v IS NOT NULL AND v <> ''").distinct()
@@ -52,8 +52,10 @@ def near_words(values: DataFrame, value: str, words: DataFrame, word: str, max_d
     pieces = w.select("w", F.explode(_pieces(F.col("w"), max_distance)).alias("p")).select("w", "p.*")
     pairs = probes.join(pieces, ["n", "i", "piece"]).select("v", "w").distinct()
     near = pairs.withColumn("d", F.levenshtein("v", "w", max_distance)).where("d >= 1")
-    best = near.groupBy("v").agg(F.min(F.struct("d", "w")).alias("b"))
-    return best.select(F.col("v").alias("value"), F.col("b.w").alias("nearest"), F.col("b.d").alias("distance"))
+    # At most ``max_distance`` counts per value: how many words lie at each distance.
+    at = near.groupBy("v", "d").agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("ways"))
+    best = at.groupBy("v").agg(F.min(F.struct("d", "w", "ways")).alias("b"))
+    return best.select(F.col("v").alias("value"), F.col("b.w").alias("nearest"), F.col("b.d").alias("distance"), F.col("b.ways").alias("ways"))
 
 
 def frequent_values(df: DataFrame, col: str, at_least: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbers import number_of
 from ..functions.text import is_blank
 from .keyed import to_findings
 from .skew import lookup_join
@@ -85,7 +86,7 @@ def _flag(df: DataFrame, stats: DataFrame, value: str, bad: Column, row_id: str,
 def _prepared(df: DataFrame, value: Column | str, group: str | None, row_id: str) -> DataFrame:
     v = F.col(value) if isinstance(value, str) else value
     return df.select(
-        F.col(row_id).cast("bigint").alias("row_id"), v.cast("double").alias("__value"),
+        F.col(row_id).cast("bigint").alias("row_id"), number_of(df, v).alias("__value"),
         (F.lit(0) if group is None else F.col(group)).alias("__group"),
     ).where("__value IS NOT NULL AND NOT isnan(__value)")
 
@@ -139,7 +140,7 @@ def outlier_ratio(
     df: DataFrame, numerator: Column, denominator: Column, report_col: str, test: str = "mad", **how
 ) -> DataFrame:
     """Outliers of a derived ratio, reported on one of the columns behind it; zero denominators are left out."""
-    ratio = F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    ratio = F.try_divide(number_of(df, numerator), number_of(df, denominator))
     return OUTLIER_TESTS[test](df, ratio, report_col=report_col, **how)
 
 
@@ -148,7 +149,7 @@ def context_bound(
 ) -> DataFrame:
     """Values outside the limits of their category. ``limits`` holds ``category, lo, hi``, each category once."""
     rows = df.select(
-        F.col(row_id).cast("bigint").alias("row_id"), F.col(category).alias("__c"), F.col(col).cast("double").alias("__value")
+        F.col(row_id).cast("bigint").alias("row_id"), F.col(category).alias("__c"), number_of(df, F.col(col)).alias("__value")
     ).where("__value IS NOT NULL AND __c IS NOT NULL")
     bounds = limits.select(F.col("category").alias("__c"), "lo", "hi")
     found = lookup_join(rows, bounds, ["__c"], "row_id", "inner").where("__value < lo OR __value > hi")

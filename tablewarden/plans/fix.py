@@ -70,8 +70,9 @@ def fix_nearest_value(spark, sf):
 @query("fix_nearest_value_from_table", f"""
 WITH d AS (SELECT n_nationkey, {s_spoilt('n_name', s_picked('n_nationkey', '0:n_name', 0.4), s_typo('n_name', 'n_nationkey', 'n_name'))} AS v FROM nation),
 p AS (SELECT d.n_nationkey, n.n_name AS w, levenshtein(trim(v), n.n_name) AS k FROM d, nation n WHERE trim(v) NOT IN (SELECT n_name FROM nation)),
-b AS (SELECT n_nationkey, min(struct_pack(k := k, w := w)) AS b FROM p WHERE k BETWEEN 1 AND 2 GROUP BY 1)
-SELECT {_prop('n_nationkey', 'n_name', 'b.w')} FROM b
+b AS (SELECT n_nationkey, min(k) AS k FROM p WHERE k BETWEEN 1 AND 2 GROUP BY 1),
+u AS (SELECT n_nationkey, min(w) AS w FROM p JOIN b USING (n_nationkey, k) GROUP BY 1 HAVING count(*) = 1)
+SELECT {_prop('n_nationkey', 'n_name', 'w')} FROM u
 """)
 def fix_nearest_value_from_table(spark, sf):
     nation = table(spark, sf, "nation")

@@ -78,11 +78,18 @@ def stream_repeated_keys(spark, sf):
     return found.join(ids, "row_id").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("later_copies"))
 
 
-def _submission_stream(spark, sf) -> DataFrame:
+def _submission_stream(spark, sf, batches: int = 1) -> DataFrame:
+    """The submissions as files that arrive in order of step, one file for each of several batches."""
     path = fresh_path(spark, "submissions")
     made = submissions(spark, sf)
-    made.write.parquet(path)
-    return spark.readStream.schema(made.schema).parquet(path)
+    if batches == 1:
+        made.write.parquet(path)
+        return spark.readStream.schema(made.schema).parquet(path)
+    last = made.agg(F.max("step")).first()[0] or 1
+    for i in range(batches):
+        part = made.where(F.col("step").between(last * i // batches + 1, last * (i + 1) // batches))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("stream_episode_best", f"""
@@ -99,14 +106,16 @@ def stream_episode_best(spark, sf):
 
 
 @query("stream_batch_scores", f"""
-WITH {SCORES} SELECT episode_id, step, round(combined_reward, 6)::DOUBLE AS combined_reward FROM sheet
+WITH {SCORES} SELECT episode_id, step, round(combined_reward, 6)::DOUBLE AS combined_reward, round(best_score, 6)::DOUBLE AS best_score,
+ round(greatest(0.001, least(0.999, best_score)), 6)::DOUBLE AS reward, f1 >= 0.999 OR step >= 3 AS done FROM sheet
 """)
 def stream_batch_scores(spark, sf):
-    """Full scores, fixes included, per micro-batch."""
+    """Full scores, fixes included, over several micro-batches; the best score of an episode is carried from batch to batch."""
     truth, path = truth_of(spark, sf), fresh_path(spark, "scores")
     write = score_batches(truth, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), decimals=None)
-    stream = _submission_stream(spark, sf).writeStream.foreachBatch(write).option("checkpointLocation", path + "-state")
+    stream = _submission_stream(spark, sf, batches=3).writeStream.foreachBatch(write).option("checkpointLocation", path + "-state")
     stream.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).select("episode_id", "step", F.round("combined_reward", 6).alias("combined_reward"))
+    rounded = [F.round(c, 6).alias(c) for c in ("combined_reward", "best_score", "reward")]
+    return spark.read.parquet(path).select("episode_id", "step", *rounded, "done")
 
 

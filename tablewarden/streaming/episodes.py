@@ -1,7 +1,8 @@
 """Scoring submissions as they arrive.
 
 A submission is scored inside its row against the truth of its dataset, so the only state is one small record per
-episode: steps taken, best score, done.  A truth table too large to sit beside the rows is joined per micro-batch.
+episode: steps taken, best score, done.  A truth table too large to sit beside the rows is joined with what was reported, key by
+key, and the submission is put together again where its episode's state is.
 """
 
 from __future__ import annotations
@@ -14,16 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.parse import parse_issue
-from ..operators.score import DONE_F1, MAX_STEPS, score_steps, truth_keys
+from ..operators.score import DONE_F1, MAX_STEPS, clamp, score_steps, truth_keys
+from ..session import cut_lineage, fresh_path
 
-TRUTH_ROWS = 50_000  # a dataset's truth is carried as one array per row of the join; beyond this use score_batches
+TRUTH_ROWS = 50_000  # most planted faults that are folded and broadcast beside a stream; more are joined
+STATE_DAYS = 30  # an episode silent for so long is forgotten, unless the caller says otherwise
 
 
 def broadcast_truth(truth: DataFrame) -> DataFrame:
-    """Truth folded to one row per dataset, after a check of its size."""
-    widest = truth.groupBy("dataset").count().agg(F.max("count"), F.sum("count")).first()
-    if (widest[1] or 0) > TRUTH_ROWS:
-        raise ValueError(f"{widest[1]} planted faults are too many to broadcast; use score_batches")
+    """Truth folded to one row per dataset.  For tables of known small size; ``stream_episodes`` counts before it does so."""
     keys = truth_keys(truth).groupBy("dataset").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("row_id", "col", "issue_type"), "difficulty"))).alias("keys")
     )
@@ -62,6 +62,8 @@ def score_rows(submissions: DataFrame, folded: DataFrame) -> DataFrame:
 class _Episode(StatefulProcessor):
     """Running best of one episode, in order of arrival; submissions that arrive together are taken by step."""
 
+    max_steps = MAX_STEPS
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("episode", "steps bigint, best double, done boolean")
 
@@ -71,7 +73,7 @@ class _Episode(StatefulProcessor):
             batch = batch.sort_values("step", kind="stable")
             running = batch["score"].cummax().clip(lower=best)
             taken = steps + pd.RangeIndex(1, len(batch) + 1).to_numpy()
-            ended = (batch["f1"].to_numpy() >= DONE_F1) | (taken >= MAX_STEPS)
+            ended = (batch["f1"].to_numpy() >= DONE_F1) | (taken >= self.max_steps)
             yield pd.DataFrame({
                 "episode_id": key[0], "step": batch["step"].astype("int32").to_numpy(), "score": batch["score"].to_numpy(),
                 "steps_taken": taken, "best_score": running.to_numpy(), "done": ended,
@@ -84,24 +86,56 @@ class _Episode(StatefulProcessor):
 
 
 class _EpisodeWithin(_Episode):
-    ttl_ms = 0
+    ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("episode", "steps bigint, best double, done boolean", ttlDurationMs=self.ttl_ms)
 
 
+class _EpisodeOfReports(_EpisodeWithin):
+    """The same from one row per reported key: the submission's counts are summed here first."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        sums = pd.concat([
+            part.groupby("step").agg(n_reported=("reported", "sum"), tp=("hit", "sum"), found=("difficulty", "sum"), n_keys=("n_keys", "max"), n=("n", "max"), total=("total", "max"))
+            for part in rows])
+        sums = sums.groupby(level=0).agg({"n_reported": "sum", "tp": "sum", "found": "sum", "n_keys": "max", "n": "max", "total": "max"})
+        ratio = lambda a, b: (a / b.where(b != 0)).fillna(0.0)
+        p, r, wr = ratio(sums.tp, sums.n_reported), ratio(sums.tp, sums.n_keys), ratio(sums.found, sums.total)
+        wp = ratio(sums.found, sums.found + (sums.n_reported - sums.tp) * ratio(sums.total, sums.n))
+        clean = (sums.n_reported == 0) & (sums.n == 0)
+        scored = pd.DataFrame({
+            "step": sums.index, "score": ratio(2 * wp * wr, wp + wr).mask(clean, 1.0).to_numpy(), "f1": ratio(2 * p * r, p + r).mask(clean, 1.0).to_numpy(),
+        })
+        yield from super().handleInputRows(key, iter([scored]), timer_values)
+
+
+def report_rows(submissions: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per submission and distinct reported key, at least one per submission, joined with the truth of any size."""
+    reported = F.filter(F.array_distinct(F.transform("issues", lambda x: parse_issue(x))), lambda p: p.isNotNull())
+    rows = submissions.select("episode_id", "step", "dataset", F.explode_outer(reported).alias("r")).select("episode_id", "step", "dataset", "r.*", F.col("r").isNotNull().cast("bigint").alias("reported"))
+    keys = truth_keys(truth).select("dataset", "row_id", "col", "issue_type", F.col("difficulty").cast("double").alias("difficulty"), F.lit(1).cast("bigint").alias("hit"))
+    counts = truth_keys(truth).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_keys"))
+    totals = truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("difficulty").cast("double").alias("total")).join(counts, "dataset")
+    joined = rows.join(keys, ["dataset", "row_id", "col", "issue_type"], "left").join(totals, "dataset", "left")
+    return joined.select(
+        "episode_id", "step", "reported", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("hit", "bigint"), ("difficulty", "double"), ("n_keys", "bigint"), ("n", "bigint"), ("total", "double"))])
+
+
 def stream_episodes(
-    submissions: DataFrame, truth: DataFrame, ttl_ms: int | None = None
+    submissions: DataFrame, truth: DataFrame, ttl_ms: int | None = STATE_DAYS * 86_400_000, max_steps: int = MAX_STEPS, broadcast_rows: int = TRUTH_ROWS
 ) -> DataFrame:
     """Running best, step count and end of every episode over a stream of identification reports.
 
-    Needs the RocksDB state store.  ``ttl_ms`` drops episodes that have been silent for that long.
+    Needs the RocksDB state store.  Episodes that have been silent for ``ttl_ms`` are dropped; ``None`` keeps them for ever.
+    The truth may have any size: up to ``broadcast_rows`` planted faults, counted here, are broadcast; more are joined.
     """
-    scored = score_rows(submissions, broadcast_truth(truth)).select("episode_id", "step", F.col("identify_score").alias("score"), "f1")
-    processor: StatefulProcessor = _Episode()
-    if ttl_ms:
+    if truth.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        scored = score_rows(submissions, broadcast_truth(truth)).select("episode_id", "step", F.col("identify_score").alias("score"), "f1")
         processor = _EpisodeWithin()
-        processor.ttl_ms = ttl_ms
+    else:
+        scored, processor = report_rows(submissions, truth), _EpisodeOfReports()
+    processor.ttl_ms, processor.max_steps = ttl_ms, max_steps
     return scored.groupBy("episode_id").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType="episode_id string, step int, score double, steps_taken bigint, best_score double, done boolean",
@@ -109,14 +143,39 @@ def stream_episodes(
     )
 
 
-def score_batches(truth: DataFrame, write: Callable[[DataFrame, int], None], **how) -> Callable[[DataFrame, int], None]:
+def score_batches(
+    truth: DataFrame, write: Callable[[DataFrame, int], None], state: str | None = None, **how
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that scores each micro-batch with the table scorer, fixes included.
 
-    ``write`` gets the scores and the batch number; a batch may be run again after a failure, so it should overwrite
-    what it wrote for that number.
+    The best score of every episode so far is kept in the folder ``state`` (a fresh shared one by default), one table per batch
+    number, so ``best_score`` and ``reward`` are those of one table that holds all batches; name the folder to go on after a
+    restart.  ``write`` gets the scores and the batch number; a batch may be run again after a failure, so it should overwrite
+    what it wrote for that number, as is done with the state.
     """
+    place = state
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write(score_steps(batch, truth, **how), batch_id)
+        nonlocal place
+        spark = batch.sparkSession
+        place = place or fresh_path(spark, "episodes")
+        scored = score_steps(batch, truth, **how)
+        kind = scored.schema["best_score"].dataType.simpleString()
+        schema = f"episode_id {scored.schema['episode_id'].dataType.simpleString()}, before {kind}"
+        if batch_id:
+            before = spark.read.schema(schema).parquet(f"{place}/batch={batch_id - 1}")
+        else:
+            before = spark.createDataFrame([], schema)
+        best = F.greatest("best_score", "before")
+        full = cut_lineage(scored.join(before, "episode_id", "left").withColumn("best_score", best).withColumn("reward", clamp(F.col("best_score"))).select(*scored.columns))
+        write(full, batch_id)
+        now = full.groupBy("episode_id").agg(F.max("best_score").alias("before"))
+        now.unionByName(before).groupBy("episode_id").agg(F.max("before").alias("before")).write.mode("overwrite").parquet(f"{place}/batch={batch_id}")
 
     return run
+
+
+def keep_until_done(step_scores: DataFrame) -> DataFrame:
+    """The submissions of a score sheet up to and with the first that ended its episode; what came after it does not count."""
+    ends = step_scores.where("done").groupBy("episode_id").agg(F.min("step").alias("__end"))
+    return step_scores.join(ends, "episode_id", "left").where("__end IS NULL OR step <= __end").drop("__end")

@@ -62,8 +62,31 @@ def test_misspelling_of_a_few_words(spark):
     df = table(spark, "d", [("Engneering",), ("Engineering",), ("Fitness",), ("HRR",), ("",)])
     found = rules.run_rules(df, [rules.misspelling("d", ["Engineering", "HR", "Sales"])]).collect()
     assert {(r.row_id, r.expected) for r in found} == {(1, "Engineering"), (4, "HR")}
-    with pytest.raises(ValueError):
-        rules.misspelling("d", [f"w{i}" for i in range(100)])
+    many = ["Engineering", "HR", "Sales", *(f"wordnumber{i}" for i in range(100))]
+    assert {(r.row_id, r.expected) for r in rules.run_rules(df, [rules.misspelling("d", many)]).collect()} == {(1, "Engineering"), (4, "HR")}
+    assert rules.run_rules(df, [rules.misspelling("d", [])]).count() == 0
+
+
+def test_table_and_list_forms_of_nearest_value_agree(spark):
+    words, given = ["bat", "hat", "Sports", "Books"], ["cat", "batt", "Fitness", "Bookz", "hat", None]
+    df = table(spark, "d", [(g,) for g in given])
+    listed = df.select("row_id", repair.nearest_value("d", words, aliases={"Fitness": "Sports"}).alias("p")).where("p IS NOT NULL").collect()
+    dictionary = spark.createDataFrame([(w,) for w in words], "word string")
+    found = repair.nearest_value_from(df, "d", dictionary, aliases={"Fitness": "Sports"}).collect()
+    assert {(r.row_id, r.p) for r in listed} == {(r.row_id, r.proposed) for r in found} == {(2, "bat"), (3, "Sports"), (4, "Books")}
+
+
+def test_bad_cells_never_stop_a_numeric_check(spark):
+    from tablewarden.operators import ordered, statistics
+
+    df = table(spark, "v,w,k", [("1", "2", "a"), ("abc", "0", "a"), ("", "x", "a"), ("3.5", "1", "b"), (None, None, None), ("1e400", "1", "b"), (" 2 ", "1", "a")])
+    for test in (statistics.outlier_zscore, statistics.outlier_iqr, statistics.outlier_mad):
+        assert test(df, "v", "k").count() >= 0
+    assert statistics.outlier_ratio(df, F.col("v"), F.col("w"), "v").count() >= 0
+    limits = spark.createDataFrame([("a", 0.0, 1.5)], "category string, lo double, hi double")
+    assert {r.row_id for r in statistics.context_bound(df, "v", "k", limits).collect()} == {7}
+    assert ordered.id_profile(df, "v").first()["n_distinct"] == 2
+    assert {r.row_id for r in ordered.sequential_id(df, "v").collect()} == set()
 
 
 def test_implication_and_context(spark):

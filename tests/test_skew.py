@@ -51,6 +51,35 @@ def test_carry_in_slices_equals_a_window(spark, groups):
     assert {r.row_id: r.carried for r in top.collect()} == {k: v[1] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("how", ["last", "max"])
+def test_carry_agrees_in_slices_with_missing_and_equal_orders(spark, how):
+    rows = [(i, "g" if i % 2 else "h", None if i % 5 == 0 else 7 if i % 3 else i, None if i % 7 == 0 else float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, k string, t int, v double").repartition(5)
+    for groups in (["k"], []):
+        whole, cut = (skew.carry(df, "v", "t", "row_id", groups, how, split=s).select("row_id", "carried").collect() for s in (False, True))
+        assert sorted(whole) == sorted(cut)
+
+
+def test_one_shared_order_value_is_cut_into_slices(spark):
+    df = spark.range(10_000).select(F.col("id").alias("row_id"), F.lit(1).alias("t"), F.col("id").cast("double").alias("v"))
+    cut = skew.carry(df, "v", "t", "row_id", [], "max", split=True)
+    assert {r.row_id: r.carried for r in cut.collect()} == {i: float(i) for i in range(10_000)}
+    assert "Window [" in cut._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_facts_of_a_large_aggregate_are_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        rows = spark.range(200_000).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("k"))
+        facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        plan = skew.lookup_join(rows, facts, ["k"], "row_id", "inner")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_carry_slices_text_order(spark):
     rows = hot_rows(spark).withColumn("name", F.lpad(F.col("t").cast("string"), 5, "x"))
     got = {r.row_id: r.carried for r in skew.carry(rows, "v", "name", "row_id", ["k"], split=True).collect()}

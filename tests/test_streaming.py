@@ -76,3 +76,25 @@ def test_episodes_keep_their_best_between_batches(rocks, tmp_path, truth):
     assert 0 < first < 1 and e[2].score == 0 and e[2].best_score == first and not e[2].done
     assert e[3].best_score == 1.0 and e[3].done and e[3].steps_taken == 3
     assert [r.best_score for r in out if r.episode_id == "f"] == [0.0]
+
+
+def test_episodes_score_alike_when_the_truth_is_joined(rocks, tmp_path, truth):
+    subs = files(rocks, tmp_path, SUBS, SUBMISSIONS)
+    joined = drain(stream_episodes(subs, truth, broadcast_rows=0), tmp_path / "a")
+    folded = drain(stream_episodes(subs, truth), tmp_path / "b")
+    values = lambda rows: sorted((r.episode_id, r.step, r.steps_taken, round(r.best_score, 9), round(r.score, 9), r.done) for r in rows)
+    assert values(joined) == values(folded) and len(joined) == 4
+
+
+def test_batches_carry_the_best_score(spark, truth):
+    from tablewarden.streaming import keep_until_done, score_batches
+
+    whole = score.score_steps(spark.createDataFrame([s for batch in SUBS for s in batch], SUBMISSIONS), truth)
+    written = {}
+    run = score_batches(truth, lambda df, n: written.update({n: df.collect()}))
+    for n in (0, 1, 1, 2):  # one batch is run again
+        run(spark.createDataFrame(SUBS[n], SUBMISSIONS), n)
+    got = {(r.episode_id, r.step): (r.best_score, r.reward, r.done) for rows in written.values() for r in rows}
+    assert got == {(r.episode_id, r.step): (r.best_score, r.reward, r.done) for r in whole.collect()}
+    sheet = spark.createDataFrame([("e", 1, False), ("e", 2, True), ("e", 3, True), ("f", 1, False)], "episode_id string, step int, done boolean")
+    assert sorted((r.episode_id, r.step) for r in keep_until_done(sheet).collect()) == [("e", 1), ("e", 2), ("f", 1)]
