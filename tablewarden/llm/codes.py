@@ -11,11 +11,12 @@ parts themselves, all little-endian.  One file holds the documents of one range
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,11 +117,10 @@ class WordCache:
     The text is cut before every space that a character other than white space follows.  The tokenizer's own split never joins
     two such pieces: white space before the cut ends in it, and nothing but white space spans one.
 
-    When the young pieces are more than ``most``, those met twice since they came are kept as old ones and the others are
-    forgotten; too many old ones are forgotten together.  What is remembered changes the time only, never the ids.
+    A table with more than ``most`` pieces is emptied; that changes the time only, never the ids.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -128,37 +128,28 @@ class WordCache:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._known: dict[str, bytes] = {}
-        self._young: set[str] = set()
-        self._again: set[str] = set()
 
-    def ids(self, texts: list[str], at_once: int = 200) -> Iterator[bytes]:
+    def ids(self, texts: list[str], at_once: int = 500) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for at in range(0, len(texts), at_once):
             cut = [_pieces(t) for t in texts[at : at + at_once]]
-            met = set().union(*cut)
-            new = list(met.difference(self._known))
-            if len(self._young) + len(new) > self._most:
-                self._forget()
-                new = list(met.difference(self._known))
-            self._again |= met & self._young
-            encoded = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self._known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
-            self._young.update(new)
+            if len(self._known) > self._most:
+                self._known = {}
+            known = self._known
+            new = list({p for pieces in cut for p in pieces if p not in known})
+            for start in range(0, len(new), 20_000):
+                part = new[start : start + 20_000]
+                encoded = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                known.update(zip(part, (_bytes(e.ids) for e in encoded)))
             for pieces in cut:
-                yield b"".join(map(self._known.__getitem__, pieces))
+                yield b"".join(map(known.__getitem__, pieces))
 
-    def _forget(self) -> None:
-        for piece in self._young - self._again:
-            del self._known[piece]
-        self._young, self._again = set(), set()
-        if len(self._known) > 2 * self._most:
-            self._known = {}
 
-
-@functools.cache
-def word_cache(path: str, most: int) -> WordCache:
-    """One table for all tasks that a Python worker runs one after another."""
-    return WordCache(path, most)
+def _bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
 
 
 _GAP = re.compile(r" (?=\s|\Z)")
@@ -172,7 +163,7 @@ def _pieces(text: str) -> list[str]:
 
 
 def write_codes(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2,
-                rows_per_file: int = 20_000, cache: int = 300_000) -> DataFrame:
+                rows_per_file: int = 20_000, cache: int = 500_000) -> DataFrame:
     """Encode the texts, append ``end_id`` to each, write the ids below ``folder`` in ascending document order, and return the
     index: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``file``, ``at`` (place of its first id there).
 
@@ -191,7 +182,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str =
             if fs is None:
                 fs, root = open_folder(folder)
                 fs.create_dir(root, recursive=True)
-                words = word_cache(tokenizer_path, cache)
+                words = WordCache(tokenizer_path, cache)
             end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
             ids = [x + end for x in words.ids(frame["text"].tolist())]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
