@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tablewarden.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,12 +26,12 @@ def normal(rows):
     return sorted((tuple(cell(v) for v in r) for r in rows), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = catalogue.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)
     got = df.select(*cols).collect()
-    sql = entry.oracle_sql().get(name)
+    sql = catalogue.oracle_sql().get(name)
     if sql is None:
         assert got
         return
@@ -46,4 +47,5 @@ def test_entry(spark):
 
 
 def test_only_texts_without_a_twin_have_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"near_duplicate_lsh", "step_feedback"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"near_duplicate_lsh", "step_feedback"}
+    assert set(catalogue.queries()) <= set(entry.queries()) and set(catalogue.oracle_sql()) <= set(entry.oracle_sql())
