@@ -315,7 +315,7 @@ def review_unplanted(spark, sf):
 
 @query("review_partial_fixes", f"""
 WITH {SUBS}, {TRUTH}, {FIXES} SELECT episode_id, step, 'row:' || row_id || ',col:' || col AS item,
- 'Fix scored ' || printf('%.2f', score) || ' (' || reason || ') — human should verify if acceptable' AS reason FROM gd WHERE score > 0 AND score < 0.99
+ 'repair graded ' || printf('%.2f', score) || ': ' || reason || '; accept or reject by hand' AS reason FROM gd WHERE score > 0 AND score < 0.99
 """)
 def review_partial_fixes(spark, sf):
     details = score.grade_fixes(parse.parse_fixes(submissions(spark, sf)), truth_of(spark, sf))
@@ -327,7 +327,7 @@ WITH {SUBS}, {REPS}, {TRUTH}, m AS (
  SELECT s.episode_id, s.step, t.row_id, t.col, t.issue_type, t.descr FROM sub s JOIN truth t USING (dataset) WHERE t.d >= 2.5
  EXCEPT SELECT episode_id, step, rep.row_id, rep.col, rep.issue_type, t.descr FROM rep JOIN truth t USING (dataset, row_id, col, issue_type))
 SELECT episode_id, count(*) AS flags, min('row:' || row_id || ',col:' || col || ',issue:' || issue_type) AS first_item,
- max('High-difficulty issue (difficulty=2.5) missed — ' || descr) AS reason FROM m GROUP BY 1
+ max('hard fault not found, difficulty 2.5: ' || descr) AS reason FROM m GROUP BY 1
 """)
 def review_missed_hard(spark, sf):
     """Flags of missed hard faults, counted per episode."""

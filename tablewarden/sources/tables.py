@@ -12,11 +12,12 @@ from ..types import SUBMISSIONS
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: str | None = None,
-               multiline: bool = False, **options) -> DataFrame:
+               multiline: bool = True, **options) -> DataFrame:
     """Read csv, parquet, json, orc or any other source Spark knows.
 
     CSV keeps every column as text unless a schema is given, doubles quotes inside quotes and reads empty fields as
-    NULL.  ``multiline`` allows line ends inside cells; such files cannot be split, so it is off unless asked for.
+    NULL.  ``multiline`` keeps line ends inside cells, which would else break a row in two without notice; such files are read
+    whole, one per task, so switch it off for large files that are known to hold one row per line.
     """
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read.options(**options)

@@ -138,14 +138,14 @@ def test_flags(small):
 def test_feedback_names_right_wrong_and_missed(small):
     subs, truth = small
     texts = {r.step: r.feedback for r in review.step_feedback(subs, truth, score.score_steps(subs, truth)).collect()}
-    assert texts[1].startswith("Step 1/3\n\n--- Identification ---\nIssues reported: 3\n")
-    assert "Correct issues: row:1,col:a,issue:missing_value\n" in texts[1]
-    assert "Incorrect issues (false positives): row:9,col:a,issue:odd, row:9,col:a,issue:wrong_type\n" in texts[1]
-    assert "  row:1,col:a -> partial (valid fix (non-empty value for missing field))" in texts[1]
-    assert "  row:5,col:a -> wrong (not an issue cell)" in texts[1]
-    assert "Parse errors (1): Could not parse issue: '?'" in texts[1] and "You missed 1 issue(s)." in texts[1]
-    assert "--- Flagged for Human Review (3) ---" in texts[1] and "Tip: Submit fixes" not in texts[1]
-    assert "Task complete! Final best reward: 1.000" in texts[2] and "Tip: Submit fixes" in texts[2]
+    assert texts[1].startswith("submission 1 of at most 3\n\n== faults reported ==\n3 reported: 1 right, 2 wrong; 1 planted ones not found\n")
+    assert "right: row:1,col:a,issue:missing_value\n" in texts[1]
+    assert "wrong: row:9,col:a,issue:odd, row:9,col:a,issue:wrong_type\n" in texts[1]
+    assert "  row:1,col:a: in part, valid fix (non-empty value for missing field)" in texts[1]
+    assert "  row:5,col:a: none, not an issue cell" in texts[1]
+    assert "Parse errors (1): Could not parse issue: '?'" in texts[1] and "still hidden: 1\n" in texts[1]
+    assert "== for a reviewer: 3 ==" in texts[1] and "no repairs proposed" not in texts[1]
+    assert "episode ended, best reward 1.000" in texts[2] and "no repairs proposed" in texts[2]
 
 
 def test_cell_states_and_replay(small):
