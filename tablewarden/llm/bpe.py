@@ -12,6 +12,7 @@ their tokens spans it, so the ids of a text are those of its words in order.
 
 from __future__ import annotations
 
+import functools
 import math
 import os
 from collections import defaultdict
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import plan_bytes
 from .common import rows_of
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 8_000_000
 SHARE_BYTES = 8 << 20  # of the documents as stored, for one share of the word table
 MOST_SHARES = 1 << 20  # as many tasks as a stage well has; with more data a share only holds more words
 
@@ -88,9 +89,12 @@ def _coded(texts: list[str]) -> tuple[dict[bytes, int], list[np.ndarray]]:
     return table, sequences
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS,
+           with_text: bool = False) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) of every document, as the tokenizer encodes its whole text without special tokens added.
 
+    ``with_text`` adds ``decoded``, what ``decode`` makes of the ids, in the same pass.
+
     Null and empty texts give an empty array; repeated rows and null ids are kept; an empty table gives no rows.  ``docs`` is
     read twice and must give the same rows in the same order both times, as a stored table does; the key of a block is a hash
     of its texts, and a block whose two readings differ fails the job instead of giving wrong ids.
@@ -159,14 +163,16 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             n = sizes[own]
             ends = np.cumsum(n)
             made.append(flat_ids[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-        return pd.DataFrame({"doc_id": parts["doc_id"].astype("Int64"), "ids": made})
+        made = pd.DataFrame({"doc_id": parts["doc_id"].astype("Int64"), "ids": made})
+        return made.assign(decoded=[text_of(ids, pieces(tokenizer_path)) for ids in made["ids"]]) if with_text else made
 
     table = flat.mapInPandas(words, "block bigint, share bigint, codes binary, words binary").repartition(shares, "share").sortWithinPartitions("share")
     back = table.mapInPandas(encode_words, "block bigint, codes binary, counts binary, ids binary")
     coded = flat.mapInPandas(sequences, "block bigint, doc_id bigint, codes binary")
-    return coded.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>")
+    return coded.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>" + (", decoded string" if with_text else ""))
 
 
+@functools.cache
 def pieces(tokenizer_path: str) -> np.ndarray:
     """The id-to-piece table; its size is that of the vocabulary, whatever the corpus."""
     from tokenizers import Tokenizer
@@ -179,23 +185,23 @@ def pieces(tokenizer_path: str) -> np.ndarray:
     return table
 
 
+def text_of(ids, table: np.ndarray) -> str:
+    """Every id joined to its piece, in place; as the tokenizer has no decoder, the pieces stand with one space between them."""
+    ids = np.zeros(0, np.int64) if ids is None else np.asarray(ids, np.int64)
+    found = table[ids[(ids >= 0) & (ids < len(table))]].tolist()
+    return " ".join(found if None not in found else [p for p in found if p is not None])
+
+
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``encoded`` with the text of its ``ids`` as ``decoded``: every id is joined to its piece, in place, and as the tokenizer
-    has no decoder the pieces are put together with one space between them.  Ids that have no piece are left out, as the
+    """``encoded`` with the text of its ``ids`` as ``decoded`` (see ``text_of``).  Ids that have no piece are left out, as the
     tokenizer does; no ids, or null, give an empty text."""
     @F.pandas_udf("string")
-    def text_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = pieces(tokenizer_path)
-        known = np.array([p is not None for p in table])
         for column in parts:
-            made = []
-            for ids in column:
-                ids = np.zeros(0, np.int64) if ids is None else np.asarray(ids, np.int64)
-                ids = ids[(ids >= 0) & (ids < len(table))]
-                made.append(" ".join(table[ids[known[ids]]].tolist()))
-            yield pd.Series(made, dtype=object)
-
-    return encoded.withColumn("decoded", text_of("ids"))
+            yield pd.Series([text_of(ids, table) for ids in column], dtype=object)
+
+    return encoded.withColumn("decoded", texts("ids"))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

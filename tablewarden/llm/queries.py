@@ -60,7 +60,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(parquet(spark, sf_dir, "documents"), path), path))
+    return bpe.digests(bpe.encode(parquet(spark, sf_dir, "documents"), path, with_text=True))
 
 
 @query("op6_repeats", r"""

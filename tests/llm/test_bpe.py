@@ -32,6 +32,8 @@ def test_ids_and_texts_are_those_of_the_library(spark, block_chars):
     docs = spark.createDataFrame([(i, t, "noise", 1) for i, t in rows], "doc_id long, text string, ids string, block int").repartition(3)
     got = bpe.digests(bpe.decode(bpe.encode(cut_lineage(docs), PATH, block_chars=block_chars), PATH))
     assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+    same = bpe.digests(bpe.encode(cut_lineage(docs), PATH, block_chars=block_chars, with_text=True))
+    assert sorted(map(tuple, same.collect()), key=str) == expected(rows)
 
 
 def test_an_empty_table_gives_no_rows(spark):
