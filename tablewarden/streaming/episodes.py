@@ -19,7 +19,6 @@ from ..operators.score import DONE_F1, MAX_STEPS, clamp, score_steps, truth_keys
 from ..session import cut_lineage, fresh_path
 
 TRUTH_ROWS = 50_000  # most planted faults that are folded and broadcast beside a stream; more are joined
-STATE_DAYS = 30  # an episode silent for so long is forgotten, unless the caller says otherwise
 
 
 def broadcast_truth(truth: DataFrame) -> DataFrame:
@@ -123,11 +122,13 @@ def report_rows(submissions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def stream_episodes(
-    submissions: DataFrame, truth: DataFrame, ttl_ms: int | None = STATE_DAYS * 86_400_000, max_steps: int = MAX_STEPS, broadcast_rows: int = TRUTH_ROWS
+    submissions: DataFrame, truth: DataFrame, ttl_ms: int | None = None, max_steps: int = MAX_STEPS, broadcast_rows: int = TRUTH_ROWS
 ) -> DataFrame:
     """Running best, step count and end of every episode over a stream of identification reports.
 
-    Needs the RocksDB state store.  Episodes that have been silent for ``ttl_ms`` are dropped; ``None`` keeps them for ever.
+    Needs the RocksDB state store.  With ``ttl_ms`` episodes that have been silent for so long are dropped; give it wherever a
+    stream goes on for good.  A stream with it follows the clock and does not end by itself under ``availableNow``, so it is not
+    the default.
     The truth may have any size: up to ``broadcast_rows`` planted faults, counted here, are broadcast; more are joined.
     """
     if truth.limit(broadcast_rows + 1).count() <= broadcast_rows:
