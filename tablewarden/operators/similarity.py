@@ -45,15 +45,16 @@ def _verified(pairs: DataFrame, items: DataFrame, similar: Callable[[Column, Col
 
 
 def earlier_match(
-    items: DataFrame, blocks: DataFrame, similar: Callable[[Column, Column], Column],
-    admissible: Column | None = None,
+    items: DataFrame, blocks: DataFrame, similar: Callable[[Column, Column], Column] | None,
+    admissible: Column | None = None, verified: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Ids with an earlier similar id, and one such id: ``id, other``.
 
     ``items`` holds ``id, payload``; ``blocks`` holds ``id, block`` and any columns the cheap test ``admissible``
     reads as ``l.*`` (the row) and ``r.*`` (the earlier row).  Both are read several times and should be written
-    tables or checkpoints.
+    tables or checkpoints.  ``verified`` takes the place of ``items`` and ``similar`` where payloads are fetched otherwise.
     """
+    check = verified or (lambda pairs: _verified(pairs, items, similar))
     ok = F.lit(True) if admissible is None else admissible
     extra = [c for c in blocks.columns if c not in ("id", "block")]
     heads = blocks.groupBy("block").agg(
@@ -65,7 +66,7 @@ def earlier_match(
         F.col("l.id").alias("id"), F.col("r.id").alias("other")
     ).distinct())
     settled = cut_lineage(
-        _verified(to_heads, items, similar).groupBy("id").agg(F.min("other").alias("other"))
+        check(to_heads).groupBy("id").agg(F.min("other").alias("other"))
     )
 
     # Rows no leader settled, against the other members of their blocks.
@@ -85,7 +86,7 @@ def earlier_match(
         .where((F.col("r.id") < F.col("l.id")) & ok)
         .select(F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
     )
-    late = _verified(pairs, items, similar).groupBy("id").agg(F.min("other").alias("other"))
+    late = check(pairs).groupBy("id").agg(F.min("other").alias("other"))
     return settled.unionByName(late)
 
 
