@@ -29,6 +29,7 @@ from .common import fresh_path, open_folder, rows_of
 WINDOW, GRAM = 13, 6
 BLOCK_CHARS = 5_000_000  # a worker holds about 50 bytes for each
 SHARD_WORDS = 50_000
+MOST_PIECES = 10_000  # of one minimizer, each counted once a block; the windows of one with more are dealt singly
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -93,7 +94,7 @@ class Automaton:
                 matched = length[at]
             if word in follow[at]:
                 at, matched = follow[at][word], matched + 1
-            while length[link[at]] >= window:
+            while at and length[link[at]] >= window:
                 at = link[at]
             matched = min(matched, length[at])
             if i >= window - 1:
@@ -137,11 +138,26 @@ class Pieces:
         self.last = np.append(edges, starts)[following] - 1
         self.minimizer = least[self.first]
         powers = np.cumprod(np.full(n + 1, ODD))
-        inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(ODD), -1, 1 << 64))))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:n])])
-        end = self.last + WINDOW
-        made = (sums[end] - sums[self.first]) * inverse[self.first] + (end - self.first).astype(np.uint64)
-        self.hash = (made ^ (made >> np.uint64(29))) * MIX
+        self._inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(ODD), -1, 1 << 64))))
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:n])])
+        self.hash = self._hashes(self.first, self.last + WINDOW)
+
+    def _hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        made = (self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64)
+        return (made ^ (made >> np.uint64(29))) * MIX
+
+    def split(self, minimizers: np.ndarray) -> None:
+        """Cut the pieces of these (signed) minimizers into single windows."""
+        hit = np.isin(_signed(self.minimizer), minimizers) if len(minimizers) else np.zeros(len(self.first), bool)
+        if not hit.any():
+            return
+        sizes = np.where(hit, self.last - self.first + 1, 1)
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        single = np.repeat(hit, sizes)
+        first = np.repeat(self.first, sizes) + within
+        self.last = np.where(single, first, np.repeat(self.last, sizes))
+        self.first, self.minimizer = first, np.repeat(self.minimizer, sizes)
+        self.hash = self._hashes(self.first, self.last + WINDOW)
 
     def text(self, i: int) -> bytes:
         return b" ".join(self.words[self.first[i] : self.last[i] + WINDOW])
@@ -174,18 +190,19 @@ def _store(df: DataFrame, name: str) -> str:
     return path
 
 
-def shared_minimizers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by minimizer, the block and minimizer of those that two documents or two blocks have, and the marks.
+def shared_minimizers(frames: Iterator[pd.DataFrame], most_pieces: int = MOST_PIECES) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by minimizer, the block and minimizer of those that two documents or two blocks have, and the marks; ``split``
+    where all blocks together have more than ``most_pieces`` pieces of it.
 
     Rows are one per block and minimizer, so what is carried from batch to batch is at most one row per block."""
     held = None
     for frame in frames:
-        held = yield from _shared(frame if held is None else pd.concat([held, frame], ignore_index=True), True)
+        held = yield from _shared(frame if held is None else pd.concat([held, frame], ignore_index=True), True, most_pieces)
     if held is not None:
-        yield from _shared(held, False)
+        yield from _shared(held, False, most_pieces)
 
 
-def _shared(rows: pd.DataFrame, more: bool):
+def _shared(rows: pd.DataFrame, more: bool, most_pieces: int):
     key = rows["minimizer"].to_numpy()
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
@@ -196,7 +213,9 @@ def _shared(rows: pd.DataFrame, more: bool):
     n = np.bincount(run, minlength=1)
     several = np.bincount(run, rows["several"].to_numpy(dtype=float), minlength=1) > 0
     keep = (n[run] > 1) | several[run] | rows["mark"].to_numpy(dtype=bool) if len(rows) else np.zeros(0, bool)
-    yield rows.loc[keep, ["block", "minimizer", "mark"]]
+    crowded = np.bincount(run, rows["pieces"].to_numpy(dtype=float), minlength=1) > most_pieces
+    made = rows.assign(split=crowded[run] & ~rows["mark"].to_numpy(dtype=bool)) if len(rows) else rows.assign(split=False)
+    yield made.loc[keep, ["block", "minimizer", "mark", "split"]]
     return held
 
 
@@ -213,7 +232,7 @@ def match_pieces(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     for text, words in texts.items():
         shard.append(text)
         held += len(words)
-        if held >= 4 * SHARD_WORDS:  # only a minimizer with very many pieces gives several shards; all its pieces meet each
+        if held >= 4 * SHARD_WORDS:  # several shards at most where some minimizers come together; all pieces meet each
             shards.append(shard)
             shard, held = [], 0
     if shard:
@@ -233,7 +252,7 @@ def match_pieces(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"], "piece": rows["piece"], "least": mins})[keep]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, most_pieces: int = MOST_PIECES) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept`` (binary UTF-8: the words kept, joined by one space) of every document.
 
     A word goes if it lies in a window whose words also start in a document with a smaller id, as the texts came in.  Null text
@@ -254,16 +273,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             minimizer, owner = minimizer[order], owner[order]
             start = np.flatnonzero(np.concatenate([[True], minimizer[1:] != minimizer[:-1]])) if len(minimizer) else np.zeros(0, np.int64)
             end = np.append(start[1:], len(minimizer)) - 1
-            yield pd.DataFrame({"minimizer": np.append(minimizer[start], 0), "block": key, "several": np.append(owner[start] != owner[end], False), "mark": np.append(np.zeros(len(start), bool), True)})
+            distinct = np.sort(_signed(pieces.minimizer)[use][np.unique(pieces.hash[use], return_index=True)[1]])
+            n = np.searchsorted(distinct, minimizer[start], side="right") - np.searchsorted(distinct, minimizer[start])
+            yield pd.DataFrame({"minimizer": np.append(minimizer[start], 0), "block": key, "several": np.append(owner[start] != owner[end], False), "mark": np.append(np.zeros(len(start), bool), True),
+                                "pieces": np.append(n, 0)})
+
+    def shared_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return shared_minimizers(frames, most_pieces)
 
-    rows = flat.mapInPandas(anchors, "minimizer bigint, block bigint, several boolean, mark boolean")
-    shared = _store(rows.repartition("minimizer").sortWithinPartitions("minimizer").mapInPandas(shared_minimizers, "block bigint, minimizer bigint, mark boolean"), "shared")
+    rows = flat.mapInPandas(anchors, "minimizer bigint, block bigint, several boolean, mark boolean, pieces bigint")
+    shared = _store(rows.repartition("minimizer").sortWithinPartitions("minimizer").mapInPandas(shared_rows, "block bigint, minimizer bigint, mark boolean, split boolean"), "shared")
 
     def texts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, ids, texts in blocks(frames, block_chars):
             pieces = Pieces(texts)
             number, known = _ids(ids)
-            wanted = _found(shared, key, ["minimizer"])["minimizer"].to_numpy()
+            table = _found(shared, key, ["minimizer", "split"])
+            wanted, singly = table["minimizer"].to_numpy(), table.loc[table["split"], "minimizer"].to_numpy()
+            pieces.split(singly)
             own = np.flatnonzero(np.isin(_signed(pieces.minimizer), wanted)) if len(pieces.first) else np.zeros(0, np.int64)
             own = own[known[pieces.doc[pieces.first[own]]]] if len(own) else own
             owner = number[pieces.doc[pieces.first[own]]] if len(own) else own
@@ -272,7 +299,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             code = pieces.hash[own]
             start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
             end = np.append(start[1:], len(code)) - 1
-            yield pd.DataFrame({"block": np.int64(key), "piece": [*_signed(code[start]), 0], "minimizer": [*_signed(pieces.minimizer[own[start]]), 0], "low": [*owner[start], 0],
+            minimizer = _signed(pieces.minimizer[own[start]])
+            salt = np.where(np.isin(minimizer, singly), _signed(code[start]), 0)  # equal windows have equal hashes
+            yield pd.DataFrame({"block": np.int64(key), "piece": [*_signed(code[start]), 0], "minimizer": [*minimizer, 0], "salt": [*salt, 0], "low": [*owner[start], 0],
                                 "high": [*owner[end], 0], "text": [*(pieces.text(i) for i in own[start]), None]})
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,20 +317,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size += len(frame)
             if size * 16 >= SHARD_WORDS:
                 every = pd.concat(held, ignore_index=True)
-                cut = int((every["minimizer"] != every["minimizer"].iloc[-1]).sum())  # the last minimizer may go on
+                last = every.iloc[-1]
+                cut = int(((every["minimizer"] != last["minimizer"]) | (every["salt"] != last["salt"])).sum())  # the last key may go on
                 if cut:
                     yield match_pieces(every.iloc[:cut], WINDOW)
                 held, size = [every.iloc[cut:]], len(every) - cut
         if held:
             yield match_pieces(pd.concat(held, ignore_index=True), WINDOW)
 
-    found = flat.mapInPandas(texts_of, "block bigint, piece bigint, minimizer bigint, low bigint, high bigint, text binary")
-    answers = _store(found.repartition("minimizer").sortWithinPartitions("minimizer").mapInPandas(matched, "block bigint, piece bigint, least array<bigint>"), "least")
+    found = flat.mapInPandas(texts_of, "block bigint, piece bigint, minimizer bigint, salt bigint, low bigint, high bigint, text binary")
+    answers = _store(found.repartition("minimizer", "salt").sortWithinPartitions("minimizer", "salt").mapInPandas(matched, "block bigint, piece bigint, least array<bigint>"), "least")
 
     def strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, ids, texts in blocks(frames, block_chars):
             pieces = Pieces(texts)
             number, known = _ids(ids)
+            dealt = _found(shared, key, ["minimizer", "split"])
+            pieces.split(dealt.loc[dealt["split"], "minimizer"].to_numpy())
             table = _found(answers, key, ["piece", "least"])
             table = table[table["least"].map(len) > 0].drop_duplicates("piece").sort_values("piece")
             covered = np.zeros(len(pieces.words) + 1, np.int64)

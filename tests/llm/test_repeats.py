@@ -68,3 +68,31 @@ def test_automaton_finds_every_window():
 
 def test_an_empty_table_gives_no_rows(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block_chars", [400, 10**7])
+def test_crowded_minimizers_are_dealt_by_window(spark, block_chars):
+    from tablewarden.session import cut_lineage
+
+    rows = case()
+    docs = cut_lineage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = repeats.remove_repeats(docs, block_chars=block_chars, most_pieces=2).collect()
+    assert sorted(((r[0], r[1], r[2], bytes(r[3]).decode()) for r in got), key=str) == plain(rows)
+
+
+def test_pieces_split_into_single_windows():
+    draw = random.Random(6)
+    text = " ".join(draw.choices("abcdefgh", k=60))
+    pieces, whole = repeats.Pieces([text, "x " + text]), repeats.Pieces([text])
+    crowded = repeats._signed(pieces.minimizer)
+    pieces.split(crowded)
+    assert (pieces.last == pieces.first).all() and len(pieces.first) == 48 + 49
+    assert (pieces.hash[:48] == pieces.hash[49:]).all() and len(set(pieces.hash.tolist())) == 49
+    assert whole.text(0).split() == text.encode().split()[: whole.last[0] + 13]
+
+
+def test_words_that_no_piece_has_match_nothing():
+    automaton = repeats.Automaton()
+    automaton.add(list("aaa"), 0)
+    automaton.close()
+    assert automaton.stream(list("xbba"), 3) == [None, None]
