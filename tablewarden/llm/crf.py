@@ -61,7 +61,7 @@ def fit(sequences: Sequence[Sequence[Sequence[str]]], tags: Sequence[Sequence[in
             by_length.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
     for size, members in by_length.items():
         width = max(len(t) for i in members for t in sequences[i])
-        x = np.full((len(members), size, width), pad)
+        x = np.full((len(members), size, width), pad, np.int32)
         y, mask = np.zeros((len(members), size), np.int64), np.zeros((len(members), size), bool)
         for row, i in enumerate(members):
             for at, token in enumerate(sequences[i]):
@@ -95,7 +95,9 @@ def _expected(x, y, mask, params, blocked, blocked_first, grads) -> None:
     emit, move, first, last = params
     rows, size = y.shape
     n_tags = len(first)
-    scores = emit[x].sum(2)
+    scores = np.zeros((*x.shape[:2], emit.shape[1]))
+    for k in range(x.shape[2]):  # one feature at a time, so no copy for all of them
+        scores += emit[x[:, :, k]]
     moves, starts = move + blocked, first + blocked_first
     lengths = mask.sum(1)
     who = np.arange(rows)
@@ -111,7 +113,8 @@ def _expected(x, y, mask, params, blocked, blocked_first, grads) -> None:
     truth = np.eye(n_tags)[y] * mask[:, :, None]
     gap = truth - np.exp(np.minimum(alpha + beta - total[:, None, None], 0)) * mask[:, :, None]
     for tag in range(n_tags):
-        grads[0][:, tag] += np.bincount(x.ravel(), np.repeat(gap[:, :, tag].ravel(), x.shape[2]), len(emit))
+        for k in range(x.shape[2]):
+            grads[0][:, tag] += np.bincount(x[:, :, k].ravel(), gap[:, :, tag].ravel(), len(emit))
     for t in range(1, size):
         both = np.exp(np.minimum(alpha[:, t - 1, :, None] + moves + (scores[:, t] + beta[:, t])[:, None, :] - total[:, None, None], 0)) * mask[:, t, None, None]
         grads[1][:] += np.einsum("ra,rb->ab", truth[:, t - 1], truth[:, t]) - both.sum(0)
