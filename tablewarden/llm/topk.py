@@ -16,18 +16,21 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-LARGEST = float(2**24)  # of a component after scaling: products and sums of fewer than 2**14 of them stay below 2**62
+LIMIT = 2**62  # sums below it are added as 64-bit integers; larger ones as Python integers
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """``vec_id``, integer ``terms``: floor(scale * x) of each component, taken as double.
 
-    Rows that are null, hold a null or non-finite component or one beyond 2**24 after scaling, or have no id, are left out.
+    Rows that are null, hold a null or non-finite component, or have no id, are left out.  A component beyond a long after scaling
+    fails the job.
     """
     flat = rows_of(vectors, vec_id=F.col(id_col).cast("bigint"), x=F.col(vector_col).cast("array<double>"))
-    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) * scale <= LARGEST))
+    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fits = F.forall("x", lambda v: F.abs(v) * scale < float(2**63))
+    checked = F.when(fits, F.col("x")).otherwise(F.raise_error(F.lit("a component is beyond a long after scaling")).cast("array<double>"))
     return flat.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(good).select(
-        "vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("bigint")).alias("terms"))
+        "vec_id", F.transform(checked, lambda v: F.floor(v * scale).cast("bigint")).alias("terms"))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -39,6 +42,12 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 def accumulate(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Scores [query, row]: for every term, the postings of the block are scattered to all queries that hold the term."""
+    most = lambda m: max(int(m.max(initial=0)), -int(m.min(initial=0)))
+    if most(queries) * most(block) * block.shape[1] >= LIMIT:  # no rounding and no wrapping round; a score beyond a long fails
+        exact = queries.astype(object) @ block.T.astype(object)
+        if any(abs(x) >= 2**63 for x in exact.ravel()):
+            raise OverflowError("a score is beyond a long")
+        return exact.astype(np.int64)
     scores = np.zeros((len(queries), len(block)), dtype=np.int64)
     for term in range(block.shape[1]):
         who, rows = np.flatnonzero(queries[:, term]), np.flatnonzero(block[:, term])

@@ -32,3 +32,10 @@ def test_empty_tables(spark):
     assert topk.top_k(vectors, vectors).count() == 0
     assert topk.top_k(vectors.where("false"), vectors).count() == 0
     assert topk.top_k(vectors, vectors.where("false")).count() == 0
+
+
+def test_large_components_take_part(spark):
+    rows = [(i, [float(3 * 2**18 + i), 0.5 * i, -float(2**40) if i == 5 else 1.0]) for i in range(30)]
+    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(vectors, vectors.where("vec_id in (10, 20)"), 4)
+    assert sorted(map(tuple, got.collect())) == [r for r in plain(rows, 4) if r[0] in (10, 20)]
