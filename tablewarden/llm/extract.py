@@ -24,7 +24,8 @@ from .common import batches_by_size, rows_of
 OTHER, MAIN = 0, 1
 # Names of HTML elements by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg iframe object canvas select textarea button".split())
+RAW = set("script style title noscript iframe textarea noembed noframes xmp".split())  # their content is no markup
+CONTROL = set("template svg object canvas select button".split())  # markup whose text is no text of the page
 HEAD = set("base link meta title style script noscript template".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
@@ -117,12 +118,35 @@ def blocks_of(html: str) -> list[Block]:
             if not m[3].endswith("/"):
                 at = close.end() if close else len(html)
             page.parts.append(" ")
+        elif tag in CONTROL:
+            if not m[3].endswith("/"):
+                at = _control_end(html, at, tag, page) or at
+            page.parts.append(" ")
         else:
             _start(page, tag, m[3])
     page.end_block()
     return page.blocks
 
 
+def _control_end(html: str, at: int, tag: str, page: _Page) -> int | None:
+    """Where the element ends by its own end tag; None where its parent ends or the next such control starts before that."""
+    inside = Counter()
+    for m in MARKUP.finditer(html, at):
+        name = (m[2] or "").lower()
+        if not m[1]:
+            if name == tag and tag in {"button", "select"}:
+                return None
+            if name and name not in VOID and not m[3].endswith("/"):
+                inside[name] += 1
+        elif inside[name]:
+            inside[name] -= 1
+        elif name == tag:
+            return m.end()
+        elif f"tag {name}" in page.above:
+            return None
+    return None
+
+
 def _start(page: _Page, tag: str, attributes: str) -> None:
     if tag == "body" or ("tag head" in page.above and tag not in HEAD):
         page.close_to({"head"}, set())
@@ -138,7 +162,7 @@ def _start(page: _Page, tag: str, attributes: str) -> None:
     names = {f"tag {tag}"}
     for groups in NAMED.findall(attributes) if "=" in attributes else ():
         value = "".join(groups)
-        names |= {MARKED} if value == MARKED else {f"name {w.lower()}" for w in WORDS.findall(value)[:6]}
+        names |= {MARKED} if value == MARKED else {f"name {w.lower()}" for w in WORDS.findall(value)}
     page.push(tag, sorted(names))
 
 

@@ -56,3 +56,16 @@ def test_every_row_gives_a_row(spark, chain):
     want = [(1, "u", "", 0), (2, None, "", 0), (None, "u", "One sentence here.", 18), (3, "u", "Hi there.", 9), (3, "u", "Hi there.", 9)]
     assert got == sorted(want, key=str)
     assert extract.extract(pages.where("false"), chain).count() == 0
+
+
+def test_unclosed_controls_lose_nothing():
+    texts = lambda html: " ".join(b.text for b in extract.blocks_of(html)).split()
+    for tag in ("button", "select", "svg", "object", "canvas"):
+        assert "b" in texts(f"<article><p>a</p><{tag}>Share<p>b</p></article><p>c</p>") and "c" in texts(f"<div><{tag}>x</div><p>c</p>"), tag
+        assert texts(f"<p>a</p><{tag}>no</{tag}><p>b</p>") == ["a", "b"]
+    assert "b" in texts("<p>a</p><button>x<p>b</p><button>y</button><p>c</p>")
+
+
+def test_late_names_of_a_class_count():
+    (block,) = extract.blocks_of('<div class="a b c d e f sidebar"><p>t</p></div>')
+    assert "name sidebar" in block.above
