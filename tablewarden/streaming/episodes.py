@@ -74,7 +74,7 @@ class _Episode(StatefulProcessor):
             taken = steps + pd.RangeIndex(1, len(batch) + 1).to_numpy()
             ended = (batch["f1"].to_numpy() >= DONE_F1) | (taken >= self.max_steps)
             yield pd.DataFrame({
-                "episode_id": key[0], "step": batch["step"].astype("int32").to_numpy(), "score": batch["score"].to_numpy(),
+                "episode_id": key[0], "step": batch["step"].astype("Int32").array, "score": batch["score"].to_numpy(),
                 "steps_taken": taken, "best_score": running.to_numpy(), "done": ended,
             })
             steps, best, done = int(taken[-1]), float(running.iloc[-1]), bool(done or ended.any())
@@ -92,19 +92,19 @@ class _EpisodeWithin(_Episode):
 
 
 class _EpisodeOfReports(_EpisodeWithin):
-    """The same from one row per reported key: the submission's counts are summed here first."""
+    """The same from one row per reported key: the counts of each submission, named by an id of its own, are summed here first."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         sums = pd.concat([
-            part.groupby("step").agg(n_reported=("reported", "sum"), tp=("hit", "sum"), found=("difficulty", "sum"), n_keys=("n_keys", "max"), n=("n", "max"), total=("total", "max"))
+            part.groupby(["step", "submission"], dropna=False).agg(n_reported=("reported", "sum"), tp=("hit", "sum"), found=("difficulty", "sum"), n_keys=("n_keys", "max"), n=("n", "max"), total=("total", "max"))
             for part in rows])
-        sums = sums.groupby(level=0).agg({"n_reported": "sum", "tp": "sum", "found": "sum", "n_keys": "max", "n": "max", "total": "max"})
+        sums = sums.groupby(level=[0, 1], dropna=False).agg({"n_reported": "sum", "tp": "sum", "found": "sum", "n_keys": "max", "n": "max", "total": "max"})
         ratio = lambda a, b: (a / b.where(b != 0)).fillna(0.0)
         p, r, wr = ratio(sums.tp, sums.n_reported), ratio(sums.tp, sums.n_keys), ratio(sums.found, sums.total)
         wp = ratio(sums.found, sums.found + (sums.n_reported - sums.tp) * ratio(sums.total, sums.n))
         clean = (sums.n_reported == 0) & (sums.n == 0)
         scored = pd.DataFrame({
-            "step": sums.index, "score": ratio(2 * wp * wr, wp + wr).mask(clean, 1.0).to_numpy(), "f1": ratio(2 * p * r, p + r).mask(clean, 1.0).to_numpy(),
+            "step": pd.array(pd.to_numeric(sums.index.get_level_values(0)), dtype="Int32"), "score": ratio(2 * wp * wr, wp + wr).mask(clean, 1.0).to_numpy(), "f1": ratio(2 * p * r, p + r).mask(clean, 1.0).to_numpy(),
         })
         yield from super().handleInputRows(key, iter([scored]), timer_values)
 
@@ -112,13 +112,14 @@ class _EpisodeOfReports(_EpisodeWithin):
 def report_rows(submissions: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per submission and distinct reported key, at least one per submission, joined with the truth of any size."""
     reported = F.filter(F.array_distinct(F.transform("issues", lambda x: parse_issue(x))), lambda p: p.isNotNull())
-    rows = submissions.select("episode_id", "step", "dataset", F.explode_outer(reported).alias("r")).select("episode_id", "step", "dataset", "r.*", F.col("r").isNotNull().cast("bigint").alias("reported"))
+    named = submissions.select("episode_id", "step", "dataset", F.expr("uuid()").alias("submission"), reported.alias("reported"))
+    rows = named.select("episode_id", "step", "dataset", "submission", F.explode_outer("reported").alias("r")).select("episode_id", "step", "dataset", "submission", "r.*", F.col("r").isNotNull().cast("bigint").alias("reported"))
     keys = truth_keys(truth).select("dataset", "row_id", "col", "issue_type", F.col("difficulty").cast("double").alias("difficulty"), F.lit(1).cast("bigint").alias("hit"))
     counts = truth_keys(truth).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_keys"))
     totals = truth.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("difficulty").cast("double").alias("total")).join(counts, "dataset")
     joined = rows.join(keys, ["dataset", "row_id", "col", "issue_type"], "left").join(totals, "dataset", "left")
     return joined.select(
-        "episode_id", "step", "reported", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("hit", "bigint"), ("difficulty", "double"), ("n_keys", "bigint"), ("n", "bigint"), ("total", "double"))])
+        "episode_id", "step", "submission", "reported", *[F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("hit", "bigint"), ("difficulty", "double"), ("n_keys", "bigint"), ("n", "bigint"), ("total", "double"))])
 
 
 def stream_episodes(

@@ -98,3 +98,14 @@ def test_batches_carry_the_best_score(spark, truth):
     assert got == {(r.episode_id, r.step): (r.best_score, r.reward, r.done) for r in whole.collect()}
     sheet = spark.createDataFrame([("e", 1, False), ("e", 2, True), ("e", 3, True), ("f", 1, False)], "episode_id string, step int, done boolean")
     assert sorted((r.episode_id, r.step) for r in keep_until_done(sheet).collect()) == [("e", 1), ("e", 2), ("f", 1)]
+
+
+def test_repeated_and_null_steps_score_alike(rocks, tmp_path, truth):
+    at = [c.split()[0] for c in SUBMISSIONS.split(", ")].index("step")
+    rows = [(*r[:at], step, *r[at + 1 :]) for batch in SUBS for r in batch for step in (1, None)]
+    subs = files(rocks, tmp_path, [rows], SUBMISSIONS)
+    joined = drain(stream_episodes(subs, truth, broadcast_rows=0), tmp_path / "a")
+    folded = drain(stream_episodes(subs, truth), tmp_path / "b")
+    values = lambda out: sorted((r.episode_id, str(r.step), round(r.score, 9)) for r in out)
+    taken = lambda out: sorted((r.episode_id, r.steps_taken) for r in out)
+    assert values(joined) == values(folded) and taken(joined) == taken(folded) and len(joined) == len(rows)
