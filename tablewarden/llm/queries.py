@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, decontaminate, extract, quality, repeats, secrets, simhash, topk, warc
+from . import alignment, bpe, chat, codes, decontaminate, extract, fim, quality, repeats, secrets, simhash, topk, warc
 from .common import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,54 @@ def op10_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.token_files(spark, parquet(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+@query("op11_fim", r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, CAST('0x' || d[1:8] AS BIGINT) % (len(k) + 1) AS c1, CAST('0x' || d[9:16] AS BIGINT) % (len(k) + 1) AS c2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || d[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || d[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT doc_id, text, form, CAST(len(k) AS BIGINT) AS n, array_to_string(k[1:least(c1, c2)], '') AS prefix,
+    array_to_string(k[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(k[greatest(c1, c2) + 1:], '') AS suffix FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+""")
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.restore(fim.transform(parquet(spark, sf_dir, "documents"), seed=42, rate=50, spm=80)))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(parquet(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
+SAID = "</s>[INST] ok [/INST]"
+
+
+@query("op13_chat", r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), m AS (SELECT *, 8 + length(regexp_replace(replace(replace(role, '\', '\0'), chr(10), '\1'), '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')) AS size FROM t),
+o AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM m
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+""")
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(SAID).alias("text"))
+    return chat.digests(chat.read_back(chat.examples(kept.unionByName(added))))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -25,7 +25,7 @@ def test_query(spark, name):
     assert got
     if sql := queries.oracle_sql().get(name):
         con = duckdb.connect()
-        for table in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
         res = con.execute(sql)
         names = [d[0] for d in res.description]
@@ -34,5 +34,5 @@ def test_query(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries())
