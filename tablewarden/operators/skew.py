@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..session import broadcast_limit, cut_lineage, plan_bytes
 
 SALTS = 16  # salts of a hot key per shuffle partition: so many that hashing them again deals the rows out evenly
-SLICE_BYTES = 64 << 20  # of the planned size of an ordered table, for one slice of its order
+SLICE_BYTES = 64 << 20  # of an ordered table as stored, for one slice of its order
 
 
 def hot_limit(rows: DataFrame) -> int:
@@ -60,20 +60,24 @@ def carry(
     """Add ``out``: what the earlier rows of the group carry to this one.
 
     ``last`` is the latest earlier non-NULL ``value``; ``max`` the largest ``value`` so far, this row included.
-    Rows are ordered by ``(order, row_id)``, rows without ``order`` first.  A table too large to be broadcast is range
-    partitioned by that order into slices, their number taken from its size, and stored; each (group, slice) is scanned on
-    its own, and one summary row per (group, slice) hands the state on, so neither a group that fills a third of the table
-    nor a table without groups nor a value of ``order`` that many rows share runs in one task.  A smaller table is scanned
-    in one slice.
+    Rows are ordered by ``(order, row_id)``, rows without ``order`` first.  A table that is planned as too large to be broadcast is
+    stored, so that its real size decides and not a planner's guess, which multiplies at every join.  If it still is too large, it is
+    range partitioned by that order into slices, one per ``SLICE_BYTES`` as stored; each (group, slice) is scanned on its own, and one
+    summary row per (group, slice) hands the state on, so neither a group that fills a third of the table nor a table without
+    groups nor a value of ``order`` that many rows share runs in one task.  A smaller table is scanned in one slice.
     """
-    keys = list(partition_by or [])
-    size = plan_bytes(df)
-    split = size > broadcast_limit(df.sparkSession) if split is None else split
+    keys, forced = list(partition_by or []), split
+    limit = broadcast_limit(df.sparkSession)
+    if split is None:
+        split = plan_bytes(df) > limit
+    if split and not forced:
+        df = cut_lineage(df)
+        split = plan_bytes(df) > limit
     first = [F.col(order).asc_nulls_first(), F.col(row_id).asc_nulls_first()]
     sliced = df
     if split:
-        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(min(size, 1 << 60) / SLICE_BYTES))
-        ranged = df.repartitionByRange(min(n, 1_000_000), *first)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if forced else max(2, math.ceil(plan_bytes(df) / SLICE_BYTES))
+        ranged = df.repartitionByRange(n, *first)
         sliced = cut_lineage(ranged.withColumn("__slice", F.spark_partition_id()))
     within = Window.partitionBy(*keys, *(["__slice"] if split else [])).orderBy(*first)
     if how == "last":

@@ -58,6 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(*stored: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for these, once all that was made from them is stored itself."""
+    for df in stored:
+        folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+        for folder in folders:
+            if "/stage-" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df``, taken from the optimised plan without running it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewarden.operators import keyed, ordered, relations, similarity, skew, spelling, statistics
+from tablewarden.session import cut_lineage
 
 
 def hot_rows(spark, n=3000):
@@ -210,3 +211,22 @@ def test_chronology_steps_over_missing_times(spark):
     rows = [(1, 10), (2, None), (3, 5), (4, 7), (5, 6)]
     df = spark.createDataFrame(rows, "row_id long, ts int").repartition(3)
     assert {r.row_id for r in ordered.chronological(df, "ts", "row_id").collect()} == {3, 5}
+
+
+def test_slices_follow_the_stored_size_not_the_planned_one(spark, monkeypatch):
+    """Joins of joins are planned as the product of their inputs; the carried table is small all the same."""
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 7).alias("k"), F.col("id").alias("t"), (F.col("id") * 31 % 97).alias("v"))
+    wide = skew.cut_lineage(rows)
+    joined = wide
+    for i in range(6):
+        joined = joined.join(skew.cut_lineage(rows).select("row_id", F.col("v").alias(f"v{i}")).hint("merge"), "row_id")
+    assert skew.plan_bytes(joined) > 1 << 50
+    stored = []
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: stored.append(cut_lineage(df)) or stored[-1])
+    got = {r["row_id"]: r["best"] for r in skew.carry(joined, "v", "t", "row_id", ["k"], "max", "best").select("row_id", "best").collect()}
+    best, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["t"]):
+        best[r["k"]] = max(best.get(r["k"], -1), r["v"])
+        want[r["row_id"]] = best[r["k"]]
+    assert got == want
+    assert sum(len(df.inputFiles()) for df in stored) <= 20
