@@ -103,7 +103,8 @@ def strength(groups: float, n: float, n2: float, gap: float, mean: float) -> flo
 
 
 def site_priors(scored: DataFrame) -> DataFrame:
-    """From ``host, path, p`` per document: ``host, path, n, s, host_rate, strength`` per path (a stored table).
+    """From ``host, path, p`` per document: ``host, path, n, s``, ``host_n, host_s`` and the two strengths ``host_strength, strength`` per
+    path, with the share ``mean`` of all (a stored table).
 
     The sums are partial before they are shuffled, so a host with a third of all rows costs one row per task.
     """
@@ -117,16 +118,15 @@ def site_priors(scored: DataFrame) -> DataFrame:
         F.sum(n * (F.col(s) / F.col(n) - prior) ** 2 if isinstance(n, Column) else F.col(n) * (F.col(s) / F.col(n) - prior) ** 2).alias("gap")).first()
     at_hosts = spread(hosts, "host_n", "host_s", F.lit(mean))
     k_host = strength(at_hosts["g"], at_hosts["n"] or 0, at_hosts["n2"] or 0.0, at_hosts["gap"] or 0.0, mean)
-    rated = hosts.select("host", ((k_host * mean + F.col("host_s")) / (k_host + F.col("host_n"))).alias("host_rate"))
-    below = cut_lineage(paths.join(rated, "host"))
+    below = cut_lineage(paths.join(hosts, "host").withColumn("host_rate", (k_host * mean + F.col("host_s")) / (k_host + F.col("host_n"))))
     at_paths = spread(below, "n", "s", F.col("host_rate"))
     k_path = strength(at_paths["g"], at_paths["n"] or 0, at_paths["n2"] or 0.0, at_paths["gap"] or 0.0, mean)
-    return below.withColumn("strength", F.lit(k_path))
+    return below.drop("host_rate").withColumns({"strength": F.lit(k_path), "host_strength": F.lit(k_host), "mean": F.lit(mean)})
 
 
 def score(docs: DataFrame, model: ShapeModel, host_col: str | Column = "source", path_col: str | Column = "lang", text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column, the struct ``site_quality``: ``doc_score`` (the model's own probability), ``host_rate``,
-    ``path_rate`` (the document's prior, without its own part) and ``quality`` (the posterior).
+    """``docs`` with one more column, the struct ``site_quality``: ``doc_score`` (the model's own probability), ``host_rate``
+    and ``path_rate`` (its host's and its path's share, both without its own part) and ``quality`` (the posterior).
 
     ``host_col`` and ``path_col`` may be expressions, such as parts of a URL.  Null hosts and paths form groups of their own;
     null and empty texts get the model's verdict on an empty text; repeated rows count each.  An empty table gives no rows.
@@ -141,10 +141,11 @@ def score(docs: DataFrame, model: ShapeModel, host_col: str | Column = "source",
     scored = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key(host_col).alias("host"), key(path_col).alias("path"), own_logit(F.col(text_col)).alias("own"))
     sites = site_priors(scored.select("host", "path", expit(F.col("own")).alias("p")))
     joined = join_small(scored, sites, ["host", "path"], "inner")
-    prior = (F.col("strength") * F.col("host_rate") + F.col("s") - expit(F.col("own"))) / (F.col("strength") + F.col("n") - 1)
+    rate = (F.col("host_strength") * F.col("mean") + F.col("host_s") - expit(F.col("own"))) / (F.col("host_strength") + F.col("host_n") - 1)
+    prior = (F.col("strength") * rate + F.col("s") - expit(F.col("own"))) / (F.col("strength") + F.col("n") - 1)
     prior = F.least(F.greatest(prior, F.lit(0.02)), F.lit(0.98))
     base = math.log(model.base / (1 - model.base))
-    made = F.struct(expit(F.col("own")).alias("doc_score"), "host_rate", prior.alias("path_rate"), expit(F.col("own") - base + F.log(prior / (1 - prior))).alias("quality"))
+    made = F.struct(expit(F.col("own")).alias("doc_score"), rate.alias("host_rate"), prior.alias("path_rate"), expit(F.col("own") - base + F.log(prior / (1 - prior))).alias("quality"))
     return joined.select("row.*", made.alias("site_quality"))
 
 

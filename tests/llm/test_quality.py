@@ -44,7 +44,8 @@ def plain(rows, model):
     base = math.log(model.base / (1 - model.base))
     out = []
     for (i, _, path, host), z in zip(rows, own):
-        prior = (k2 * rate[host] + path_s[host, path] - expit(z)) / (k2 + path_n[host, path] - 1)
+        around = (k * mean + host_s[host] - expit(z)) / (k + host_n[host] - 1)
+        prior = (k2 * around + path_s[host, path] - expit(z)) / (k2 + path_n[host, path] - 1)
         prior = min(max(prior, 0.02), 0.98)
         out.append((i, expit(z - base + math.log(prior / (1 - prior)))))
     return sorted(out, key=str)
