@@ -112,12 +112,14 @@ class Codes:
 
 
 class WordCache:
-    """Ids of a text as bytes, from a bounded table of the pieces met so far.
+    """Ids of a text as bytes, from bounded tables of the pieces and words met so far.
 
     The text is cut before every space that a character other than white space follows.  The tokenizer's own split never joins
-    two such pieces: white space before the cut ends in it, and nothing but white space spans one.
+    two such pieces: white space before the cut ends in it, and nothing but white space spans one.  A new piece of Latin letters, ASCII and
+    line ends is cut further as the tokenizer's own pattern does, and each new word goes to the tokenizer's model directly, which
+    spares its offsets; any other piece is encoded whole.
 
-    A table with more than ``most`` pieces is emptied; that changes the time only, never the ids.
+    A table with more than ``most`` entries is emptied; that changes the time only, never the ids.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -127,22 +129,50 @@ class WordCache:
         self._tokenizer, self._most = Tokenizer.from_file(path), most
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
+        tokenize, special = self._tokenizer.model.tokenize, re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()) or r"\Z.")
+        self._words = _Table(lambda word: _bytes([t.id for t in tokenize(word.translate(BYTES))]))
 
-    def ids(self, texts: list[str], at_once: int = 500) -> Iterator[bytes]:
+        def ids_of(piece: str) -> bytes:
+            if LATIN.fullmatch(piece) and not special.search(piece):
+                return b"".join(map(self._words.__getitem__, SPLIT.findall(piece)))
+            return _bytes(self._tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
+
+        self._known = _Table(ids_of)
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for at in range(0, len(texts), at_once):
-            cut = [_pieces(t) for t in texts[at : at + at_once]]
-            if len(self._known) > self._most:
-                self._known = {}
-            known = self._known
-            new = list({p for pieces in cut for p in pieces if p not in known})
-            for start in range(0, len(new), 20_000):
-                part = new[start : start + 20_000]
-                encoded = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                known.update(zip(part, (_bytes(e.ids) for e in encoded)))
-            for pieces in cut:
-                yield b"".join(map(known.__getitem__, pieces))
+        for text in texts:
+            for table in (self._known, self._words):
+                if len(table) > self._most:
+                    table.clear()
+            yield b"".join(map(self._known.__getitem__, _pieces(text)))
+
+
+class _Table(dict):
+    """A table that works out what it does not hold yet."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self._make = make
+
+    def __missing__(self, key: str) -> bytes:
+        made = self[key] = self._make(key)
+        return made
+
+
+# The split pattern of the byte-level vocabulary, over the characters of ``LATIN`` alone.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LATIN = re.compile(rf"[\n -~{LETTERS}]*")
+SPLIT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+
+
+def _byte_names() -> dict[int, str]:
+    """Characters of ``LATIN`` as that vocabulary writes their bytes: the unprintable ones are counted on from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in [10, *range(0x20, 0x7F), *range(0xC0, 0x250)]}
+
+
+BYTES = _byte_names()
 
 
 def _bytes(ids: list[int]) -> bytes:
