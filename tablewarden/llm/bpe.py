@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..session import plan_bytes
 from .common import rows_of
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 SHARE_BYTES = 8 << 20  # of the documents as stored, for one share of the word table
 MOST_SHARES = 1 << 20  # as many tasks as a stage well has; with more data a share only holds more words
 
@@ -168,8 +168,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     table = flat.mapInPandas(words, "block bigint, share bigint, codes binary, words binary").repartition(shares, "share").sortWithinPartitions("share")
     back = table.mapInPandas(encode_words, "block bigint, codes binary, counts binary, ids binary")
-    coded = flat.mapInPandas(sequences, "block bigint, doc_id bigint, codes binary")
-    return coded.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>" + (", decoded string" if with_text else ""))
+    coded = flat.mapInPandas(sequences, "block bigint, doc_id bigint, codes binary").repartition(shares, "block")
+    return coded.groupBy("block").cogroup(back.repartition(shares, "block").groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>" + (", decoded string" if with_text else ""))
 
 
 @functools.cache
