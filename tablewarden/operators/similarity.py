@@ -119,7 +119,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared), F.lit(0.0))
 
 
-def _word_sets(df: DataFrame, col: str, row_id: str) -> tuple[DataFrame, DataFrame]:
+def word_sets(df: DataFrame, col: str, row_id: str) -> tuple[DataFrame, DataFrame]:
     """Sets of words as sorted 64-bit hashes, which are smaller and quicker to compare than the words."""
     words = F.array_sort(F.array_distinct(F.transform(tokens(F.col(col)), lambda t: F.xxhash64(t))))
     items, copies = _folded(df, digest(F.col("payload")), row_id, words)
@@ -157,7 +157,13 @@ def near_duplicate_pairs(df: DataFrame, col: str, threshold: float, row_id: str
     of tokens.  Here rare tokens come first, in hash order, and the few most frequent ones last, so prefixes are
     rare; no token table is joined to the texts.
     """
-    items, copies = _word_sets(df, col, row_id)
+    items, copies = word_sets(df, col, row_id)
+    blocks, ok = prefix_blocks(items, threshold)
+    return copies.unionByName(earlier_match(items, blocks, lambda a, b: jaccard(a, b) >= threshold, ok))
+
+
+def prefix_blocks(items: DataFrame, threshold: float) -> tuple[DataFrame, Column]:
+    """Where sets meet that may be similar (``id, n, bits, pos, block``, stored), and the cheap test of a pair ``l, r`` that meets."""
     frequent = common_tokens(items)
     known = F.array(*[F.lit(t) for t in frequent]) if frequent else F.array().cast("array<bigint>")
     ordered = F.concat(F.array_except("payload", known), F.array_intersect(known, F.col("payload")))
@@ -170,9 +176,7 @@ def near_duplicate_pairs(df: DataFrame, col: str, threshold: float, row_id: str
     # Enough tokens must be left before and after the shared one to reach the wanted overlap.
     t, l_n, r_n = F.lit(threshold), F.col("l.n"), F.col("r.n")
     reach = 1 + F.least(l_n - F.col("l.pos") - 1, r_n - F.col("r.pos") - 1) + F.least(F.col("l.pos"), F.col("r.pos"))
-    ok = _close_enough(threshold) & (reach >= t / (1 + t) * (l_n + r_n) - F.lit(1e-9))
-    found = earlier_match(items, blocks, lambda a, b: jaccard(a, b) >= threshold, ok)
-    return copies.unionByName(found)
+    return blocks, _close_enough(threshold) & (reach >= t / (1 + t) * (l_n + r_n) - F.lit(1e-9))
 
 
 def near_duplicate_text(
@@ -207,7 +211,7 @@ def near_duplicate_lsh(
     dataset: str = "data",
 ) -> DataFrame:
     """The same by MinHash bands: cheaper on long texts, may miss pairs near the threshold, never reports a false one."""
-    items, copies = _word_sets(df, col, row_id)
+    items, copies = word_sets(df, col, row_id)
 
     def band(i: int) -> Column:
         return F.xxhash64(F.lit(i), *[F.col("lows")[i * rows_per_band + j] for j in range(rows_per_band)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold_tokens
-from ..operators import code, keyed, labels, rules, similarity, text
+from ..operators import clusters, code, keyed, labels, rules, similarity, text
 from ..operators.contaminate import Fault, append_copies, constant, contaminate, copy_from_donor, cut_short, prefixed
 from ..operators.skew import digest
 from .base import findings, query, s_blank, s_finding, s_picked, s_spoilt, table
@@ -227,6 +227,48 @@ def label_by_peer(spark, sf):
     return findings(keyed.label_by_peer(table(spark, sf, "part"), F.col("p_name"), "p_type", "p_partkey"), "observed", "expected")
 
 
+_NEAR = f"""
+WITH RECURSIVE l AS (SELECT doc_id, text, quality, toxic FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT doc_id, text, quality, toxic FROM l UNION ALL
+      SELECT doc_id + (SELECT max(doc_id) + 1 FROM l), text || ' zwei neue', quality, 1 - toxic FROM l WHERE {s_picked('doc_id', 'copy', 0.1)}),
+s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+')) AS w FROM d),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS tok FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.65),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, p.y FROM reach r JOIN p ON p.x = r.b),
+c AS (SELECT d.*, k.cluster FROM d JOIN (SELECT a, min(b) AS cluster FROM reach GROUP BY 1) k ON k.a = d.doc_id)"""
+
+
+def near_labelled(spark, sf):
+    """Labelled documents, and near copies of some whose toxicity label is turned round."""
+    docs = labelled(spark, sf)
+    last = docs.agg(F.max("doc_id")).first()[0]
+    dirty, _ = append_copies(docs, "text", "doc_id", 0.1, first_id=last + 1)
+    planted = F.col("doc_id") > last
+    return dirty.withColumns({"toxic": F.when(planted, 1 - F.col("toxic")).otherwise(F.col("toxic")),
+                              "text": F.when(planted, F.concat("text", F.lit(" zwei neue"))).otherwise(F.col("text"))})
+
+
+@query("label_conflict_near", f"""{_NEAR},
+g AS (SELECT cluster, min(quality) <> max(quality) AS q, min(toxic) <> max(toxic) AS t FROM c GROUP BY 1)
+SELECT {s_finding('doc_id', 'quality', 'inconsistent_value', 'CAST(quality AS VARCHAR) AS observed')} FROM c JOIN g USING (cluster) WHERE q
+UNION ALL SELECT {s_finding('doc_id', 'toxic', 'inconsistent_value', 'CAST(toxic AS VARCHAR) AS observed')} FROM c JOIN g USING (cluster) WHERE t
+""")
+def label_conflict_near(spark, sf):
+    found = clusters.label_conflict_near(near_labelled(spark, sf), "text", ["quality", "toxic"], 0.65, "doc_id")
+    return findings(found, "observed")
+
+
+@query("label_by_cluster", f"""{_NEAR},
+v AS (SELECT cluster, toxic, count(*) AS n FROM c GROUP BY 1, 2),
+m AS (SELECT cluster, min(struct_pack(n := -n, t := toxic)) AS b FROM v GROUP BY 1 HAVING count(*) > 1)
+SELECT {s_finding('doc_id', 'toxic', 'inconsistent_value', 'CAST(toxic AS VARCHAR) AS observed, CAST(b.t AS VARCHAR) AS expected')} FROM c JOIN m USING (cluster) WHERE toxic <> b.t
+""")
+def label_by_cluster(spark, sf):
+    found = clusters.label_by_cluster(near_labelled(spark, sf), "text", "toxic", 0.65, "doc_id")
+    return findings(found, "observed", "expected")
+
+
 LEXICON = ["worthless", "pathetic", "stupid", "idiot", "hate"]
 _LEX = "[" + ", ".join(f"'{w}'" for w in LEXICON) + "]"
 
