@@ -48,6 +48,51 @@ def unbalanced_brackets(col: str, issue_type: str = "format_violation") -> Rule:
     return Rule(f"unbalanced_brackets:{col}", col, issue_type, gaps > 0, observed=gaps)
 
 
+OPENING, CLOSING = "([{", ")]}"
+HELD = 20  # open brackets in one number of the stack, base three with a leading one
+
+
+def bracket_nesting(c: Column, comment: str | None = None) -> Column:
+    """Struct of ``wrong`` (place, from 1, of the first closing bracket that does not close the last open one; 0 if none) and ``depth`` (brackets
+    open there, or at the end).
+
+    Quoted text, and what the pattern ``comment`` matches, hold no brackets.  The code is cut into quotes, comments, brackets and runs
+    between them; a fold over these keeps the kinds of the open brackets as a stack, ``HELD`` of them in one number and full numbers in
+    an array, so pushing and popping do not depend on the depth but every twentieth time.
+    """
+    skipped = QUOTED if comment is None else f"{QUOTED}|{comment}"
+    cut = F.regexp_extract_all(c, F.lit(rf"(?s)(?-s:{skipped})|[()\[\]{{}}]|[^()\[\]{{}}'\"#/\-]+|."), F.lit(0))
+    one, zero, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    start = F.struct(zero.alias("at"), zero.alias("depth"), one.alias("top"), none.alias("full"), zero.alias("wrong"))
+    most = 3**HELD
+
+    def step(s: Column, part: Column) -> Column:
+        at = s["at"] + F.length(part)
+        opens, closes = (F.when(F.length(part) == 1, F.instr(F.lit(kinds), part)).otherwise(0) for kinds in (OPENING, CLOSING))
+
+        def state(depth: Column, top: Column, full: Column, wrong: Column) -> Column:
+            return F.struct(at.alias("at"), depth.alias("depth"), top.alias("top"), full.alias("full"), wrong.alias("wrong"))
+
+        grown = s["top"] >= most
+        pushed = state(s["depth"] + 1, F.when(grown, 3 + opens - 1).otherwise(s["top"] * 3 + opens - 1).cast("bigint"), F.when(grown, F.array_prepend(s["full"], s["top"])).otherwise(s["full"]), s["wrong"])
+        right = (s["depth"] > 0) & (s["top"] % 3 == closes - 1)
+        spent = (s["top"] < 9) & (F.size(s["full"]) > 0)
+        popped = state(s["depth"] - 1, F.when(spent, F.get(s["full"], F.lit(0))).otherwise(F.floor(s["top"] / 3)).cast("bigint"),
+                       F.when(spent, F.slice(s["full"], F.lit(2), F.size(s["full"]))).otherwise(s["full"]), s["wrong"])
+        stopped = state(s["depth"], s["top"], s["full"], at)
+        passed = state(s["depth"], s["top"], s["full"], s["wrong"])
+        return F.when(s["wrong"] > 0, s).when(opens > 0, pushed).when((closes > 0) & right, popped).when(closes > 0, stopped).otherwise(passed)
+
+    return F.aggregate(cut, start, step, lambda s: F.struct(s["wrong"].alias("wrong"), s["depth"].alias("depth")))
+
+
+def misnested_brackets(col: str, comment: str | None = None, issue_type: str = "format_violation") -> Rule:
+    """Brackets that close in the wrong order, close nothing, or stay open; observed is ``place:depth`` as in :func:`bracket_nesting`."""
+    told = bracket_nesting(F.col(col), comment)
+    shown = F.concat_ws(":", told["wrong"].cast("string"), told["depth"].cast("string"))
+    return Rule(f"misnested_brackets:{col}", col, issue_type, shown != "0:0", observed=shown)
+
+
 def truncated_code(col: str, issue_type: str = "format_violation") -> Rule:
     """Code whose last line opens something or ends in an operator, or whose brackets stay open."""
     last = F.substring_index(strip(F.col(col)), "\n", -1)

@@ -12,8 +12,9 @@ from ..operators.contaminate import (
     Fault, added_key, append_copies, constant, contaminate, copy_from_donor, cut_short, dropped_key, prefixed,
     renamed_key, retyped_key, scaled, shifted_time,
 )
+from ..operators.related import before_previous, below_column, copy_from_other_group
 from ..operators.review import suite_summary
-from .base import query, s_luck, s_money, s_picked, s_typo, table
+from .base import query, s_draw, s_luck, s_money, s_picked, s_typo, table
 
 
 def _spoilt_cells(dirty, truth, col: str, row_id: str):
@@ -158,6 +159,52 @@ def plant_in_order(spark, sf):
     return _spoilt_cells(dirty, truth, "c_acctbal", "c_custkey")
 
 
+@query("plant_below_partner", f"""
+WITH a AS (SELECT p_partkey, {s_money('p_retailprice')} AS v, p_size FROM part)
+SELECT CAST(p_partkey AS BIGINT) AS row_id, 'inconsistent_value' AS issue_type, 2.0::DOUBLE AS difficulty, v AS clean_value,
+  CAST(CAST(p_size - 1 AS DECIMAL(38,2)) AS VARCHAR) AS dirty_value
+FROM a WHERE {s_picked('p_partkey', '0:price', 0.05)}
+""")
+def plant_below_partner(spark, sf):
+    """Prices of parts moved below their size, which no clean part has."""
+    parts = table(spark, sf, "part").select("p_partkey", plain_decimal(F.col("p_retailprice")).alias("price"), "p_size")
+    fault = Fault(below_column("p_size"), "price", rate=0.05, issue_type="inconsistent_value", difficulty=2.0)
+    return _spoilt_cells(*contaminate(parts, [fault], "p_partkey"), "price", "p_partkey")
+
+
+_STAMP = "'%Y-%m-%d %H:%M:%S'"
+
+
+@query("plant_before_previous", f"""
+WITH a AS (SELECT event_id, date_trunc('second', ts) AS ts, {s_picked('event_id', 'previous:ts', 0.05)} AS p, user_id, ts AS seen FROM events),
+b AS (SELECT *, lag(ts) OVER w AS before, lag(p) OVER w AS drawn FROM a WINDOW w AS (PARTITION BY user_id ORDER BY seen, event_id))
+SELECT CAST(event_id AS BIGINT) AS row_id, 'inconsistent_value' AS issue_type, 2.0::DOUBLE AS difficulty, strftime(ts, {_STAMP}) AS clean_value,
+  strftime(before - INTERVAL 1 SECOND, {_STAMP}) AS dirty_value
+FROM b WHERE p AND before IS NOT NULL AND NOT drawn
+""")
+def plant_before_previous(spark, sf):
+    """Times of events moved to just before the event ahead of them, per user."""
+    events = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").alias("seen"), F.date_trunc("second", "ts").alias("ts"))
+    dirty, truth = before_previous(events, "ts", "seen", "event_id", ["user_id"], 0.05)
+    return _spoilt_cells(dirty.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), truth, "ts", "event_id")
+
+
+@query("plant_foreign_text", f"""
+WITH b AS (SELECT doc_id, text, lang, {s_draw('doc_id', 'slot:text')} % 1024 AS slot FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+o AS (SELECT lang, slot, min(doc_id) AS donor FROM b GROUP BY 1, 2),
+n AS (SELECT lang, donor, row_number() OVER (PARTITION BY lang ORDER BY slot) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM o),
+g AS (SELECT lang, coalesce(lead(lang) OVER (ORDER BY lang), first_value(lang) OVER (ORDER BY lang)) AS giver FROM (SELECT DISTINCT lang FROM b)),
+w AS (SELECT b.doc_id, b.text, b.lang, giver, {s_draw('b.doc_id', 'foreign:luck:text')} AS luck FROM b JOIN g USING (lang) WHERE {s_picked('b.doc_id', 'foreign:text', 0.05)} AND giver <> lang)
+SELECT CAST(w.doc_id AS BIGINT) AS row_id, 'inconsistent_value' AS issue_type, 2.5::DOUBLE AS difficulty, regexp_replace(w.text, '^\\s+|\\s+$', '', 'g') AS clean_value, d.text AS dirty_value
+FROM w JOIN n ON n.lang = w.giver AND n.k = w.luck % n.n JOIN documents d ON d.doc_id = n.donor WHERE d.text <> w.text
+""")
+def plant_foreign_text(spark, sf):
+    """Texts of documents taken from a document of another language."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    dirty, truth = copy_from_other_group(docs, "text", "lang", "doc_id", 0.05)
+    return _spoilt_cells(dirty, truth, "text", "doc_id")
+
+
 @query("truth_summary", f"""
 WITH t AS (
   SELECT 'customer' AS dataset, 'missing_value' AS issue_type, 1.0::DOUBLE AS d FROM customer WHERE {s_picked('c_custkey', '0:c_name', 0.03)}

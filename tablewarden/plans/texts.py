@@ -357,6 +357,24 @@ def unbalanced_brackets(spark, sf):
     return findings(rules.run_rules(broken_pages(spark, sf), [code.unbalanced_brackets("html")], "page_id"), "observed")
 
 
+@query("misnested_brackets", f"""
+WITH RECURSIVE {_BROKEN},
+p AS (SELECT page_id, regexp_extract_all(html, '(?s)''[^''\\n]*''|"[^"\\n]*"|[()\\[\\]{{}}]|[^()\\[\\]{{}}''"#/\\-]+|.') AS k FROM d),
+u AS (SELECT page_id, unnest(k) AS part, generate_subscripts(k, 1) AS i FROM p),
+b AS (SELECT page_id, part, sum(length(part)) OVER (PARTITION BY page_id ORDER BY i) AS pos, i FROM u),
+o AS (SELECT page_id, part, pos, row_number() OVER (PARTITION BY page_id ORDER BY i) AS i FROM b WHERE part IN ('(', ')', '[', ']', '{{', '}}')),
+f(page_id, i, stack, wrong) AS (
+  SELECT page_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM d WHERE html IS NOT NULL UNION ALL
+  SELECT o.page_id, o.i, CASE WHEN part IN ('(', '[', '{{') THEN stack || part WHEN right(stack, 1) = translate(part, ')]}}', '([{{') THEN left(stack, -1) ELSE stack END,
+    CASE WHEN part IN ('(', '[', '{{') OR right(stack, 1) = translate(part, ')]}}', '([{{') THEN 0 ELSE CAST(pos AS BIGINT) END
+  FROM f JOIN o ON o.page_id = f.page_id AND o.i = f.i + 1 WHERE wrong = 0),
+e AS (SELECT page_id, arg_max(wrong, i) AS wrong, length(arg_max(stack, i)) AS depth FROM f GROUP BY 1)
+SELECT {s_finding('page_id', 'html', 'format_violation', "wrong || ':' || depth AS observed")} FROM e WHERE wrong > 0 OR depth > 0
+""")
+def misnested_brackets(spark, sf):
+    return findings(rules.run_rules(broken_pages(spark, sf), [code.misnested_brackets("html")], "page_id"), "observed")
+
+
 @query("truncated_code", f"""
 WITH {_BROKEN}, t AS (SELECT page_id, regexp_replace(html, '^\\s+|\\s+$', '', 'g') AS c FROM d),
 b AS (SELECT page_id, c, {_bare('c')} AS bare, regexp_extract(c, '([^\\n]*)$', 1) AS last FROM t)
