@@ -13,6 +13,7 @@ their tokens spans it, so the ids of a text are those of its words in order.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import os
 from collections import defaultdict
@@ -123,13 +124,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pd.DataFrame({"block": key, "doc_id": pd.array(ids, dtype="Int64"), "codes": [to_varint(c) for c in _coded(texts)[1]]})
 
     def encode_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import zstandard
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = loaded(tokenizer_path)
         unpack = zstandard.ZstdDecompressor()
         now, known = None, {}
         for frame in frames:  # sorted by share, and one share of the word table is held at a time
@@ -139,8 +136,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     now, known = share, {}
                 table = unpack.decompress(packed).split(b"\n")
                 fresh = [w for w in table if w not in known]
-                made = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False)
-                known.update(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in made)))
+                for at in range(0, len(fresh), 5_000):  # encodings are much larger than words
+                    part = fresh[at : at + 5_000]
+                    made = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+                    known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in made)))
                 ids = [known[w] for w in table]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 rows.append((block, codes, to_varint(counts), to_varint(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))))
@@ -173,12 +172,24 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 
 @functools.cache
-def pieces(tokenizer_path: str) -> np.ndarray:
-    """The id-to-piece table; its size is that of the vocabulary, whatever the corpus."""
+def loaded(tokenizer_path: str):
+    """The tokenizer, read once in a worker's life."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@functools.cache
+def pieces(tokenizer_path: str) -> np.ndarray:
+    """The id-to-piece table; its size is that of the vocabulary, whatever the corpus.  Read from the file itself: a worker that only
+    decodes does not hold a tokenizer."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        told = json.load(file)
+    vocabulary = told["model"]["vocab"] | {t["content"]: t["id"] for t in told["added_tokens"]}
     table = np.full(max(vocabulary.values()) + 1, None, object)
     for piece, i in vocabulary.items():
         table[i] = piece
