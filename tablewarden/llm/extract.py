@@ -7,6 +7,7 @@ trained on a bounded sample of pages that mark their article themselves, and on
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import random
 import re
@@ -38,6 +39,7 @@ CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search"
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"\b(?:class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[A-Za-z]+")
+ANY_CONTROL = re.compile(rf"<(?:{'|'.join(sorted(CONTROL))})[\s/>]", re.IGNORECASE)
 MARKED = "label main"  # set by data-label="label main" in pages made for training
 
 
@@ -96,7 +98,7 @@ class _Page:
 
 def blocks_of(html: str) -> list[Block]:
     """Leaf blocks in page order, text decoded and its white space folded.  Head, scripts, styles, controls and comments give none."""
-    page, at = _Page(), 0
+    page, at, ends = _Page(), 0, control_ends(html)
     while at < len(html):
         m = MARKUP.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -114,13 +116,13 @@ def blocks_of(html: str) -> list[Block]:
         if m[1]:
             _end(page, tag)
         elif tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(html, at)
+            close = _raw_end(tag).search(html, at)
             if not m[3].endswith("/"):
                 at = close.end() if close else len(html)
             page.parts.append(" ")
         elif tag in CONTROL:
             if not m[3].endswith("/"):
-                at = _control_end(html, at, tag, page) or at
+                at = ends.get(at, at)
             page.parts.append(" ")
         else:
             _start(page, tag, m[3])
@@ -128,23 +130,45 @@ def blocks_of(html: str) -> list[Block]:
     return page.blocks
 
 
-def _control_end(html: str, at: int, tag: str, page: _Page) -> int | None:
-    """Where the element ends by its own end tag; None where its parent ends or the next such control starts before that."""
-    inside = Counter()
-    for m in MARKUP.finditer(html, at):
-        name = (m[2] or "").lower()
-        if not m[1]:
-            if name == tag and tag in {"button", "select"}:
-                return None
-            if name and name not in VOID and not m[3].endswith("/"):
-                inside[name] += 1
-        elif inside[name]:
-            inside[name] -= 1
-        elif name == tag:
-            return m.end()
-        elif f"tag {name}" in page.above:
-            return None
-    return None
+def control_ends(html: str) -> dict[int, int]:
+    """Where each control that is closed by its own end tag ends, by the place after its start tag.  One pass over the page's tags: an end
+    tag closes what is open inside its element, and a button or select ends with the next one of its kind, both without an end of their own."""
+    ends: dict[int, int] = {}
+    if not ANY_CONTROL.search(html):
+        return ends
+    stack: list[tuple[str, int]] = []
+    held, at = Counter(), 0
+    while m := MARKUP.search(html, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if not tag:
+            continue
+        if m[1]:
+            if held[tag]:
+                while True:
+                    name, start = stack.pop()
+                    held[name] -= 1
+                    if name == tag:
+                        break
+                if tag in CONTROL and start >= 0:
+                    ends[start] = at
+        elif tag in RAW:
+            close = _raw_end(tag).search(html, at)
+            if not m[3].endswith("/"):
+                at = close.end() if close else len(html)
+        elif tag not in VOID and not m[3].endswith("/"):
+            if tag in {"button", "select"} and held[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag and stack[i][1] >= 0:
+                        stack[i] = tag, -1
+                        break
+            stack.append((tag, at))
+            held[tag] += 1
+    return ends
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE)
 
 
 def _start(page: _Page, tag: str, attributes: str) -> None:
@@ -179,10 +203,23 @@ def _end(page: _Page, tag: str) -> None:
             return
 
 
-def text_features(block: Block, first: bool) -> tuple[str, ...]:
-    n, words = len(block.text), block.text.count(" ") + 1
-    return (f"block {block.tag}", f"words {min(words.bit_length(), 7)}", f"linked {min(block.linked * 4 // n, 4)}", f"ends {block.text[-1] in '.!?…:\"'}",
-            f"stops {min(block.text.count('. '), 3)}", f"sign {'©' in block.text or '|' in block.text}", f"first {first}", "always")
+def _look(block: Block) -> tuple[int, int, bool]:
+    """A block as its neighbours see it: words, share of links, whether it reads like a sentence."""
+    return min((block.text.count(" ") + 1).bit_length(), 6), min(block.linked * 4 // len(block.text), 4), block.text[-1] in ".!?…:\"'"
+
+
+def text_features(block: Block, first: bool, near: tuple = (None, None)) -> tuple[str, ...]:
+    """Features of the text, and of the blocks before and after it (None at the ends of the page)."""
+    n, (words, linked, ends) = len(block.text), _look(block)
+    prose = words >= 4 and linked == 0 and ends
+    around = [f"{side} {'none' if look is None else 'links' if look[1] > 1 else 'prose' if look[0] >= 4 and look[2] else 'short'}" for side, look in zip(("before", "after"), near)]
+    return (f"block {block.tag}", f"words {words}", f"linked {linked}", f"ends {ends}", f"stops {min(block.text.count('. '), 3)}", f"sign {'©' in block.text or '|' in block.text}",
+            f"first {first}", f"prose {prose}", *around, f"heading {block.tag[:1] == 'h' and block.tag[1:].isdigit()} {around[1]}", "always")
+
+
+def looks_around(blocks: list[Block]) -> list[tuple]:
+    looks = [None, *map(_look, blocks), None]
+    return list(zip(looks, looks[2:]))
 
 
 def above_features(block: Block) -> list[str]:
@@ -206,8 +243,9 @@ class Tagger:
     def tags(self, blocks: list[Block]) -> list[int]:
         """Viterbi over two tags; ties go to other."""
         best, back = list(self._first), []
+        around = looks_around(blocks)
         for i, block in enumerate(blocks):
-            own = text_features(block, i == 0)
+            own = text_features(block, i == 0, around[i])
             a, b = self._score(block.above, above_features(block)), self._score(own, own)
             scores = a[0] + b[0], a[1] + b[1]
             if i:
@@ -257,13 +295,13 @@ def made_pages(n: int = 400, seed: int = 11) -> list[str]:
 
     def notice() -> str:
         return draw.choice([
-            lambda: chrome("div", ["notice", "cookie-notice", "consent banner", "alert"]), lambda: chrome("div", ["ad", "ads", "advert", "sponsored promo", "banner"]),
+            lambda: chrome("div", ["notice", "cookie-notice", "consent banner", "alert", "gdpr", "cookies", "privacy-bar"]), lambda: chrome("div", ["ad", "ads", "advert", "sponsored promo", "banner"]),
             lambda: f'<form {named(["search", "newsletter", "subscribe", "login"])}><label>{some(3)}</label><input><p>{prose()}</p></form>',
-            lambda: chrome("aside", ["sidebar", "related", "widget", "share social"]), lambda: f"<aside><h4>{some(3)}</h4><p>{prose()}</p></aside>"])()
+            lambda: chrome("aside", ["sidebar", "related", "widget", "share social", "secondary", "widget-area", "more-stories"]), lambda: f"<aside><h4>{some(3)}</h4><p>{prose()}</p></aside>"])()
 
     def comments() -> str:
         body = "".join(f'<{t} class="comment"><b>{word()}</b><p>{prose()}</p></{t}>' for t in [draw.choice(["div", "li", "article"])] * draw.randint(1, 4))
-        return f'<section {named(["comments", "comment-list", "responses comments"])}><h3>{some(2)}</h3>{body}</section>'
+        return f'<section {named(["comments", "comment-list", "responses comments", "discussion", "respond", "replies"])}><h3>{some(2)}</h3>{body}</section>'
 
     pages = []
     for _ in range(n):
@@ -271,11 +309,11 @@ def made_pages(n: int = 400, seed: int = 11) -> list[str]:
         body = [] if bare_page or draw.random() < 0.2 else [f"<h{draw.choice('112')}>{some(9)}</h2>"]
         for _ in range(draw.randint(1, 2) if bare_page else draw.randint(1, 12)):
             body.append(draw.choice([
-                lambda: f"<p>{prose()}</p>", lambda: f"<p>{some(3)}.</p>", lambda: f"<p>{prose()} <a href='#'>{some(2)}</a> <em>{prose()}</em></p>", lambda: f"<p><b>{prose()}<br>",
+                lambda: f"<p>{prose()}</p>", lambda: f"<p>{some(3)}.</p>", lambda: f"<p>{some(4)} | {some(2)}</p>", lambda: f"<p>{some(2)}. |</p>", lambda: f"<p>{prose()} <a href='#'>{some(2)}</a> <em>{prose()}</em></p>", lambda: f"<p><b>{prose()}<br>",
                 lambda: f"<h2>{some(6)}</h2>", lambda: f"<ul><li>{prose()}</li><li>{some(5)}</li></ul>", lambda: f"<blockquote>{prose()}</blockquote>", lambda: f"<div>{prose()}</div>",
                 lambda: f"<pre>{prose()}</pre>", lambda: f"<table><tr><td>{some(3)}</td><td>{some(3)}</td></tr></table>"])())
         spots = [f"<div{mark}>{x}</div>" if draw.random() < 0.1 else None or x for x in body]
-        wrap = draw.choice(["<article{m}>", "<main{m}>", '<div class="content"{m}>', '<div id="post-body"{m}>', '<section class="entry article"{m}>', "<article class='post'{m}>"]).format(m=mark)
+        wrap = draw.choice(["<article{m}>", "<main{m}>", '<div class="content"{m}>', '<div id="post-body"{m}>', '<section class="entry article"{m}>', '<div id="primary"{m}>', '<div class="story"{m}>', '<td{m}>', "<article class='post'{m}>"]).format(m=mark)
         tag = wrap[1:].split()[0]
         inner = "".join(spots)
         if not bare_page and draw.random() < 0.35:  # a notice inside the main part ends it and begins it anew
@@ -285,15 +323,54 @@ def made_pages(n: int = 400, seed: int = 11) -> list[str]:
             inner = f"<{outer}>{wrap}{''.join(spots[:cut])}</{tag}>{notice()}{wrap}{''.join(spots[cut:])}</{tag}>{comments() if draw.random() < 0.5 else ''}</{name}>"
         else:
             inner = f"{wrap}{inner}</{tag}>"
-        head = [chrome("nav", ["menu", "nav", "navigation", "breadcrumb"]), chrome("header", ["header", "masthead", "top"]), notice()]
+        head = [chrome("nav", ["menu", "nav", "navigation", "breadcrumb"]), chrome("header", ["header", "masthead", "top", "site-title"]), notice()]
         foot = [chrome("footer", ["footer", "bottom", "copyright"]), notice(), comments(), f"<footer>&copy; {word()} &middot; {prose()}</footer>"]
         bare = [f"<nav><ul>{links(8)}</ul></nav>", f"<header><h1>{some(4)}</h1></header>"]
         pages.append("<html><body>" + "".join(draw.sample(head + bare, 0 if bare_page else draw.randint(0, 4))) + inner + "".join(draw.sample(foot, 0 if bare_page else draw.randint(0, 3))) + "</body></html>")
     return pages
 
 
+def foreign_pages(n: int = 500, seed: int = 12) -> list[str]:
+    """Labelled pages whose names and elements say nothing: div-only, table and bare layouts, where length, links and neighbours tell
+    the main part from menus, footers and short notes."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choices("etaoinshrdlucmfwyp", k=draw.randint(1, 9)))
+    some = lambda k: " ".join(word() for _ in range(draw.randint(1, k))).capitalize()
+    prose = lambda: " ".join(" ".join(word() for _ in range(draw.randint(5, 18))).capitalize() + draw.choice([".", ".", "!", "?"]) for _ in range(draw.choice([1, 2, 3, 6])))
+    name = lambda: draw.choice(["", "", f' class="{word()}"', f' id="{word()}-{word()}"'])
+    link = lambda: f'<a href="/{word()}">{some(3)}</a>'
+    mark = f' data-label="{MARKED}"'
+
+    def aside() -> str:
+        return draw.choice([
+            lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(draw.randint(2, 9))) + "</ul>", lambda: " | ".join(link() for _ in range(draw.randint(2, 6))),
+            lambda: "".join(f"<div>{link()}</div>" for _ in range(draw.randint(2, 6))), lambda: f"&copy; 20{draw.randint(10, 29)} {some(3)} | {link()}", lambda: f"<p>{some(3)}</p>",
+            lambda: f"<h3>{some(2)}</h3><ul><li>{link()}</li><li>{link()}</li></ul>", lambda: f"<p>{link()} {link()}</p>"])()
+
+    def body() -> str:
+        made = [f"<h{draw.choice('112')}>{some(8)}</h1>"] if draw.random() < 0.6 else []
+        for _ in range(draw.randint(1, 9)):
+            made.append(draw.choice([
+                lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()}</p>", lambda: f"<p>{prose()} {link()} {prose()}</p>", lambda: f"<div>{prose()}</div>", lambda: f"<h2>{some(6)}</h2><p>{prose()}</p>",
+                lambda: f"<p>{prose()}</p><ul><li>{some(6)}</li><li>{some(9)}</li></ul><p>{prose()}</p>", lambda: f"<blockquote>{prose()}</blockquote>", lambda: f"{prose()}<br><br>{prose()}"])())
+        return "".join(made)
+
+    pages = []
+    for _ in range(n):
+        kind = draw.choice(["bare", "div", "div", "div", "table"])
+        if kind == "bare":
+            page = f"<span{mark}>{body()}</span>" if draw.random() < 0.3 else f"<div{mark}>{body()}</div>"
+        elif kind == "div":
+            parts = [f"<div{name()}>{aside()}</div>" for _ in range(draw.randint(1, 3))] + [f"<div{name()}{mark}>{body()}</div>"] + [f"<div{name()}>{aside()}</div>" for _ in range(draw.randint(0, 3))]
+            page = f"<div{name()}>{''.join(parts)}</div>"
+        else:
+            page = f"<table><tr><td{name()}>{aside()}</td><td{name()}{mark}>{body()}</td>{f'<td>{aside()}</td>' if draw.random() < 0.4 else ''}</tr></table>"
+        pages.append(f"<html><body>{page}</body></html>")
+    return pages
+
+
 def _training(blocks: list[Block], tags: list[int]) -> tuple[list[list[str]], list[int]]:
-    return [[*above_features(b), *text_features(b, i == 0)] for i, b in enumerate(blocks)], tags
+    return [[*above_features(b), *text_features(b, i == 0, near)] for i, (b, near) in enumerate(zip(blocks, looks_around(blocks)))], tags
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = 400, blocks_per_page: int = 200) -> crf.Chain:
@@ -308,12 +385,13 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
             if found:
                 yield pd.DataFrame({"x": [x for x, _ in found], "y": [y for _, y in found]})
 
+    # A page may teach what its own markup says, but not that nothing else is an article: as many pages have no telling names.
     rows = flat.join(F.broadcast(drawn), "page_id").select("html").mapInPandas(label, "x array<array<string>>, y array<int>").collect()
     pairs = sorted((([list(t) for t in r["x"]], list(r["y"])) for r in rows), key=str)
-    for html in made_pages():
+    for html in made_pages() + foreign_pages():
         blocks = blocks_of(html)
         pairs.append(_training(blocks, [MAIN if MARKED in b.above else OTHER for b in blocks]))
-    return crf.fit([x for x, _ in pairs], [y for _, y in pairs], 2, rounds=120)
+    return crf.fit([x for x, _ in pairs], [y for _, y in pairs], 2, penalty=0.1, rounds=120)
 
 
 def extract(pages: DataFrame, chain: crf.Chain, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

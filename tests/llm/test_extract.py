@@ -69,3 +69,41 @@ def test_unclosed_controls_lose_nothing():
 def test_late_names_of_a_class_count():
     (block,) = extract.blocks_of('<div class="a b c d e f sidebar"><p>t</p></div>')
     assert "name sidebar" in block.above
+
+
+# Pages written by hand, none from the generators: the main blocks of each.
+TALE = ["The river rose three feet overnight, and by morning the lower road was gone.", "Nobody in the village had seen water so high since the winter of 1962."]
+FOREIGN = {
+    "div only": ('<div id="masthead"><a href="/">Valley News</a></div><div id="primary"><h1>Flood in the valley</h1><p>{0}</p><p>{1}</p></div>'
+                 '<div id="secondary"><ul><li><a href="/a">Weather</a></li><li><a href="/b">Sport</a></li></ul></div><div id="respond"><a href="/login">Log in to reply</a></div>', ["Flood in the valley", *TALE]),
+    "bare": ("<p>{0}</p><p>{1}</p>", TALE),
+    "unknown names": ('<div class="zq1"><a href="/">Home</a> <a href="/x">About</a></div><div class="kk9"><h1>Flood in the valley</h1><p>{0}</p><p>{1}</p></div><div class="pt4">&copy; 2024 Valley News | <a href="/t">Terms</a></div>',
+                      ["Flood in the valley", *TALE]),
+    "table": ('<table><tr><td width="150"><a href="/a">Home</a><br><a href="/b">Archive</a><br><a href="/c">Contact</a></td><td><h1>Flood in the valley</h1><p>{0}</p><p>{1}</p></td></tr></table>', ["Flood in the valley", *TALE]),
+    "notice inside": ('<article><h1>Flood in the valley</h1><p>{0}</p><div class="gdpr">We use cookies to improve this site.</div><p>{1}</p></article>', ["Flood in the valley", *TALE]),
+    "comments without the word": ('<article><h1>Flood in the valley</h1><p>{0}</p><p>{1}</p></article><section id="discussion"><h3>3 responses</h3><p>So sad to see this.</p></section>', ["Flood in the valley", *TALE]),
+    "list": ('<main><h1>Flood in the valley</h1><p>{0}</p><ul><li>Lower road closed until Friday</li><li>School open from ten</li></ul><p>{1}</p></main><footer>Valley News</footer>',
+             ["Flood in the valley", TALE[0], "Lower road closed until Friday", "School open from ten", TALE[1]]),
+}
+
+
+def test_foreign_layouts(chain):
+    tagger, right, got, wanted, report = extract.Tagger(chain), 0, 0, 0, {}
+    for name, (page, main) in FOREIGN.items():
+        found = tagger.main_text(page.format(*TALE)).split("\n")
+        assert found != [""], name
+        right, got, wanted = right + len(set(found) & set(main)), got + len(found), wanted + len(main)
+        if found != main:
+            report[name] = found
+    f1 = 2 * right / (got + wanted)
+    print(f"block F1 {f1:.3f}", report)
+    assert f1 >= 0.95
+
+
+def test_unclosed_controls_take_linear_time():
+    import time
+
+    for piece in ("<object><i>x", "<svg>x", "<button>x", "<template><p>x"):
+        start = time.perf_counter()
+        extract.blocks_of(piece * 100_000)
+        assert time.perf_counter() - start < 5, piece
