@@ -136,6 +136,7 @@ def score(docs: DataFrame, model: ShapeModel, host_col: str | Column = "source",
         for texts in parts:
             yield pd.Series(model.logits(texts))
 
+    own_logit = own_logit.asNondeterministic()  # else a filter on the verdict scores every text once more
     key = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\0"))
     expit = lambda c: 1 / (1 + F.exp(-c))
     scored = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key(host_col).alias("host"), key(path_col).alias("path"), own_logit(F.col(text_col)).alias("own"))
