@@ -49,14 +49,15 @@ class _SeenBefore(StatefulProcessor):
         self.first = handle.getValueState("first", "row_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        first = self.first.get()[0] if self.first.exists() else None
+        seen = self.first.exists()
+        first = self.first.get()[0] if seen else None
         for batch in rows:
-            if first is None and len(batch):
-                first = int(batch["row_id"].iloc[0])
+            ids = [None if i is None else int(i) for i in batch["row_id"]]
+            if not seen and ids:
+                seen, first, ids = True, ids[0], ids[1:]
                 self.first.update((first,))
-                batch = batch.iloc[1:]
-            if len(batch):
-                yield pd.DataFrame({"row_id": batch["row_id"].astype("int64"), "first_id": first})
+            if ids:
+                yield pd.DataFrame({"row_id": pd.array(ids, dtype="Int64"), "first_id": pd.array([first] * len(ids), dtype="Int64")})
 
     def close(self) -> None:
         pass
@@ -73,9 +74,10 @@ def repeated_keys(stream: DataFrame, keys: list[str], row_id: str = "row_id", tt
     """Later rows of a key on a stream: ``row_id, first_id``, in order of arrival.
 
     Needs the RocksDB state store.  ``ttl_ms`` forgets a key after that time, which bounds the state.  Only the row id
-    travels with the key, and the rows of a key pass through in chunks; they are never held together.
+    travels with the key, as text, so a null id stays null and a large one exact; the rows of a key pass through in chunks and are
+    never held together.
     """
-    slim = stream.select(*[F.col(k) for k in keys], F.col(row_id).cast("bigint").alias("row_id"))
+    slim = stream.select(*[F.col(k) for k in keys], F.col(row_id).cast("bigint").cast("string").alias("row_id"))
     processor: StatefulProcessor = _SeenBefore()
     if ttl_ms:
         processor = _SeenWithin()
@@ -84,3 +86,13 @@ def repeated_keys(stream: DataFrame, keys: list[str], row_id: str = "row_id", tt
         statefulProcessor=processor, outputStructType="row_id bigint, first_id bigint", outputMode="append",
         timeMode="processingTime" if ttl_ms else "none",
     )
+
+
+def first_rows(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
+    """The stream without rows that repeat a key within ``lateness`` of its first one: keep-first on streams.
+
+    A key is forgotten once the watermark has passed it, so the state holds the keys of that span alone.  Rows without a time, and
+    rows later than the watermark, are dropped by Spark; rows with equal null keys are copies of one another.
+    """
+    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    return timed.dropDuplicatesWithinWatermark(keys)

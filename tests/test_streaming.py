@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators import rules, score
 from tablewarden.plans.streams import ROCKS
-from tablewarden.streaming import broadcast_truth, findings_stream, repeated_keys, score_rows, stream_episodes, windowed_quality
+from tablewarden.streaming import broadcast_truth, findings_stream, first_rows, repeated_keys, score_rows, stream_episodes, windowed_quality
 from tablewarden.types import SUBMISSIONS, TRUTH
 
 
@@ -48,6 +48,20 @@ def test_repeated_keys_are_remembered_between_batches(rocks, tmp_path):
     assert got == {(3, 1), (4, 1)}
 
 
+def test_repeated_keys_without_a_row_id(rocks, tmp_path):
+    big = (1 << 60) + 1
+    src = files(rocks, tmp_path, [[(None, "a"), (big, "b")], [(3, "a"), (None, "b")], [(big + 1, "b")]], "row_id long, k string")
+    got = {(r.row_id, r.first_id) for r in drain(repeated_keys(src, ["k"]), tmp_path)}
+    assert got == {(3, None), (None, big), (big + 1, big)}
+
+
+def test_only_the_first_row_of_a_key_stays(rocks, tmp_path):
+    day = "2024-01-01T00:{:02d}:00"
+    src = files(rocks, tmp_path, [[(1, "a", day.format(0)), (2, "b", day.format(1))], [(3, "a", day.format(2)), (4, "c", day.format(3))], [(5, "b", day.format(4))]], "row_id long, k string, ts string")
+    got = sorted(r.row_id for r in drain(first_rows(src, ["k"], "ts", "1 hour"), tmp_path))
+    assert got == [1, 2, 4]
+
+
 @pytest.fixture
 def truth(spark):
     return spark.createDataFrame([("d", 1, "a", "missing_value", "t", 1.0, "x", 0), ("d", 2, "b", "wrong_type", "t", 3.0, "1", 1)], TRUTH)
