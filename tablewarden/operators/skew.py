@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..session import broadcast_limit, cut_lineage, plan_bytes
 
-SALTS = 16  # salts of a hot key per shuffle partition: so many that hashing them again deals the rows out evenly
+SALTS = 64  # salts per shuffle partition, shared out among the hot keys: so many that hashing them again deals the rows out evenly
 SLICE_BYTES = 64 << 20  # of an ordered table as stored, for one slice of its order
 
 
@@ -19,14 +19,25 @@ def hot_limit(rows: DataFrame) -> int:
     return 20 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_salts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The most frequent keys of ``rows`` and how many salts each gets (``__salts``), by its share of the rows of all of them."""
+    spark = rows.sparkSession
+    counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = cut_lineage(counted.orderBy(F.desc("__rows"), *keys).limit(hot_limit(rows)))
+    total = hot.agg(F.sum("__rows")).first()[0] or 1
+    salts = SALTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return hot.select(*keys, F.ceil(F.col("__rows") / F.lit(total) * F.lit(salts)).cast("int").alias("__salts"))
+
+
 def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: str, how: str = "left") -> DataFrame:
     """Join ``rows`` to ``facts``, which holds each key at most once, when some keys fill a large share of ``rows``.
 
     When either side is so small that Spark itself would broadcast it, the join is a plain one.  An aggregate is planned as
     large as its input, so facts that look large are stored and measured first; the few facts of a grouped table are then
     broadcast as well.  Otherwise the most frequent keys of ``rows`` are found with a map-side-combined count, their rows are
-    spread by ``spread_by`` over many salts per shuffle partition, and only their facts are repeated per salt; in a left join
-    rows with a NULL key, which match nothing, are spread likewise.  The result equals a plain join.
+    spread by ``spread_by`` over salts, and only their facts are repeated per salt.  A key gets salts by its share of the hot rows,
+    so all facts together are repeated at most ``SALTS`` + 20 times per shuffle partition.  In a left join rows with a NULL key, which
+    match nothing, are spread likewise.  The result equals a plain join.
     """
     spark = rows.sparkSession
     limit = broadcast_limit(spark)
@@ -35,21 +46,18 @@ def lookup_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread_by: s
     if plan_bytes(facts := cut_lineage(facts)) <= limit:
         return rows.join(F.broadcast(facts), keys, how)
     salts = SALTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = (
-        rows.dropna(subset=keys).groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(hot_limit(rows))
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    hot = cut_lineage(hot)
+    hot = hot_salts(rows, keys)
     empty = F.lit(False)
     for k in keys:
         empty = empty | F.col(k).isNull()
     salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | empty, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        "__salt", F.when(empty, F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+        .otherwise(F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__salts")), F.lit(0))).cast("int")
     )
     salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))
     )
-    joined = salted_rows.drop("__hot").join(salted_facts.drop("__hot"), [*keys, "__salt"], how)
+    joined = salted_rows.drop("__salts").join(salted_facts.drop("__salts"), [*keys, "__salt"], how)
     return joined.drop("__salt")
 
 

@@ -39,6 +39,13 @@ def test_a_hot_key_is_spread_over_all_partitions(no_broadcast):
     assert biggest < 1000  # the hot key alone has 1000 rows
 
 
+def test_facts_of_hot_keys_are_repeated_in_step_with_the_partitions(no_broadcast):
+    got = {r.k: r["__salts"] for r in skew.hot_salts(hot_rows(no_broadcast), ["k"]).collect()}
+    partitions = int(no_broadcast.conf.get("spark.sql.shuffle.partitions"))
+    assert len(got) == skew.hot_limit(hot_rows(no_broadcast)) and sum(got.values()) <= (skew.SALTS + 20) * partitions
+    assert got["hot"] > 50 * max(v for k, v in got.items() if k != "hot")
+
+
 @pytest.mark.parametrize("groups", [["k"], []])
 def test_carry_in_slices_equals_a_window(spark, groups):
     rows = hot_rows(spark).withColumn("v", F.when(F.col("row_id") % 5 != 0, F.col("v")))
