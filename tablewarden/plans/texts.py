@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold_tokens
-from ..operators import clusters, code, keyed, labels, rules, similarity, text
+from ..operators import clusters, code, keyed, labels, metric, rules, similarity, text
 from ..operators.contaminate import Fault, append_copies, constant, contaminate, copy_from_donor, cut_short, prefixed
 from ..operators.skew import digest
 from .base import findings, query, s_blank, s_finding, s_picked, s_spoilt, table
@@ -125,12 +125,25 @@ _PLANES = "[" + ", ".join(
 ) + "]::DOUBLE[][]"
 
 
-@query("semantic_duplicate", f"""
-WITH e AS (
+_MOVED = f"""e AS (
   SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL
   SELECT vec_id + (SELECT max(vec_id) + 1 FROM embeddings),
          list_transform(embedding, lambda x, i: CAST(x * CAST(1.5 AS FLOAT) + CAST(0.01 AS FLOAT) * (i % 3) AS FLOAT))::DOUBLE[]
-  FROM embeddings WHERE {s_picked('vec_id', 'copy', 0.1)}),
+  FROM embeddings WHERE {s_picked('vec_id', 'copy', 0.1)})"""
+
+
+def moved_copies(spark, sf):
+    """The vectors, and a tenth of them once more, rescaled and moved a little."""
+    vectors = table(spark, sf, "embeddings")
+    last = vectors.agg(F.max("vec_id")).first()[0]
+    dirty, _ = append_copies(vectors, "embedding", "vec_id", 0.1, first_id=last + 1)
+    moved = F.transform("embedding", lambda x, i: (
+        x * F.lit(1.5).cast("float") + F.lit(0.01).cast("float") * ((i + 1) % 3).cast("float")).cast("float"))
+    return dirty.withColumn("embedding", F.when(F.col("vec_id") > last, moved).otherwise(F.col("embedding")))
+
+
+@query("semantic_duplicate", f"""
+WITH {_MOVED},
 planes AS (SELECT unnest({_PLANES}) AS p, generate_subscripts({_PLANES}, 1) - 1 AS i),
 s AS (SELECT id, i // {BITS} AS t, sum(CASE WHEN list_inner_product(v, p) >= 0 THEN 1 << (i % {BITS}) ELSE 0 END) AS b
       FROM e, planes GROUP BY 1, 2),
@@ -140,13 +153,17 @@ WHERE list_cosine_similarity(a.v, b.v) >= 0.95
 """)
 def semantic_duplicate(spark, sf):
     """Vectors with nearly parallel, rescaled copies planted among them."""
-    vectors = table(spark, sf, "embeddings")
-    last = vectors.agg(F.max("vec_id")).first()[0]
-    dirty, _ = append_copies(vectors, "embedding", "vec_id", 0.1, first_id=last + 1)
-    moved = F.transform("embedding", lambda x, i: (
-        x * F.lit(1.5).cast("float") + F.lit(0.01).cast("float") * ((i + 1) % 3).cast("float")).cast("float"))
-    dirty = dirty.withColumn("embedding", F.when(F.col("vec_id") > last, moved).otherwise(F.col("embedding")))
-    return findings(similarity.semantic_duplicate(dirty, "embedding", DIMS, 0.95, TABLES, BITS, "vec_id"))
+    return findings(similarity.semantic_duplicate(moved_copies(spark, sf), "embedding", DIMS, 0.95, TABLES, BITS, "vec_id"))
+
+
+@query("parallel_vector", f"""
+WITH {_MOVED}
+SELECT DISTINCT {s_finding('x.id', 'embedding', 'duplicate_row')} FROM e x JOIN e y ON x.id > y.id
+WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+""")
+def parallel_vector(spark, sf):
+    """The same rows by an exact search; its SQL twin compares all pairs."""
+    return findings(metric.parallel_vector(moved_copies(spark, sf), "embedding", DIMS, 0.95, "vec_id"))
 
 
 def exchanges(spark, sf):
