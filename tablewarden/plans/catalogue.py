@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import addresses, detect, fix, plant, records, scoring, streams, texts  # noqa: F401  (they register themselves)
+from . import addresses, detect, fix, models, plant, records, scoring, streams, texts  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES, Query
 
 
