@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import language, rules, text
+from ..operators import language, profiles, rules, text
 from ..operators.contaminate import copy_from_donor
 from .base import findings, query, s_finding, s_picked, table
 from .texts import SNIPPETS, snippets
@@ -87,3 +87,54 @@ def code_language_model(spark, sf):
     model = language.fit_language_model(made, "code", "language", CODE_LANGS, language.CODE)
     judged = language.with_model_language(made, "code", model, counted_as="language")
     return findings(rules.run_rules(judged, [text.language_mismatch("code", "language")], "event_id"), "observed", "expected")
+
+
+# --- profiles per day, merged -----------------------------------------------------------------------------------------
+
+PROFILED = ["value", "user_id", "event_type", "props"]
+
+
+def by_day(spark, sf):
+    """Events under their day; a third of the values is missing on one day, and from another day on they are half as large again."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    lost = (day == "2024-01-12") & (F.col("event_id") % 3 == 0)
+    value = F.when(~lost, F.when(day >= "2024-01-25", F.col("value") * 1.5).otherwise(F.col("value")))
+    return table(spark, sf, "events").select(day.alias("day"), value.alias("value"), *PROFILED[1:])
+
+
+_DAYS = """days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, value AS was, user_id, event_type, props FROM events),
+e AS (SELECT *, CASE WHEN day = '2024-01-12' AND event_id % 3 = 0 THEN NULL WHEN day >= '2024-01-25' THEN was * 1.5 ELSE was END AS value FROM days),
+v AS (SELECT day, 'value' AS col, CAST(value AS DOUBLE) AS x, value IS NULL AS gone FROM e
+  UNION ALL SELECT day, 'user_id', CAST(user_id AS DOUBLE), user_id IS NULL FROM e
+  UNION ALL SELECT day, 'event_type', NULL, event_type IS NULL OR NOT regexp_matches(event_type, '\\S') FROM e
+  UNION ALL SELECT day, 'props', NULL, props IS NULL OR NOT regexp_matches(props, '\\S') FROM e)"""
+_SUMS = """count(*) AS n_rows, count_if(gone) AS n_missing, count(x) AS n, CAST(sum(CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS t,
+  CAST(sum(CAST(x AS DECIMAL(18,6)) * CAST(x AS DECIMAL(18,6))) AS DOUBLE) AS q"""
+
+
+@query("profile_merged", f"""
+WITH {_DAYS}, s AS (SELECT col, {_SUMS}, min(x) AS low, max(x) AS high FROM v GROUP BY 1)
+SELECT col, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_missing AS BIGINT) AS n_missing, CAST(n AS BIGINT) AS n_numbers, low, high,
+  CASE WHEN n > 0 THEN round(t / n, 4) END AS mean, CASE WHEN n > 1 THEN round(sqrt(greatest((q - t * t / n) / (n - 1), 0)), 4) END AS sd FROM s
+""")
+def profile_merged(spark, sf):
+    """Profile of all events out of the profiles of their days; the sketches' estimates are tested apart."""
+    states = profiles.profile_states(by_day(spark, sf), PROFILED, F.col("day"))
+    read = profiles.read_states(profiles.merge_states(states))
+    return read.select("col", "n_rows", "n_missing", "n_numbers", "low", "high", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@query("profile_drift", f"""
+WITH {_DAYS}, s AS (SELECT day, col, {_SUMS} FROM v GROUP BY 1, 2),
+w AS (SELECT *, sum(n_rows) OVER b AS pr, sum(n_missing) OVER b AS pm, sum(n) OVER b AS pn, sum(t) OVER b AS pt, sum(q) OVER b AS pq, count(*) OVER b AS parts
+      FROM s WINDOW b AS (PARTITION BY col ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT day, col, 'mean' AS measure, t / n AS value, pt / pn AS expected,
+        abs(t / n - pt / pn) > 3 * sqrt(greatest((pq - pt * pt / pn) / (pn - 1), 0)) / sqrt(n) AS bad FROM w WHERE parts >= 3 AND n > 0 AND pn > 1
+  UNION ALL SELECT day, col, 'missing', n_missing / n_rows, pm / pr, abs(n_missing / n_rows - pm / pr) > 0.05 FROM w WHERE parts >= 3
+  UNION ALL SELECT day, col, 'rows', n_rows, pr / parts, n_rows < 0.5 * pr / parts FROM w WHERE parts >= 3)
+SELECT day AS part, col, measure, round(CAST(value AS DOUBLE), 4) AS value, round(CAST(expected AS DOUBLE), 4) AS expected FROM j WHERE bad
+""")
+def profile_drift(spark, sf):
+    states = profiles.profile_states(by_day(spark, sf), PROFILED, F.col("day"))
+    told = profiles.drifted(states)
+    return told.select("part", "col", "measure", F.round("value", 4).alias("value"), F.round("expected", 4).alias("expected"))
