@@ -1,13 +1,13 @@
-"""Catalogue: trained language models and profiles that are kept and merged."""
+"""Catalogue: trained language models, profiles that are kept and merged, and keyed checks in one pass."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import language, profiles, rules, text
-from ..operators.contaminate import copy_from_donor
-from .base import findings, query, s_finding, s_picked, table
-from .texts import SNIPPETS, snippets
+from ..operators import language, profiles, rules, shared, text
+from ..operators.contaminate import append_copies, copy_from_donor
+from .base import findings, query, s_blank, s_finding, s_picked, table
+from .texts import SNIPPETS, labelled, snippets
 
 LANGS = list(text.STOP_WORDS)
 CODE_LANGS = ["javascript", "python", "sql"]
@@ -138,3 +138,58 @@ def profile_drift(spark, sf):
     states = profiles.profile_states(by_day(spark, sf), PROFILED, F.col("day"))
     told = profiles.drifted(states)
     return told.select("part", "col", "measure", F.round("value", 4).alias("value"), F.round("expected", 4).alias("expected"))
+
+
+# --- keyed checks in one pass -----------------------------------------------------------------------------------------
+
+def recopied(spark, sf):
+    """Labelled documents and, under new ids, a tenth of them again: toxic turned over, and half of those restyled."""
+    docs = labelled(spark, sf).select("doc_id", "text", "quality", "toxic")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    dirty, _ = append_copies(docs, "text", "doc_id", 0.1, first_id=last + 1)
+    new, restyled = F.col("doc_id") > last, F.concat(F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("!!"))
+    return dirty.select(
+        "doc_id", F.when(new & (F.col("quality") == 1), restyled).otherwise(F.col("text")).alias("text"), "quality",
+        F.when(new, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"), F.length("text").alias("n_chars"),
+    )
+
+
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _s_copies(key: str, col: str, rule: str, where: str = "true") -> str:
+    return f"""SELECT doc_id, '{col}' AS col, 'duplicate_row' AS issue_type, '{rule}' AS rule_id, NULL AS observed, CAST(f AS VARCHAR) AS expected
+  FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {key}) AS f FROM d WHERE {where}) WHERE doc_id > f"""
+
+
+def _s_conflict(label: str) -> str:
+    return f"""SELECT doc_id, '{label}', 'inconsistent_value', 'label_conflict', CAST({label} AS VARCHAR), NULL
+  FROM (SELECT *, min({label}) OVER (PARTITION BY text) <> max({label}) OVER (PARTITION BY text) AS mixed FROM d WHERE text IS NOT NULL) WHERE mixed"""
+
+
+_GIVEN = f"NOT {s_blank('text')}"
+
+
+@query("keyed_in_one_pass", f"""
+WITH l AS (SELECT doc_id, text, quality, toxic FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT doc_id, false AS new, text, quality, toxic FROM l UNION ALL
+      SELECT doc_id + (SELECT max(doc_id) + 1 FROM l), true, text, quality, toxic FROM l WHERE {s_picked('doc_id', 'copy', 0.1)}),
+d AS (SELECT doc_id, CASE WHEN new AND quality = 1 THEN replace(text, ' ', '  ') || '!!' ELSE text END AS text, quality,
+        CASE WHEN new THEN 1 - toxic ELSE toxic END AS toxic, length(text) AS n_chars FROM c),
+found AS ({_s_copies('text, quality, toxic', 'text', 'duplicate_row')}
+  UNION ALL {_s_copies('n_chars, quality', 'n_chars', 'duplicate_key:n_chars,quality', 'n_chars IS NOT NULL AND quality IS NOT NULL')}
+  UNION ALL {_s_copies('text', 'text', 'duplicate_text:text', _GIVEN)}
+  UNION ALL {_s_copies(_NORMAL, 'text', 'duplicate_text:text', _GIVEN)}
+  UNION ALL SELECT doc_id, 'text', 'inconsistent_value', 'copied_response', NULL, CAST(f AS VARCHAR)
+    FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS f, first_value(toxic) OVER (PARTITION BY text ORDER BY doc_id) AS p FROM d WHERE {_GIVEN})
+    WHERE doc_id > f AND toxic IS DISTINCT FROM p
+  UNION ALL {_s_conflict('quality')} UNION ALL {_s_conflict('toxic')})
+SELECT CAST(doc_id AS BIGINT) AS row_id, col, issue_type, rule_id, observed, expected FROM found
+""")
+def keyed_in_one_pass(spark, sf):
+    checks = [
+        shared.duplicate_row("text", ["text", "quality", "toxic"]), shared.duplicate_key(["n_chars", "quality"]),
+        shared.duplicate_text("text"), shared.duplicate_text("text", normalise=True), shared.copied_response("toxic", "text"),
+        *shared.label_conflict(F.col("text"), ["quality", "toxic"]),
+    ]
+    return findings(shared.run_keyed(recopied(spark, sf), checks, "doc_id"), "rule_id", "observed", "expected")
