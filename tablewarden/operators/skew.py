@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..session import broadcast_limit, cut_lineage, plan_bytes
 
 SALTS = 64  # salts per shuffle partition, shared out among the hot keys: so many that hashing them again deals the rows out evenly
+WORTH = 8  # keys with less than one eighth of a twentieth of a partition get no salts
 SLICE_BYTES = 64 << 20  # of an ordered table as stored, for one slice of its order
 
 
@@ -20,10 +21,16 @@ def hot_limit(rows: DataFrame) -> int:
 
 
 def hot_salts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent keys of ``rows`` and how many salts each gets (``__salts``), by its share of the rows of all of them."""
+    """The most frequent keys of ``rows`` and how many salts each gets (``__salts``), by its share of the rows of all of them.
+
+    Keys with too few rows to matter leave before the most frequent ones meet in one task: at most ``WORTH`` times as many as are
+    wanted reach it, in step with the shuffle partitions and not with their square.
+    """
     spark = rows.sparkSession
     counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = cut_lineage(counted.orderBy(F.desc("__rows"), *keys).limit(hot_limit(rows)))
+    of_all = counted.agg(F.sum("__rows")).scalar()
+    many = counted.where(F.col("__rows") * F.lit(WORTH * hot_limit(rows)) > of_all)
+    hot = cut_lineage(many.orderBy(F.desc("__rows"), *keys).limit(hot_limit(rows)))
     total = hot.agg(F.sum("__rows")).first()[0] or 1
     salts = SALTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     return hot.select(*keys, F.ceil(F.col("__rows") / F.lit(total) * F.lit(salts)).cast("int").alias("__salts"))
