@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import language, profiles, rules, shared, text
-from ..operators.contaminate import append_copies, copy_from_donor
+from ..operators.contaminate import copy_from_donor, picked
 from .base import findings, query, s_blank, s_finding, s_picked, table
 from .texts import SNIPPETS, labelled, snippets
 
@@ -145,11 +145,14 @@ def profile_drift(spark, sf):
 def recopied(spark, sf):
     """Labelled documents and, under new ids, a tenth of them again: toxic turned over, and half of those restyled."""
     docs = labelled(spark, sf).select("doc_id", "text", "quality", "toxic")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    dirty, _ = append_copies(docs, "text", "doc_id", 0.1, first_id=last + 1)
-    new, restyled = F.col("doc_id") > last, F.concat(F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("!!"))
+    last = docs.agg(F.max("doc_id")).first()[0] or 0
+    # Copies are made from the joined row, so the texts are joined with their labels once.
+    as_copy = lambda new: F.struct((F.col("doc_id") + (last + 1 if new else 0)).alias("doc_id"), F.lit(new).alias("new"))
+    both = F.when(picked(F.col("doc_id"), "copy", 0.1), F.array(as_copy(False), as_copy(True))).otherwise(F.array(as_copy(False)))
+    dirty = docs.withColumn("__as", F.explode(both))
+    new, restyled = F.col("__as.new"), F.concat(F.replace(F.col("text"), F.lit(" "), F.lit("  ")), F.lit("!!"))
     return dirty.select(
-        "doc_id", F.when(new & (F.col("quality") == 1), restyled).otherwise(F.col("text")).alias("text"), "quality",
+        "__as.doc_id", F.when(new & (F.col("quality") == 1), restyled).otherwise(F.col("text")).alias("text"), "quality",
         F.when(new, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"), F.length("text").alias("n_chars"),
     )
 
