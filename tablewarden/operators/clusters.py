@@ -2,8 +2,8 @@
 
 The similarity join of :mod:`similarity` gives every row one earlier partner, which is enough to drop copies but not to cluster:
 a row may join two groups that have nothing else in common.  So the components of these first links are taken, and only rows
-that share a block while they lie in different components are compared again.  The members of a huge cluster, which share a
-component by then, do not meet one another.
+of different components become pairs again.  The members of a huge cluster, which share a component by then, are not paired with
+one another.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import keyed
-from .similarity import CHUNK, _verified, earlier_match, jaccard, prefix_blocks, word_sets
+from .similarity import earlier_similar, jaccard, set_marks, similar_grid, verified_sets, word_sets
 from .skew import lookup_join
 
 
@@ -47,20 +47,10 @@ def connected(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("cluster")).distinct())
 
 
-def _bridges(blocks: DataFrame, roots: DataFrame, ok: Column) -> DataFrame:
-    """Pairs ``id, other`` that share a block, pass the cheap test ``ok`` and lie in different components."""
-    extra = [c for c in blocks.columns if c not in ("id", "block")]
-    marked = cut_lineage(lookup_join(blocks, roots, ["id"], "block").withColumn("cluster", F.coalesce("cluster", "id")))
-    mixed = marked.groupBy("block").agg(F.count(F.lit(1)).alias("members"), (F.min("cluster") != F.max("cluster")).alias("mixed")).where("mixed").drop("mixed")
-    open_rows = lookup_join(marked, cut_lineage(mixed), ["block"], "id", "inner")
-    # A block of many members is a grid of tasks, each with at most about CHUNK rows on either side.
-    parts = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    mine, every = F.pmod(F.xxhash64("id"), parts).cast("int"), F.explode(F.sequence(F.lit(0), parts - 1))
-    cell, kept = ["block", "__x", "__y"], ["id", "cluster", *extra]
-    rows = open_rows.withColumn("__x", mine).withColumn("__y", every).select(*cell, F.struct(*kept).alias("l"))
-    others = open_rows.withColumn("__y", mine).withColumn("__x", every).select(*cell, F.struct(*kept).alias("r"))
-    return rows.join(others, cell).where((F.col("r.id") < F.col("l.id")) & (F.col("r.cluster") != F.col("l.cluster")) & ok).select(
-        F.col("l.id").alias("id"), F.col("r.id").alias("other")).distinct()
+def _bridges(marks: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``id, other`` that sizes and parity bits do not rule out and that lie in different components."""
+    marked = cut_lineage(lookup_join(marks.drop("leads"), roots, ["id"], "size").withColumn("cluster", F.coalesce("cluster", "id")))
+    return similar_grid(marked, marked, threshold).select("id", "other")
 
 
 def near_clusters(df: DataFrame, col: str, threshold: float = 0.65, row_id: str = "row_id") -> DataFrame:
@@ -70,10 +60,10 @@ def near_clusters(df: DataFrame, col: str, threshold: float = 0.65, row_id: str
     Rows without words, and rows without a near copy, are in no cluster.  Rows with a null id are left out; ids are taken as unique.
     """
     items, copies = word_sets(df.where(F.col(row_id).isNotNull()), col, row_id)
-    blocks, ok = prefix_blocks(items, threshold)
-    similar = lambda a, b: jaccard(a, b) >= threshold
-    links = cut_lineage(earlier_match(items, blocks, similar, ok).select("id", "other"))
-    more = _verified(cut_lineage(_bridges(blocks, cut_lineage(connected(links)), ok)), items, similar)
+    marks = set_marks(items)
+    links = cut_lineage(earlier_similar(items, marks, threshold).select("id", "other"))
+    bridges = cut_lineage(_bridges(marks, cut_lineage(connected(links)), threshold))
+    more = verified_sets(bridges, items, lambda a, b: jaccard(a, b) >= threshold)
     return connected(links.unionByName(more).unionByName(copies.select("id", "other")))
 
 

@@ -237,3 +237,16 @@ def test_slices_follow_the_stored_size_not_the_planned_one(spark, monkeypatch):
         want[r["row_id"]] = best[r["k"]]
     assert got == want
     assert sum(len(df.inputFiles()) for df in stored) <= 20
+
+
+def test_texts_that_share_words_leave_few_rows_behind(spark, monkeypatch):
+    """Meeting points are a few hashes a text, not a third of its words, and only likely pairs are kept."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 40))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(20)]
+    stored = []
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df: stored.append(cut_lineage(df)) or stored[-1])
+    got = similarity.near_duplicate_text(spark.createDataFrame(rows, "row_id long, text string"), "text", 0.65)
+    assert {(r.row_id, r.expected) for r in got.collect()} == {(200 + i, str(i)) for i in range(20)}
+    assert max(df.count() for df in stored) <= 8 * len(rows)
