@@ -5,7 +5,7 @@ from plain import identify, points
 from pyspark.sql import functions as F
 
 from tablewarden import get_suite
-from tablewarden.operators import review, score
+from tablewarden.operators import parse, review, score
 from tablewarden.types import SUBMISSIONS, TRUTH
 
 TYPES = ["missing_value", "wrong_type", "out_of_range", "format_violation", "inconsistent_value", "statistical_outlier", "duplicate_row"]
@@ -172,6 +172,44 @@ def test_missed_faults_of_a_large_truth_table(no_broadcast, small):
     assert got == {(1, "row:2,col:b,issue:out_of_range")}
 
 
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_missed_faults_per_episode_equal_the_flags_counted(spark, limit):
+    """Also for keys that every submission of an episode named, repeated submissions, and episodes, steps and datasets without a name."""
+    draw = random.Random(3)
+    truth = [(d, i, c, "missing_value", f"{c} of {i % 5}", draw.choice([1.0, 2.5, 3.0]), "x", n) for n, (d, i, c) in enumerate((d, i, c) for d in "pq" for i in range(12) for c in "ab")]
+    subs = []
+    for e in ["e1", "e2", "e3", None]:
+        for step in [1, 2, 2, None]:
+            d = draw.choice(["p", "q", "r", None])
+            named = [f"row:{i},col:a,issue:missing_value" for i in range(draw.choice([0, 3, 12]))] + [f"row:{i},col:b,issue:missing_value" for i in draw.sample(range(12), 5)]
+            subs.append((e, step, d, named, []))
+    subs += [("all", 1, "p", [f"row:{i},col:{c},issue:missing_value" for i in range(12) for c in "ab"], [])]
+    truth, subs = spark.createDataFrame(truth, TRUTH), spark.createDataFrame(subs, SUBMISSIONS)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        reports = parse.parse_reports(subs)
+        flags = review.missed_hard_flags(subs, reports, truth)
+        want = flags.groupBy("episode_id").agg(F.count(F.lit(1)), F.min("item"), F.max("reason")).collect()
+        got = review.missed_hard_flags(subs, reports, truth, per="episode_id").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and "all" not in {r[0] for r in got} and len(got) > 2
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_missed_cells_are_not_grouped_again(spark, small, monkeypatch):
+    """Cells that nobody touched are as many as submissions times faults: they come out of the layout as they are."""
+    subs, truth = small
+    third = subs.where("step = 1").withColumn("step", F.lit(3))
+    laid = []
+    keep = review._laid_out
+    monkeypatch.setattr(review, "_laid_out", lambda *a: laid.append(keep(*a)) or laid[-1])
+    states = review.cell_status(third.unionByName(third), truth, third.select("episode_id", "step", "dataset", F.lit(True).alias("done")))
+    assert [(r.row_id, r.col) for r in laid[0].collect()] == [(2, "b")]
+    assert sorted((r.row_id, r.col, r.status) for r in states.collect() if r.status) == [(1, "a", "TP"), (2, "b", "MISS"), (9, "a", "FP")]
+
+
 def test_suite_average_counts_unplayed_suites_as_zero(spark):
     episodes = spark.createDataFrame([("e", "a", 0.8)], "episode_id string, dataset string, best_score double")
     suites = spark.createDataFrame([("a",), ("b",)], "dataset string")
