@@ -1,15 +1,16 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds more.
 
-The field tags the tokens of a chunk (text between white space) as secret begin, inside or outside, from the token's shape, the
-words around it and features of the whole text.  Only plain words are outside by definition: a chunk of at most ``PLAIN`` letters,
-none but the first A-Z, with marks of a sentence around it and no key word in it or in the ``NEAR`` chunks before.  That cuts the
-chain into short pieces, each decoded exactly by Viterbi.
-It is trained on what the patterns find in a bounded sample of documents, and on lines made by rule.
+The field tags every token of a text as secret begin, inside or outside, from the token's shape, the words around it and features of
+the whole text.  A whole text is one chain.  Bounds worked out for all its tokens at once prove most of them outside on every best path;
+the pieces between these are decoded by Viterbi, so the tags are those of a Viterbi over the whole text.
+It is trained on what the patterns find in a bounded sample of documents, near chunks that may hold a secret and in the plain words
+around them, and on lines made by rule.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import random
 import re
@@ -17,6 +18,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ KINDS = ["assign", "access", "hex", "crf"]
 
 OUT, BEGIN, IN = 0, 1, 2
 LEAST = 8
+AROUND = 6
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN, NEAR = 15, 3
 SPOKEN = re.compile(rf"(?<![^\x20\x09-\x0D])(?![\"'(]?[^\W\d_]?[^\W\d_A-Z]{{0,{PLAIN - 1}}}[.,;:!?)\"']{{0,2}}(?:[\x20\x09-\x0D]|\Z))[^\x20\x09-\x0D]+")
@@ -40,6 +43,9 @@ SPACE = re.compile(r"[\x20\x09-\x0D]")
 TOKEN = re.compile(r"[^\W_]+|(?![\x20\x09-\x0D])[\W_]")
 KEYS = {"password", "passwd", "secret", "token", "api", "apikey", "key", "pass", "pwd", "passphrase", "bearer", "auth", "credential"}
 
+MARKS = "=:\"'/+-_.@,;()<>&?#%"
+KINDS_OF_TOKENS = ["none", "key", *MARKS, "mark", "digits", "mixed", "short mixed", "upper", "capital", "lower"]
+
 Span = tuple[int, int, str]
 
 
@@ -60,7 +66,7 @@ def secret_values(text: str) -> list[tuple[int, int]]:
 
 
 def chunks_to_decode(text: str) -> list[tuple[int, int]]:
-    """Start and end of the chunks that may hold a secret, in order."""
+    """Start and end of the chunks that training looks at first, in order: all but plain words far from a key word."""
     found = [m.span() for m in SPOKEN.finditer(text)]
     more, done = [], 0
     for m in KEY.finditer(text):
@@ -79,7 +85,7 @@ def chunks_to_decode(text: str) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> Iterator[tuple[int, int]]:
-    """Neighbouring chunks that may hold secrets, joined: the pieces the chain is cut into."""
+    """Neighbouring chunks of these, joined."""
     held = None
     for start, end in chunks_to_decode(text):
         if held and not CHUNK.search(text, held[1], start):
@@ -97,7 +103,7 @@ def kind_of(token: str) -> str:
     if token.lower() in KEYS:
         return "key"
     if len(token) == 1 and not token.isalnum():
-        return token if token in "=:\"'/+-_.@,;()<>&?#%" else "mark"
+        return token if token in MARKS else "mark"
     if token.isdigit():
         return "digits"
     if any(c.isdigit() for c in token):
@@ -105,14 +111,20 @@ def kind_of(token: str) -> str:
     return "upper" if token.isupper() else "capital" if token[0].isupper() else "lower"
 
 
+def spread_of(token: str) -> int:
+    """Bits per character of a token by its own counts, whole ones, 5 at most."""
+    n = len(token)
+    counts = map(token.count, token) if n <= 64 else [k for k in Counter(token).values() for _ in range(k)]
+    return min(int(math.log2(n) - sum(map(math.log2, counts)) / n + 1e-9), 5)
+
+
 def own_features(token: str) -> list[str]:
     """Shape of a token."""
     collapsed = re.sub(r"(.)\1+", r"\1", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64]))
-    n, counts = len(token), Counter(token)
-    spread = -sum(k / n * math.log2(k / n) for k in counts.values())
+    n, spread = len(token), spread_of(token)
     digits = sum(c.isdigit() for c in token) / n
     made = [f"kind {kind_of(token)}", f"shape {collapsed[:4]}", f"turns {min(len(collapsed), 12) // 3}", f"length {min(n.bit_length(), 7)}", f"over 15 {n > 15}",
-            f"spread {min(int(spread), 5)}", f"digits {int(digits * 4)}"]
+            f"spread {spread}", f"digits {int(digits * 4)}"]
     if re.fullmatch(r"[0-9a-f]+", token) and n >= LEAST:
         made.append("hexadecimal")
     if re.fullmatch(r"[A-Z0-9]+", token) and n >= 12:
@@ -120,25 +132,17 @@ def own_features(token: str) -> list[str]:
     return made
 
 
-def tokens_around(text: str, start: int, end: int) -> tuple[list[re.Match], list[str], list[str]]:
-    """Tokens of a run, and the last two tokens before and the first after it."""
-    inside = list(TOKEN.finditer(text, start, end))
-    before = [t for t in TOKEN.findall(text[max(0, start - 64) : start]) if not t.isspace()][-2:]
-    after = [t for t in TOKEN.findall(text[end : end + 64]) if not t.isspace()][:1]
-    return inside, before, after
-
-
 def near_features(two: str, one: str, after: str) -> list[str]:
     return [f"before {one}", f"two before {two}", f"pair {two} {one}", f"after {after}"]
 
 
-def features_of(text: str, inside: list[re.Match], before: list[str], after: list[str], file: list[str]) -> list[list[str]]:
-    kinds = ["none"] * (2 - len(before)) + [kind_of(t) for t in before] + [kind_of(m[0]) for m in inside] + [kind_of(t) for t in after] + ["none"]
+def features_of(tokens: list[re.Match], start: int, end: int, file: list[str]) -> list[list[str]]:
+    """Features of the tokens from ``start`` to ``end`` of a text, given all its tokens."""
+    kinds = ["none" if not 0 <= i < len(tokens) else kind_of(tokens[i][0]) for i in range(start - 2, end + 1)]
     made = []
-    for i, m in enumerate(inside):
-        near = near_features(kinds[i], kinds[i + 1], kinds[i + 3])
-        glued = m.start() > 0 and not SPACE.match(text, m.start() - 1)
-        made.append(["always", f"glued {glued}", *own_features(m[0]), *near, *file])
+    for i, at in enumerate(range(start, end)):
+        glued = at > 0 and tokens[at - 1].end() == tokens[at].start()
+        made.append(["always", f"glued {glued}", *own_features(tokens[at][0]), *near_features(kinds[i], kinds[i + 1], kinds[i + 3]), *file])
     return made
 
 
@@ -147,22 +151,25 @@ def file_features(text: str, found: list[Span]) -> list[str]:
 
 
 def labelled_runs(text: str, most: int | None = None, tokens: int | None = None) -> Iterator[tuple[list[list[str]], list[int]]]:
-    """Features and tags of the runs of a text, tagged by what the patterns find: of ``most`` runs, and ``tokens`` tokens of each."""
+    """Features and tags of the runs of a text with the plain words around them, tagged by what the patterns find: of ``most`` runs,
+    and ``tokens`` tokens of each.  A text without runs gives its first tokens."""
     values, file = sorted(secret_values(text)), file_features(text, base_spans(text))
-    starts = [v[0] for v in values]
-    for n, (start, end) in enumerate(runs(text)):
-        if n == most:
-            return
-        inside, before, after = tokens_around(text, start, end)
-        if tokens is not None and len(inside) > tokens:
-            inside, after = inside[:tokens], [inside[tokens][0]]
+    starts, inside = [v[0] for v in values], list(TOKEN.finditer(text))
+    places = [m.start() for m in inside]
+    found = list(itertools.islice(runs(text), most)) or [(0, 0)]
+    for start, end in found:
+        first, stop = bisect.bisect_left(places, start), bisect.bisect_left(places, end)
+        stop = stop if tokens is None else min(stop, first + tokens)
+        first, stop = max(first - AROUND, 0), min(stop + AROUND, len(inside))
         tags, last = [], None
-        for m in inside:
+        for m in inside[first:stop]:
             at = bisect.bisect_right(starts, m.start()) - 1
             hit = at >= 0 and m.end() <= values[at][1]
             tags.append(OUT if not hit else IN if last == at else BEGIN)
             last = at if hit else None
-        yield features_of(text, inside, before, after, file), tags
+        if tags and tags[0] == IN:
+            tags[0] = BEGIN
+        yield features_of(inside, first, stop, file), tags
 
 
 def made_lines(n: int = 700, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -210,12 +217,10 @@ def made_lines(n: int = 700, seed: int = 7) -> list[tuple[str, list[tuple[int, i
 
 def _made_runs() -> Iterator[tuple[list[list[str]], list[int]]]:
     for text, places in made_lines():
-        file = file_features(text, base_spans(text))
-        for start, end in runs(text):
-            inside, before, after = tokens_around(text, start, end)
-            hits = [next((i for i, (a, b) in enumerate(places) if a <= m.start() and m.end() <= b), None) for m in inside]
-            tags = [OUT if h is None else IN if i and hits[i - 1] == h else BEGIN for i, h in enumerate(hits)]
-            yield features_of(text, inside, before, after, file), tags
+        inside = list(TOKEN.finditer(text))
+        hits = [next((i for i, (a, b) in enumerate(places) if a <= m.start() and m.end() <= b), None) for m in inside]
+        tags = [OUT if h is None else IN if i and hits[i - 1] == h else BEGIN for i, h in enumerate(hits)]
+        yield features_of(inside, 0, len(inside), file_features(text, base_spans(text))), tags
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2_000, runs_per_text: int = 20, most_runs: int = 3_000,
@@ -243,63 +248,117 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 def find_secrets(text: str, chain: crf.Chain, scorer: Scorer | None = None) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and those of the field that no base span covers."""
     base = base_spans(text)
-    pieces = list(runs(text))
-    if not pieces:
-        return base, base
     scorer = scorer or Scorer(chain)
-    file, added = chain.emission(file_features(text, base)).tolist(), []
-    for start, end in pieces:
-        inside, before, after = tokens_around(text, start, end)
-        tags = scorer.tags(text, inside, before, after, file)
-        held = None
-        for m, tag in [*zip(inside, tags), (None, OUT)]:
-            if held and tag != IN:
-                if not any(a <= held[0] and held[1] <= b for a, b, _ in base):
-                    added.append((held[0], held[1], "crf"))
-                held = None
-            if tag == BEGIN:
-                held = [m.start(), m.end()]
-            elif tag == IN and held:
-                held[1] = m.end()
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
+    added = [(start, end, "crf") for start, end in scorer.spans(text, file_features(text, base))
+             if not any(a <= start and end <= b for a, b, _ in base)]
+    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
+
+
+class _Rows(dict):
+    """Token to the row of its shape; tokens of one shape share a row.  Rows hold a kind and the scores of begin and inside less outside."""
+
+    def __init__(self, chain: crf.Chain):
+        super().__init__()
+        self._chain, self._row_of, self._grown = chain, {}, []
+        self.kinds, self.scores = np.zeros(0, np.int64), np.zeros((0, 2))
+
+    def __missing__(self, token: str) -> int:
+        n = len(token)
+        if n <= PLAIN and token.isascii() and token.isalpha() and token.islower() and token not in KEYS:
+            shape: tuple = (n.bit_length(), spread_of(token), n >= LEAST and not token.strip("abcdef"))  # all that differs among these
+        else:
+            shape = tuple(own_features(token))
+        row = self._row_of.get(shape)
+        if row is None:
+            row = self._row_of[shape] = len(self._row_of)
+            scores = self._chain.emission(["always", *own_features(token)])
+            self._grown.append((KINDS_OF_TOKENS.index(kind_of(token)), *(scores[1:] - scores[0])))
+        self[token] = row
+        return row
+
+    def settle(self) -> None:
+        if self._grown:
+            self.kinds = np.concatenate([self.kinds, [g[0] for g in self._grown]])
+            self.scores = np.concatenate([self.scores, np.array([g[1:] for g in self._grown])])
+            self._grown = []
 
 
 class Scorer:
-    """Decodes runs; the scores of a token's shape and of its neighbours' kinds are worked out once per task (bounded tables)."""
-
-    def __init__(self, chain: crf.Chain, most: int = 50_000):
-        self._chain, self._most, self._own, self._near = chain, most, {}, {}
-        self._move, self._first, self._last = chain.move.tolist(), chain.first.tolist(), chain.last.tolist()
-
-    def _token(self, token: str) -> tuple[str, list[float]]:
-        if token not in self._own:
-            if len(self._own) >= self._most:
-                self._own.clear()
-            self._own[token] = kind_of(token), self._chain.emission(["always", *own_features(token)]).tolist()
-        return self._own[token]
-
-    def _around(self, key: tuple) -> list[float]:
-        if key not in self._near:
-            if len(self._near) >= self._most:
-                self._near.clear()
-            two, one, after, glued = key
-            self._near[key] = self._chain.emission([f"glued {glued}", *near_features(two, one, after)]).tolist()
-        return self._near[key]
-
-    def tags(self, text: str, inside: list[re.Match], before: list[str], after: list[str], file: list[float]) -> list[int]:
+    """Decodes texts; scores of a token's shape are worked out once per task (tables of bounded size), those of its neighbours' kinds
+    stand in one table.  All scores are those of begin and inside less that of outside, which gives the same best path."""
+
+    def __init__(self, chain: crf.Chain, most: int = 200_000):
+        self._chain, self._most, self._rows = chain, most, _Rows(chain)
+        self._move = chain.move
+        gain = lambda name: chain.emission([name])[1:] - chain.emission([name])[0]
+        names = KINDS_OF_TOKENS + [""] * (32 - len(KINDS_OF_TOKENS))
+        one, two, after = (np.array([gain(f"{what} {n}") for n in names]) for what in ("before", "two before", "after"))
+        pair = np.array([[gain(f"pair {a} {b}") for b in names] for a in names]) + two[:, None] + one[None]
+        glued = np.array([gain("glued False"), gain("glued True")])
+        self._near = (pair[:, :, None, None] + after[None, None, :, None] + glued[None, None, None]).reshape(-1, 2)
+
+    def scores(self, text: str, file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of all tokens of a text, and their scores."""
+        found = TOKEN.findall(text)
+        if len(self._rows) > self._most:
+            self._rows = _Rows(self._chain)
+        rows = self._rows
+        own = np.fromiter(map(rows.__getitem__, found), np.int64, len(found))
+        rows.settle()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        filled = np.flatnonzero((codes != 32) & ((codes < 9) | (codes > 13)))  # the tokens hold all of these
+        last = np.cumsum(sizes)
+        starts = filled[last - sizes] if len(found) else last
+        ends = starts + sizes
+        kinds = np.zeros(len(found) + 3, np.int64)
+        kinds[2:-1] = rows.kinds[own]
+        glued = np.zeros(len(found), np.int64)
+        glued[1:] = starts[1:] == ends[:-1]
+        told = self._chain.emission(file)
+        near = ((kinds[:-3] * 32 + kinds[1:-2]) * 32 + kinds[3:]) * 2 + glued
+        return starts, ends, rows.scores[own] + self._near[near] + (told[1:] - told[0])
+
+    def open(self, scores: np.ndarray) -> np.ndarray:
+        """Tokens not proved to be outside on every best path.
+
+        How much better the best path up to a token is if it ends in begin or inside, and how much better the best path after it is
+        from there, are each bounded from above; where their sum is negative for both tags, outside wins.  What follows "inside"
+        obeys V(t) = max(c, k + score(t + 1) + V(t + 1)), a running maximum over sums.
+        """
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = self._move.tolist()
+        first, last = (x[1:] - x[0] for x in (self._chain.first, self._chain.last))
+        begin, inside = scores[:, 0], scores[:, 1]
+        run = np.cumsum(inside + (ii - oo))
+        stop = run + max(io - oo, ib - ob)
+        stop[-1] = run[-1] + last[1]
+        after_in = np.maximum.accumulate(stop[::-1])[::-1] - run
+        after_begin = np.full(len(scores), last[0])
+        after_begin[:-1] = np.maximum(bi - oo + inside[1:] + after_in[1:], max(bo - oo, bb - ob))
+        to_begin, to_in = begin + max(ob - oo, bb - bo, ib - io), inside + max(oi - oo, bi - bo, ii - io)
+        to_begin[0], to_in[0] = begin[0] + first[0], inside[0] + first[1]
+        return (to_begin + after_begin > -1e-6) | (to_in + after_in > -1e-6)
+
+    def tags(self, scores: np.ndarray) -> np.ndarray:
         """Viterbi over three tags; ties go to the smaller tag."""
-        if not inside:
-            return []
-        known = [self._token(m[0]) for m in inside]
-        kinds = ["none"] * (2 - len(before)) + [kind_of(t) for t in before] + [kind for kind, _ in known] + [kind_of(t) for t in after] + ["none"]
-        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = self._move
-        o, b, i = self._first
-        f, g, h = file
-        back, seen, start = [], self._around, inside[0].start()
-        end = start if start and not SPACE.match(text, start - 1) else -1
-        for at, (m, (_, own)) in enumerate(zip(inside, known)):
-            near = seen((kinds[at], kinds[at + 1], kinds[at + 3], m.start() == end))
-            end = m.end()
+        tags = np.zeros(len(scores), np.int64)
+        if len(scores) == 0:
+            return tags
+        at = np.flatnonzero(self.open(scores))
+        if len(at) == 0:
+            return tags
+        edges = np.flatnonzero(np.diff(at) > 1) + 1
+        for start, end in zip(at[np.concatenate([[0], edges])].tolist(), (at[np.concatenate([edges - 1, [len(at) - 1]])] + 1).tolist()):
+            begin = self._chain.first if start == 0 else self._move[OUT]
+            close = self._chain.last if end == len(scores) else self._move[:, OUT]
+            tags[start:end] = self._piece(scores[start:end].tolist(), begin.tolist(), close.tolist())
+        return tags
+
+    def _piece(self, scores: list[list[float]], begin: list[float], close: list[float]) -> list[int]:
+        (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = self._move.tolist()
+        o, b, i = begin
+        back = []
+        for at, (g, h) in enumerate(scores):
             if at:
                 to_o, to_b, to_i, s, t, u = o + oo, o + ob, o + oi, OUT, OUT, OUT
                 if b + bo > to_o:
@@ -316,15 +375,26 @@ class Scorer:
                     to_i, u = i + ii, IN
                 back.append((s, t, u))
                 o, b, i = to_o, to_b, to_i
-            o += own[0] + near[0] + f
-            b += own[1] + near[1] + g
-            i += own[2] + near[2] + h
-        last = o + self._last[OUT], b + self._last[BEGIN], i + self._last[IN]
+            b += g
+            i += h
+        last = o + close[OUT], b + close[BEGIN], i + close[IN]
         tags = [last.index(max(last))]
         for step in reversed(back):
             tags.append(step[tags[-1]])
         return tags[::-1]
 
+    def spans(self, text: str, file: list[str]) -> list[tuple[int, int]]:
+        """Start and end of the secrets in a text, in order."""
+        starts, ends, scores = self.scores(text, file)
+        tags = self.tags(scores)
+        found: list[list[int]] = []
+        for at in np.flatnonzero(tags).tolist():  # an inside follows a begin or an inside, as outside may not lead to it
+            if tags[at] == BEGIN or not found:
+                found.append([int(starts[at]), int(ends[at])])
+            else:
+                found[-1][1] = int(ends[at])
+        return [(a, b) for a, b in found]
+
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)

@@ -151,3 +151,40 @@ def test_hand_written_lines(chain):
     wrong = sum(len(s) for _, s in false)
     print(f"recall {right / expected:.2f}, precision {right / (found + wrong):.2f}", [f for f in false if f[1]])
     assert right / expected >= 0.8 and right / (found + wrong) >= 0.8
+
+
+def test_every_token_is_looked_at():
+    """A field that calls any word of eight letters and more a secret finds plain ones far from a key word, too."""
+    import numpy as np
+
+    emit = np.zeros((1, 3))
+    emit[0] = [-9, 9, 0]
+    move = np.zeros((3, 3))
+    move[0, 2] = crf.FORBIDDEN
+    chain = crf.Chain({"length 4": 0}, emit, move, np.array([3.0, 0, crf.FORBIDDEN]), np.zeros(3))
+    text = "The quick brown secretive fox, an elephant " + "and so on " * 500 + "until tomorrow."
+    assert [text[a:b] for a, b, _ in secrets.find_secrets(text, chain)[1]] == ["secretive", "elephant", "tomorrow"]
+
+
+def test_tags_equal_viterbi_over_the_whole_text(spark, chain):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    scorer, proved, seen = secrets.Scorer(chain), 0, 0
+    held = [t for t in texts()[::10] if len(t) < 3000] + [line for line, _ in secrets.made_lines(60, seed=5)]
+    held += [r["text"][:4000] for r in spark.read.parquet(f"{TABLES}/documents.parquet").limit(60).collect()]
+    for text in held:
+        tokens, file = list(secrets.TOKEN.finditer(text)), secrets.file_features(text, secrets.base_spans(text))
+        plain = np.array([chain.emission(x) for x in secrets.features_of(tokens, 0, len(tokens), file)]).reshape(-1, 3)
+        starts, ends, scores = scorer.scores(text, file)
+        assert [(m.start(), m.end()) for m in tokens] == list(zip(starts, ends))
+        assert np.allclose(scores, plain[:, 1:] - plain[:, :1])
+        assert scorer.tags(scores).tolist() == chain.viterbi(plain)
+        proved, seen = proved + int((~scorer.open(scores)).sum()) if len(scores) else proved, seen + len(scores)
+    assert proved > seen / 2
+    for _ in range(300):  # and fields of any kind
+        move, first = draw.normal(size=(3, 3)) * 3, draw.normal(size=3)
+        move[0, 2] = first[2] = crf.FORBIDDEN
+        odd = crf.Chain({}, np.zeros((0, 3)), move, first, draw.normal(size=3))
+        scores = draw.normal(size=(int(draw.integers(1, 40)), 2)) * 4 - draw.integers(0, 8)
+        assert secrets.Scorer(odd).tags(scores).tolist() == odd.viterbi(np.hstack([np.zeros((len(scores), 1)), scores]))
