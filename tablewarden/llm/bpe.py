@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import plan_bytes
 from .common import rows_of
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 SHARE_BYTES = 8 << 20  # of the documents as stored, for one share of the word table
 MOST_SHARES = 1 << 20  # as many tasks as a stage well has; with more data a share only holds more words
 
