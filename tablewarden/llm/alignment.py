@@ -75,7 +75,8 @@ def sentence_pieces(path: str):
     return lambda texts: model.encode(texts, num_threads=1), table
 
 
-Window = tuple[bytes, bytes]  # the ids of both sides, two bytes each
+Window = bytes  # the ids of side a, ``BETWEEN``, the ids of side b, two bytes each: one object, hashed once
+BETWEEN = 0xFFFF
 Aligned = tuple[str, int, np.ndarray]  # groups as text, their number, links as a << 16 | b
 
 
@@ -84,9 +85,14 @@ def align(windows: list[Window], a_sizes: np.ndarray, b_sizes: np.ndarray, names
     either side lies exactly one link, and where ends of both sides meet a group ends.  ``names`` are all ids followed by , | and ;."""
     if not windows:
         return []
-    a, b = (np.frombuffer(b"".join(side), "<u2").astype(np.int64) for side in zip(*windows))
+    line = np.frombuffer(b"".join(windows), "<u2").astype(np.int64)
+    between, stops = np.flatnonzero(line == BETWEEN), np.cumsum(np.fromiter(map(len, windows), np.int64, len(windows)) // 2)
+    in_a = np.repeat(np.tile([True, False], len(windows)), np.diff(np.column_stack([between, stops]).ravel(), prepend=0))
+    in_b = ~in_a
+    in_b[between] = False
+    a, b = line[in_a], line[in_b]
     a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
-    a_stops, b_stops = (np.cumsum([len(side) // 2 for side in sides]) for sides in zip(*windows))
+    a_stops, b_stops = np.cumsum(between - np.append(0, stops[:-1])), np.cumsum(stops - between - 1)
     ends = np.union1d(a_ends, b_ends)
     links = a[np.searchsorted(a_ends, ends)] << 16 | b[np.searchsorted(b_ends, ends)]
     line_ends = a_ends[a_stops - 1]
@@ -129,10 +135,14 @@ class Aligner:
             a_cuts, b_cuts = a_at[shared], met[shared]
             if not len(a_cuts) or a_cuts[0]:
                 a_cuts, b_cuts = np.append(0, a_cuts), np.append(0, b_cuts)
-            a_raw, b_raw = a.astype("<u2").tobytes(), b.astype("<u2").tobytes()
-            a_cuts, b_cuts = np.append(a_cuts, len(a)) * 2, np.append(b_cuts, len(b)) * 2
-            ac, bc = a_cuts.tolist(), b_cuts.tolist()
-            yield len(a), len(b), list(zip(map(a_raw.__getitem__, map(slice, ac, ac[1:])), map(b_raw.__getitem__, map(slice, bc, bc[1:]))))
+            a_cuts, b_cuts = np.append(a_cuts, len(a)), np.append(b_cuts, len(b))
+            number = np.arange(len(a_cuts) - 1)
+            line = np.full(len(a) + len(b) + len(number), BETWEEN, "<u2")
+            line[np.arange(len(a)) + np.repeat(b_cuts[:-1] + number, np.diff(a_cuts))] = a
+            line[np.arange(len(b)) + np.repeat(a_cuts[1:] + number + 1, np.diff(b_cuts))] = b
+            raw, cuts = line.tobytes(), ((a_cuts + b_cuts)[:-1] + number).tolist()
+            cuts = [2 * c for c in cuts] + [len(raw)]
+            yield len(a), len(b), list(map(raw.__getitem__, map(slice, cuts, cuts[1:])))
 
     def aligned(self, windows: list[Window]) -> list[Aligned]:
         fresh = [w for w in windows if w not in self.memo]
@@ -173,11 +183,13 @@ def align_block(aligner: Aligner, ids: list, texts: list[str]) -> list[tuple]:
         links.append(np.concatenate([m[2] for m in made]) if made else links[0])
         n_groups, n_links = np.concatenate(groups), np.concatenate(sizes)
         groups, sizes, times = [n_groups], [n_links], np.append(times, np.zeros(len(made)))
+        seen = [np.zeros(0, np.int64)]
         for n_a, n_b, own in found:
             digest = hashlib.sha256(";".join(map(told.__getitem__, own)).encode()).hexdigest() if own else ""
             own = np.array(own, np.int64)
-            np.add.at(times, own, 1)
+            seen.append(own)
             rows.append((key, ids[len(rows)], n_a, n_b, int(n_groups[own].sum()), int(n_links[own].sum()), digest, to_varint(own), None, None, None, None))
+        times += np.bincount(np.concatenate(seen), minlength=len(times))
     pairs, at = np.unique(np.concatenate(links), return_inverse=True)
     counts = np.bincount(at, np.repeat(times, sizes[0]), len(pairs)).astype(np.int64)
     rows.append((key, None, None, None, None, None, None, None, to_varint(sizes[0]), to_varint(at.astype(np.int64)), pairs, counts))

@@ -79,3 +79,14 @@ def test_the_rank_encoder_gives_the_ids_of_the_library_for_every_code_point():
     for at in range(0, len(texts), 50_000):
         part = texts[at : at + 50_000]
         assert [ids.tolist() for ids in encode(part)] == [e.ids for e in library.encode_batch_fast([" " + t for t in part], add_special_tokens=False)]
+
+
+def test_a_window_is_one_key_of_both_sides():
+    import numpy as np
+
+    aligner, texts = alignment.Aligner(A, B), ["one two  three", "é\n\tx 1234567 naïve", " ", "a"]
+    for text, (n_a, n_b, windows) in zip(texts, aligner.windows(texts)):
+        sides = [w.split(b"\xff\xff") for w in windows]  # no id holds these bytes
+        a, b = ([i for side in half for i in np.frombuffer(side, "<u2").tolist()] for half in zip(*sides))
+        assert (len(a), len(b)) == (n_a, n_b)
+        assert b"".join(aligner.a_table[i] for i in a) == b"".join(aligner.b_table[i] for i in b) == b" " + text.encode()
