@@ -62,3 +62,17 @@ def test_reports_drop_repeats_and_keep_errors(spark):
     assert parse.parse_reports(subs).count() == 1
     errors = [(r.kind, r.seq, r.reason) for r in parse.parse_errors(subs).orderBy("kind").collect()]
     assert errors == [("fix", 1, "Could not parse fix: '!!'"), ("issue", 2, "Could not parse issue: '??'")]
+
+
+def test_every_pattern_is_named_once_and_reads_as_the_plain_form(spark):
+    """Expressions over array elements are worked out wherever they are named."""
+    raw = ["row:1,col:A,issue:x", " Row = 2 ; Column = b ; Issue = Y ", "row:1,col:a,issue:X", None, "row:,col:a,issue:x", "row:99999999999999999999,col:a,issue:x", ""]
+    fix = ["row:1,col:A,fix: B ", "row:1,col:a,fix:", "row:1,col:a,fix:  ", None, "col:a,fix:b", "Row=3;Column=C;Fix = d;e"]
+    subs = spark.createDataFrame([("e", 1, "d", raw, fix), ("f", 1, "d", None, None), ("g", 1, "d", [], [])], "episode_id string, step int, dataset string, issues array<string>, fixes array<string>")
+    reports, fixes = parse.parse_reports(subs), parse.parse_fixes(subs)
+    for df, most in ((reports, 3), (fixes, 3)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= most
+    plain = subs.select(F.explode("issues").alias("x")).select(parse.parse_issue(F.col("x")).alias("r")).where("r IS NOT NULL").distinct().select("r.*")
+    assert sorted(map(tuple, reports.select("row_id", "col", "issue_type").collect())) == sorted(map(tuple, plain.collect()))
+    plain = subs.select(F.posexplode("fixes").alias("seq", "x")).select("seq", parse.parse_fix(F.col("x")).alias("r")).where("r IS NOT NULL").select("seq", "r.*")
+    assert sorted(map(tuple, fixes.select("seq", "row_id", "col", "proposed").collect())) == sorted(map(tuple, plain.collect()))
