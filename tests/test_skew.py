@@ -250,3 +250,18 @@ def test_texts_that_share_words_leave_few_rows_behind(spark, monkeypatch):
     got = similarity.near_duplicate_text(spark.createDataFrame(rows, "row_id long, text string"), "text", 0.65)
     assert {(r.row_id, r.expected) for r in got.collect()} == {(200 + i, str(i)) for i in range(20)}
     assert max(df.count() for df in stored) <= 8 * len(rows)
+
+
+def test_slices_follow_the_rows_and_not_only_the_stored_columns(spark):
+    """A table of equal values is stored as next to nothing; its rows still are not read by two tasks."""
+    rows = spark.range(300_000).select(F.lit("e").alias("k"), F.col("id").alias("t"), *[F.lit(1.0).alias(f"v{i}") for i in range(40)])
+    before, skew.SLICE_BYTES = skew.SLICE_BYTES, 8 << 20
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+    try:
+        carried = skew.carry(rows, "v0", "t", "t", ["k"], "max", "best")
+        assert carried.where("best = 1.0").count() == 300_000
+        assert skew.row_bytes(rows) * 300_000 > 10 * skew.SLICE_BYTES and len(carried.inputFiles()) > 10  # a stored slice is a file
+    finally:
+        skew.SLICE_BYTES = before
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
