@@ -265,3 +265,25 @@ def test_slices_follow_the_rows_and_not_only_the_stored_columns(spark):
     finally:
         skew.SLICE_BYTES = before
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rows_of_a_bucket_meet_without_a_list_of_pairs(spark):
+    """Against brute force over shared buckets, with zero vectors, nulls, no numbers, pairs at the threshold; and one bucket of all rows
+    hands on one pair a row."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    v = draw.normal(size=(160, 8)).astype(np.float32)
+    v[80:120] = v[:40] * 2 + draw.normal(size=(40, 8)).astype(np.float32) * np.float32(0.15)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(200, [0.0] * 8), (201, [0.0] * 7 + [None]), (202, [float("nan")] * 8)]
+    items = cut_lineage(spark.createDataFrame(rows, "id long, payload array<float>"))
+    want, cos = set(), lambda a, b: float(a @ b) / float(np.sqrt(a @ a) * np.sqrt(b @ b))
+    w = v.astype(np.float64)
+    for i in range(160):
+        if any(cos(w[i], w[j]) >= 0.9 for j in range(i)):
+            want.add(i)
+    one_bucket = F.udf(lambda x: [1], "array<long>")
+    got = {r["id"]: r["other"] for r in similarity.earlier_in_buckets(items, one_bucket, 0.9).collect()}
+    assert {i for i in got if i < 200} == want and 202 in got and 200 not in got and 201 not in got
+    assert all(j < i for i, j in got.items())
+    assert all(cos(w[i], w[j]) >= 0.9 - 1e-9 for i, j in got.items() if i < 200)
