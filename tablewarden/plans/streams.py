@@ -78,18 +78,22 @@ def stream_repeated_keys(spark, sf):
     return found.join(ids, "row_id").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("later_copies"))
 
 
-def _submission_stream(spark, sf, batches: int = 1) -> DataFrame:
-    """The submissions as files that arrive in order of step, one file for each of several batches."""
+def _submission_stream(spark, sf) -> DataFrame:
+    """The submissions as files that arrive at once."""
     path = fresh_path(spark, "submissions")
     made = submissions(spark, sf)
-    if batches == 1:
-        made.write.parquet(path)
-        return spark.readStream.schema(made.schema).parquet(path)
+    made.write.parquet(path)
+    return spark.readStream.schema(made.schema).parquet(path)
+
+
+def _arrivals(made: DataFrame, batches: int, follow) -> None:
+    """The submissions arrive in order of step, in several batches of any number of files; ``follow`` takes the stream of them on to the
+    end of what is there after each, so that a batch is one micro-batch and is written and read by many tasks."""
+    spark, path = made.sparkSession, fresh_path(made.sparkSession, "submissions")
     last = made.agg(F.max("step")).first()[0] or 1
     for i in range(batches):
-        part = made.where(F.col("step").between(last * i // batches + 1, last * (i + 1) // batches))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        made.where(F.col("step").between(last * i // batches + 1, last * (i + 1) // batches)).write.mode("append").parquet(path)
+        follow(spark.readStream.schema(made.schema).parquet(path))
 
 
 @query("stream_episode_best", f"""
@@ -113,8 +117,8 @@ def stream_batch_scores(spark, sf):
     """Full scores, fixes included, over several micro-batches; the best score of an episode is carried from batch to batch."""
     truth, path = truth_of(spark, sf), fresh_path(spark, "scores")
     write = score_batches(truth, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), decimals=None)
-    stream = _submission_stream(spark, sf, batches=3).writeStream.foreachBatch(write).option("checkpointLocation", path + "-state")
-    stream.trigger(availableNow=True).start().awaitTermination()
+    _arrivals(submissions(spark, sf), 3, lambda stream: stream.writeStream.foreachBatch(write).option(
+        "checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination())
     rounded = [F.round(c, 6).alias(c) for c in ("combined_reward", "best_score", "reward")]
     return spark.read.parquet(path).select("episode_id", "step", *rounded, "done")
 

@@ -123,3 +123,19 @@ def test_repeated_and_null_steps_score_alike(rocks, tmp_path, truth):
     values = lambda out: sorted((r.episode_id, str(r.step), round(r.score, 9)) for r in out)
     taken = lambda out: sorted((r.episode_id, r.steps_taken) for r in out)
     assert values(joined) == values(folded) and taken(joined) == taken(folded) and len(joined) == len(rows)
+
+
+def test_a_batch_arrives_in_many_files_and_in_order_of_step(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tablewarden.plans import streams
+
+    made, seen = spark.range(1, 91, 1, 4).select(F.col("id").cast("int").alias("step")), []
+
+    def take(df, n):
+        seen.append((n, *df.agg(F.min("step"), F.max("step"), F.count(F.lit(1))).first(), df.select(F.input_file_name()).distinct().count()))
+
+    streams._arrivals(made, 3, lambda stream: stream.writeStream.foreachBatch(take).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+    assert [s[:4] for s in seen] == [(0, 1, 30, 30), (1, 31, 60, 30), (2, 61, 90, 30)]
+    assert all(s[4] >= 2 for s in seen[:1])
