@@ -53,6 +53,16 @@ def gram_counts(text: str, buckets: int) -> np.ndarray:
     return found
 
 
+def used_grams(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a folded text, ascending, and how often each occurs; a text of few grams does not touch the others."""
+    if len(text) > buckets // 4:
+        found = gram_counts(text, buckets)
+        used = np.flatnonzero(found)
+        return used, found[used]
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(((c[:-2] * MIX + c[1:-1]) * MIX + c[2:]) % buckets, return_counts=True)
+
+
 def language_counts(
     df: DataFrame, text: str, label: str, langs: list[str], fold: str = PROSE, buckets: int = BUCKETS
 ) -> DataFrame:
@@ -71,7 +81,8 @@ def language_counts(
             for lang, body in zip(batch["lang"], batch["text"]):
                 if lang not in sums:
                     sums[lang] = np.zeros(buckets, np.int64)
-                sums[lang] += gram_counts(body, buckets)
+                used, n = used_grams(body, buckets)
+                sums[lang][used] += n
         for lang, n in sums.items():
             used = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": used.astype(np.int32), "n": n[used]})
@@ -121,12 +132,10 @@ def with_language_scores(
         weights = _millionths((table + 1.0) / (totals[:, None] + float(buckets)))
         rows = []
         for body, label in zip(texts, labels):
-            n = gram_counts(body, buckets)
-            used = np.flatnonzero(n)
+            used, n = used_grams(body, buckets)
             if not len(used):
                 rows.append((None, None, None, 0))
                 continue
-            n = n[used]
             scores = weights[:, used] @ n
             own = place.get(label)
             if own is not None:

@@ -127,3 +127,14 @@ def test_wrong_labels_are_found(spark):
     model = language.fit_language_model(docs, "text", "lang", ["en", "fr"])
     judged = language.with_model_language(docs, "text", model, counted_as="lang")
     assert [r.row_id for r in judged.where("guessed_lang <> lang").collect()] == [0]
+
+
+def test_few_grams_are_counted_as_many_are():
+    import numpy as np
+
+    from tablewarden.operators import language
+
+    for text in ["", " ", " a", " a ", " def f(x): return x ", " ünïcode 𝒳 " * 9, " aaaa " * 400, " some words " * 5000]:
+        dense = language.gram_counts(text, 1 << 14)
+        used, n = language.used_grams(text, 1 << 14)
+        assert used.tolist() == np.flatnonzero(dense).tolist() and n.tolist() == dense[dense > 0].tolist()
