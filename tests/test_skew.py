@@ -287,3 +287,34 @@ def test_rows_of_a_bucket_meet_without_a_list_of_pairs(spark):
     assert {i for i in got if i < 200} == want and 202 in got and 200 not in got and 201 not in got
     assert all(j < i for i, j in got.items())
     assert all(cos(w[i], w[j]) >= 0.9 - 1e-9 for i, j in got.items() if i < 200)
+
+
+def test_long_texts_that_share_words_are_told_apart_before_their_words_travel(spark, monkeypatch):
+    """512 parity bits say nothing about sets of a thousand words; bits in step with the size leave hardly a pair but the true ones."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, rng.sample(vocabulary, 1500)) for i in range(150)]
+    rows += [(200 + i, rows[i][1][:1450] + ["more"]) for i in range(10)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    stored = []
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df: stored.append(cut_lineage(df)) or stored[-1])
+    got = similarity.near_duplicate_lsh(spark.createDataFrame(rows, "row_id long, text string"), "text", 0.65)
+    assert {(r.row_id, r.expected) for r in got.collect()} == {(200 + i, str(i)) for i in range(10)}
+    sets = [df for df in stored if "payload" in df.columns and "key" not in df.columns]
+    assert len(sets) > 1 and sum(df.count() for df in sets[1:]) <= 40  # beside the items themselves: sets fetched to be compared
+
+
+def test_rows_of_blocks_meet_with_their_marks(no_broadcast):
+    """Every pair of a block that the marks do not rule out is looked at, also in a grid of tasks and beside the leader."""
+    spark = no_broadcast
+    items = cut_lineage(spark.createDataFrame([(i, [i % 5, i % 2]) for i in range(60)], "id long, payload array<int>"))
+    blocks = cut_lineage(spark.createDataFrame([(i, i % 3) for i in range(60)] + [(i, 7) for i in range(60)], "id long, block int"))
+    marks = cut_lineage(items.select("id", F.col("payload")[0].alias("m")))
+    before, similarity.CHUNK = similarity.CHUNK, 7
+    try:
+        found = similarity.earlier_match(items, blocks, lambda a, b: a == b, marks=marks, close=lambda pairs: pairs.where("l.m = r.m"))
+        got = {r["id"]: r["other"] for r in found.collect()}
+    finally:
+        similarity.CHUNK = before
+    assert set(got) == set(range(10, 60))
+    assert all(j < i and (i - j) % 10 == 0 for i, j in got.items())
