@@ -59,3 +59,21 @@ def test_hyperplane_form_finds_nine_in_ten(spark):
     exact = {r.row_id for r in metric.parallel_vector(df, "e", 16, 0.95).collect()}
     some = {r.row_id for r in similarity.semantic_duplicate(df, "e", 16, 0.95).collect()}
     assert some <= exact and len(some) >= 0.9 * len(exact)
+
+
+def test_a_vector_travels_a_few_times_and_not_once_a_cell(spark, monkeypatch):
+    """Vectors that point anywhere visit all cells; what the tasks get still follows the table and not table times cells."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(3000, 32)).astype(np.float32))]
+    rows += [(5000 + i, [2 * x + 0.01 for x in rows[i][1]]) for i in range(30)]
+    stored, cut = [], metric.cut_lineage
+    monkeypatch.setattr(metric, "cut_lineage", lambda df: stored.append(cut(df)) or stored[-1])
+    got = {r.row_id: int(r.expected) for r in metric.parallel_vector(spark.createDataFrame(rows, SCHEMA).repartition(4), "e", 32, 0.95).collect()}
+    assert got == {5000 + i: i for i in range(30)}
+    routed = next(df for df in stored if "units" in df.columns)
+    assert {f.name: f.dataType.simpleString() for f in routed.schema}["payload"] == "array<float>"
+    assert routed.selectExpr("sum(size(units)) AS n").first()["n"] <= metric.PIECES * len(rows)
+
+
+def test_cells_make_units_of_a_side():
+    assert metric._units(np.array([3, 4, 0, 5, 20, 1, 1]), 8).tolist() == [0, 0, 0, 1, 2, 3, 3]
