@@ -1,10 +1,11 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Documents are taken in blocks.  A pass over the texts gives every block's distinct words under short codes, in order of first
-appearance; a second pass over the same blocks gives every document as a sequence of these codes.  The words of all blocks are
-brought together by a hash of the word, packed: one row holds the words of a block that belong to one share of the word table.
-Where a share is, each distinct word is encoded once, and the ids go back to the blocks, where the sequences turn into ids by
-position.  So the text itself is never shuffled, and a word is sent once per block however often it occurs.
+appearance; a second pass over the same blocks gives its documents as sequences of these codes, and the share of each code.  The words
+of all blocks are brought together by a hash of the word, packed: one row holds the words of a block that belong to one share of the
+word table, in the order of their codes.  Where a share is, each distinct word is encoded once, and the ids go back to the blocks, where
+the sequences turn into ids by position.  So the text itself is never shuffled, a word is sent once per block however often it occurs,
+and its code, which the share tells, not with it.
 
 A word here is a run between ASCII white space.  The tokenizers this serves drop white space before they split, and none of
 their tokens spans it, so the ids of a text are those of its words in order.
@@ -56,6 +57,27 @@ def from_varint(data: bytes) -> np.ndarray:
     return out
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as many bytes each as the largest needs, compressed; the first byte tells how many."""
+    import zstandard
+
+    width = next(w for w in (1, 2, 4) if numbers.max(initial=0) < 1 << 8 * w)
+    planes = numbers.astype(f"<u{width}").view(np.uint8)
+    if width == 4:  # its high bytes hardly ever change
+        planes = np.ascontiguousarray(planes.reshape(-1, 4).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    width = data[0]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    if width == 4:
+        raw = np.ascontiguousarray(raw.reshape(4, -1).T).reshape(-1)
+    return raw.view(f"<u{width}").astype(np.int64)
+
+
 def _blocks(frames: Iterator[pd.DataFrame], most_chars: int) -> Iterator[tuple[int, list, list[str]]]:
     """Documents in blocks of about ``most_chars``: key, ids, texts.  The key is a hash of the block's texts."""
     ids: list = []
@@ -106,22 +128,28 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     wanted = math.ceil(size / SHARE_BYTES) if size < 1 << 60 else 0  # so large only where Spark has no estimate
     shares = min(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), MOST_SHARES)
 
+    def share_of(table: list[bytes]) -> np.ndarray:
+        return (np.fromiter(map(xxhash.xxh64_intdigest, table), np.uint64, len(table)) % np.uint64(shares)).astype(np.int64)
+
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for key, _, texts in _blocks(frames, block_chars):
             table = list(_coded(texts)[0])
-            share = np.fromiter(map(xxhash.xxh64_intdigest, table), np.uint64, len(table)) % np.uint64(shares)
+            share = share_of(table)
             order = np.argsort(share, kind="stable")
             found, starts = np.unique(share[order], return_index=True)
-            rows = [(key, int(own), to_varint(np.diff(codes, prepend=0)), pack.compress(b"\n".join([table[i] for i in codes])))
+            rows = [(key, int(own), pack.compress(b"\n".join([table[i] for i in codes])))
                     for own, codes in zip(found, np.split(order, starts[1:])) if len(codes)]
-            yield pd.DataFrame(rows, columns=["block", "share", "codes", "words"])
+            yield pd.DataFrame(rows, columns=["block", "share", "words"])
 
     def sequences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, ids, texts in _blocks(frames, block_chars):
-            yield pd.DataFrame({"block": key, "doc_id": pd.array(ids, dtype="Int64"), "codes": [to_varint(c) for c in _coded(texts)[1]]})
+            table, codes = _coded(texts)
+            own = pd.array(ids, dtype="Int64")
+            yield pd.DataFrame({"block": [key], "doc_ids": [own.to_numpy(np.int64, na_value=0).tobytes()], "missing": [own.isna().tobytes()],
+                                "sizes": [_packed(np.array([len(c) for c in codes]))], "codes": [_packed(np.concatenate(codes))], "shares": [_packed(share_of(list(table)))]})
 
     def encode_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -131,7 +159,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         now, known = None, {}
         for frame in frames:  # sorted by share, and one share of the word table is held at a time
             rows = []
-            for block, share, codes, packed in zip(frame["block"], frame["share"], frame["codes"], frame["words"]):
+            for block, share, packed in zip(frame["block"], frame["share"], frame["words"]):
                 if share != now:
                     now, known = share, {}
                 table = unpack.decompress(packed).split(b"\n")
@@ -142,32 +170,40 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in made)))
                 ids = [known[w] for w in table]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                rows.append((block, codes, to_varint(counts), to_varint(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))))
-            yield pd.DataFrame(rows, columns=["block", "codes", "counts", "ids"])
+                rows.append((block, share, _packed(counts), _packed(np.frombuffer(b"".join(ids), "<u4").astype(np.int64))))
+            yield pd.DataFrame(rows, columns=["block", "share", "counts", "ids"])
 
     def place(parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        codes = [np.cumsum(from_varint(c)) for c in known["codes"]]
-        counts = [from_varint(c) for c in known["counts"]]
-        flat_ids = np.concatenate([np.zeros(0, np.int64), *(from_varint(i) for i in known["ids"])]).astype(np.int32)
-        codes, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (codes, counts))
-        sizes, starts = np.full(codes.max(initial=-1) + 1, -1), np.zeros(codes.max(initial=-1) + 1, np.int64)
-        sizes[codes], starts[codes] = counts, np.cumsum(counts) - counts
-        if parts.empty or (sizes < 0).any():
-            raise RuntimeError("a block was read differently the second time")
+        known = known.drop_duplicates("share")  # blocks of equal texts are one block
+        counts = [_unpacked(c) for c in known["counts"]]
+        flat_ids = np.concatenate([np.zeros(0, np.int64), *(_unpacked(i) for i in known["ids"])]).astype(np.int32)
         made = []
-        for data in parts["codes"]:
-            own = from_varint(data)
-            if len(own) and own.max() >= len(sizes):
+        for ids, missing, lengths, codes, own in zip(parts["doc_ids"], parts["missing"], parts["sizes"], parts["codes"], parts["shares"]):
+            shared = _unpacked(own)
+            sizes, starts, begin = np.full(len(shared), -1), np.zeros(len(shared), np.int64), 0
+            for share, n in zip(known["share"], counts):
+                there = np.flatnonzero(shared == share)
+                if len(there) != len(n):
+                    raise RuntimeError("a block was read differently the second time")
+                sizes[there], starts[there] = n, begin + np.cumsum(n) - n
+                begin += int(n.sum())
+            if (sizes < 0).any():
                 raise RuntimeError("a block was read differently the second time")
-            n = sizes[own]
-            ends = np.cumsum(n)
-            made.append(flat_ids[np.repeat(starts[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-        made = pd.DataFrame({"doc_id": parts["doc_id"].astype("Int64"), "ids": made})
+            found = []
+            for some in np.split(_unpacked(codes), np.cumsum(_unpacked(lengths))[:-1]):
+                n = sizes[some]
+                ends = np.cumsum(n)
+                found.append(flat_ids[np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+            own_ids = pd.Series(np.frombuffer(ids, np.int64)).astype("Int64").mask(np.frombuffer(missing, bool))
+            made.append(pd.DataFrame({"doc_id": own_ids, "ids": found}))
+        if not made:
+            raise RuntimeError("a block was read differently the second time")
+        made = pd.concat(made, ignore_index=True)
         return made.assign(decoded=[text_of(ids, pieces(tokenizer_path)) for ids in made["ids"]]) if with_text else made
 
-    table = flat.mapInPandas(words, "block bigint, share bigint, codes binary, words binary").repartition(shares, "share").sortWithinPartitions("share")
-    back = table.mapInPandas(encode_words, "block bigint, codes binary, counts binary, ids binary")
-    coded = flat.mapInPandas(sequences, "block bigint, doc_id bigint, codes binary").repartition(shares, "block")
+    table = flat.mapInPandas(words, "block bigint, share bigint, words binary").repartition(shares, "share").sortWithinPartitions("share")
+    back = table.mapInPandas(encode_words, "block bigint, share bigint, counts binary, ids binary")
+    coded = flat.mapInPandas(sequences, "block bigint, doc_ids binary, missing binary, sizes binary, codes binary, shares binary").repartition(shares, "block")
     return coded.groupBy("block").cogroup(back.repartition(shares, "block").groupBy("block")).applyInPandas(place, "doc_id bigint, ids array<int>" + (", decoded string" if with_text else ""))
 
 

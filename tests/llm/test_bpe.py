@@ -45,3 +45,21 @@ def test_codes_come_back():
     codes = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 5], np.int64)
     assert (bpe.from_varint(bpe.to_varint(codes)) == codes).all()
     assert len(bpe.from_varint(b"")) == 0
+
+
+@pytest.mark.parametrize("most", [0, 200, 255, 256, 65_535, 65_536, 2**31])
+def test_numbers_come_back_in_less_than_their_bytes(most):
+    numbers = np.random.default_rng(2).integers(0, most + 1, size=5000)
+    numbers[7] = most
+    data = bpe._packed(numbers)
+    assert (bpe._unpacked(data) == numbers).all()
+    assert len(data) < 1.1 * len(numbers) * next(w for w in (1, 2, 4) if most < 1 << 8 * w)
+    assert len(bpe._unpacked(bpe._packed(np.zeros(0, np.int64)))) == 0
+
+
+def test_a_block_is_sent_in_fewer_bytes_than_its_codes_one_by_one(spark):
+    """Sequences of real documents, as one packed row and as the varints that went before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(300).collect()
+    table, codes = bpe._coded([r.text or "" for r in docs])
+    assert len(table) < 1 << 16 and (bpe._unpacked(bpe._packed(np.concatenate(codes))) == np.concatenate(codes)).all()
+    assert len(bpe._packed(np.concatenate(codes))) < 0.85 * sum(len(bpe.to_varint(c)) for c in codes)
