@@ -210,6 +210,38 @@ def test_missed_cells_are_not_grouped_again(spark, small, monkeypatch):
     assert sorted((r.row_id, r.col, r.status) for r in states.collect() if r.status) == [(1, "a", "TP"), (2, "b", "MISS"), (9, "a", "FP")]
 
 
+def odd_submissions(spark):
+    """Truth and submissions with repeats, and with rows, episodes, steps and datasets without a name."""
+    draw = random.Random(5)
+    truth = [(d, i, c, "missing_value", None if i == 7 else f"{c} of {(i or 0) % 5}", draw.choice([1.0, 2.5, 3.0]), "x", n) for n, (d, i, c) in enumerate((d, i, c) for d in "pq" for i in [*range(12), None] for c in "ab")]
+    subs = []
+    for e in ["e1", "e2", "e3", None]:
+        for step in [1, 2, 2, None]:
+            d = draw.choice(["p", "q", "r", None])
+            named = [f"row:{i},col:{c},issue:{draw.choice(['missing_value', 'wrong_type'])}" for i in draw.sample(range(14), draw.choice([0, 3, 12])) for c in "ab"]
+            subs += [(e, step, d, named, [f"row:{draw.randrange(12)},col:a,fix:y"])] * draw.choice([1, 2])
+    return spark.createDataFrame(subs, SUBMISSIONS), spark.createDataFrame(truth, TRUTH)
+
+
+@pytest.fixture(params=["10485760", "-1"])
+def limited(spark, request):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield spark
+    spark.conf.set(key, before)
+
+
+def test_counted_cells_equal_the_cells_laid_out(limited, monkeypatch):
+    """Counted states need no row per submission and planted cell."""
+    subs, truth = odd_submissions(limited)
+    ended = subs.select("episode_id", "step", "dataset", (F.col("step") > 1).alias("done"))
+    want = review.cell_status(subs, truth, ended).groupBy("episode_id", "status").agg(F.count(F.lit(1))).collect()
+    monkeypatch.setattr(review, "_laid_out", lambda *a: pytest.fail("laid out"))
+    got = review.cell_status(subs, truth, ended, per="episode_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and any(r.status == "MISS" for r in got)
+
+
 def test_suite_average_counts_unplayed_suites_as_zero(spark):
     episodes = spark.createDataFrame([("e", "a", 0.8)], "episode_id string, dataset string, best_score double")
     suites = spark.createDataFrame([("a",), ("b",)], "dataset string")
