@@ -242,6 +242,26 @@ def test_counted_cells_equal_the_cells_laid_out(limited, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and any(r.status == "MISS" for r in got)
 
 
+def test_feedback_lists_the_flags_without_laying_them_out(limited, monkeypatch):
+    """Lines of missed faults come from one list per dataset; no row per submission and fault is made."""
+    subs, truth = odd_submissions(limited)
+    kinds, lines = ["possible_unplanted_issue", "partial_fix", "missed_hard_issue"], {}
+    for r in review.review_flags(subs, truth).collect():
+        line = None if r.reason is None else f"  [{r.type}] {r.item}: {r.reason}"
+        lines.setdefault((r.episode_id, r.step, r.dataset), []).append((kinds.index(r.type), line))
+    monkeypatch.setattr(review, "_laid_out", lambda *a: pytest.fail("laid out"))
+    told = 0
+    for r in review.step_feedback(subs, truth, score.score_steps(subs, truth)).collect():
+        at = (r.episode_id, r.step, r.dataset)
+        some = lines.get(at, []) if None not in at else []
+        _, mark, tail = r.feedback.partition("\n== for a reviewer: ")
+        assert bool(mark) == bool(some)
+        if some:
+            told += 1
+            assert tail == f"{len(some)} ==\n" + "\n".join(line for _, line in sorted(x for x in some if x[1] is not None))
+    assert told > 3
+
+
 def test_suite_average_counts_unplayed_suites_as_zero(spark):
     episodes = spark.createDataFrame([("e", "a", 0.8)], "episode_id string, dataset string, best_score double")
     suites = spark.createDataFrame([("a",), ("b",)], "dataset string")
