@@ -1,6 +1,7 @@
 """The plans for tables too large to broadcast give the same rows as the plain ones."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,3 +319,17 @@ def test_rows_of_blocks_meet_with_their_marks(no_broadcast):
         similarity.CHUNK = before
     assert set(got) == set(range(10, 60))
     assert all(j < i and (i - j) % 10 == 0 for i, j in got.items())
+
+
+def test_shuffles_of_a_stage_are_deleted_with_its_write(spark):
+    frame = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k")
+    left = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = left()
+    stored = cut_lineage(frame.groupBy("k").count())
+    for _ in range(50):
+        more = [f for f in left() - before if "shuffle_" in f]
+        if not more:
+            break
+        time.sleep(0.1)
+    assert not more and stored.count() == 7
+    assert frame.groupBy("k").count().count() == 7  # plans of before are worked out anew
