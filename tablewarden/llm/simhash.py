@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stages_pass
 from .common import batches_by_size, cut_lineage, join_small, rows_of, tasks_for
 from .components import components
 
@@ -45,13 +46,19 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long).  Null text counts as empty."""
+    """``doc_id``, ``own`` (hash of the text), ``fp`` (the 64 bits as a signed long).  Null text counts as empty."""
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches_by_size(frames, "text", 32_000_000):
             made = np.array([fingerprint(t, width) for t in frame["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": made})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "own": frame["own"], "fp": made})
 
-    return rows_of(docs, doc_id=F.col(id_col).cast("bigint"), text=text_col).mapInPandas(work, "doc_id bigint, fp bigint")
+    flat = rows_of(docs, doc_id=F.col(id_col).cast("bigint"), own=_own(text_col), text=text_col)
+    return flat.mapInPandas(work, "doc_id bigint, own bigint, fp bigint")
+
+
+def _own(text_col: str) -> Column:
+    """Tells rows that share an id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 # --- the plan: parts and thresholds ----------------------------------------------------------------------------------
@@ -264,6 +271,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, id_col:
     other.  Rows without id are fingerprinted and linked, but give no component its id; where no row has one it is null.  Repeated
     rows are kept.  An empty table gives no rows.
     """
+    found = _grouped(docs, distance, width, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, distance: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``own``, ``fp``, ``component_id`` of every row."""
     all_prints = cut_lineage(fingerprints(docs, id_col, text_col, width))
     prints = cut_lineage(all_prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     parts = plan(prints, distance)
@@ -272,13 +285,22 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, id_col:
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
-    return all_prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return all_prints.join(named, "fp").select("doc_id", "own", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, distance: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``own`` (hash of the text; stored) of the rows with the smallest id of each component."""
+    with stages_pass() as made:
+        found = _grouped(docs, distance, width, id_col, text_col)
+        first = cut_lineage(found.where("doc_id = component_id").select("doc_id", "own").distinct())
+        made.remove(first)
+    return first
 
 
 def keep_one(docs: DataFrame, distance: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id (once, if its row is repeated).  Rows without an id
-    cannot be told apart and all stay."""
-    found = near_duplicates(docs, distance, width, id_col, text_col)
-    first = found.where("doc_id = component_id").select(F.col("component_id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each component, that with the smallest id (once, if its row is repeated; rows that share an id but
+    not the text are told apart).  Rows without an id cannot be told apart and all stay."""
+    first = first_of_groups(docs, distance, width, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"))
+    marked = docs.withColumns({"__id": F.col(id_col).cast("bigint"), "__own": _own(text_col)})
+    kept = join_small(marked, first, ["__id", "__own"], "left_semi").dropDuplicates(["__id", "__own"])
+    return kept.unionByName(marked.where("__id IS NULL")).drop("__id", "__own")

@@ -51,3 +51,12 @@ def test_the_stage_leaves_no_near_copy(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "/root/testdata/sf0.001").select("doc_id", "text")
     assert sorted(map(tuple, kept.collect())) == plain_kept(rows)
+
+
+def test_the_stage_drops_what_op1_groups_as_well(spark):
+    """Fingerprints count repeats, sets do not: such texts are one group of ``op1`` and no near copies by their sets."""
+    many = "a b c " * 60
+    rows = [(2, many + "one two three four five six"), (3, many + "seven eight nine ten eleven twelve"), (4, "quite another text of some words"), (1, None)]
+    assert [i for i, _ in plain_kept(rows)] == [1, 2, 3, 4]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [1, 2, 4]

@@ -108,3 +108,9 @@ def test_one_of_each_group_stays(spark):
 
 def test_an_empty_table_gives_no_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "a b c d e"), (1, "quite another text here"), (2, "quite another text here"), (2, "and a third one of words")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e"), (1, "quite another text here"), (2, "and a third one of words")]
