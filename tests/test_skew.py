@@ -321,6 +321,30 @@ def test_rows_of_blocks_meet_with_their_marks(no_broadcast):
     assert all(j < i and (i - j) % 10 == 0 for i, j in got.items())
 
 
+@pytest.mark.parametrize("grid", [1, 3])
+def test_a_grid_meets_every_pair_once_and_rows_travel_in_step_with_it(spark, monkeypatch, grid):
+    """Against all pairs, with and without clusters; however many rows a size class has, a row goes to few chunks."""
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "CHUNK", 10)
+    monkeypatch.setattr(similarity, "GRID", grid)
+    draw, rows = random.Random(8), []
+    for i in range(240):
+        own = draw.sample(range(5000), draw.choice([1, 3, 8, 40, 60, 90])) if i % 3 else [x + (draw.random() < 0.1) for x in draw.choice(rows)[1]] if rows else [1, 2]
+        rows.append((i, sorted({x * 7919 % 2**40 for x in own}) if i % 3 else sorted(set(own))))
+    items = cut_lineage(spark.createDataFrame(rows, "id long, payload array<long>"))
+    marks = similarity.set_marks(items).drop("leads").withColumn("cluster", F.col("id") % 4)
+    signed = {i: (len(s), similarity._signed(np.array(s, np.int64).view(np.uint64))) for i, s in rows}
+    close = lambda i, j: min(signed[i][0], signed[j][0]) >= 0.65 * max(signed[i][0], signed[j][0]) and similarity._apart(signed[i][1], signed[j][1]) <= similarity._most_apart(signed[i][0], signed[j][0], 0.65)
+    want = {(i, j): similarity._apart(signed[i][1], signed[j][1]) for i in range(240) for j in range(i) if close(i, j)}
+    pairs = lambda df: {(r["id"], r["other"]): r["apart"] for r in df.collect()}
+    assert pairs(similarity.similar_grid(marks.drop("cluster"), None, 0.65)) == want and len(want) > 40
+    assert pairs(similarity.similar_grid(marks, None, 0.65)) == {p: n for p, n in want.items() if (p[0] - p[1]) % 4}
+    odd, even = marks.drop("cluster").where("id % 2 = 1"), marks.drop("cluster").where("id % 2 = 0")
+    assert pairs(similarity.similar_grid(odd, even, 0.65)) == {p: n for p, n in want.items() if p[0] % 2 and not p[1] % 2}
+    assert similarity.similar_grid(odd, even.where("false"), 0.65).count() == 0
+
+
 def test_shuffles_of_a_stage_are_deleted_with_its_write(spark):
     frame = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k")
     left = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
