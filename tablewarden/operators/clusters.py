@@ -1,9 +1,9 @@
 """Clusters of near duplicates: connected components over a similarity join, and votes within them.
 
-The similarity join of :mod:`similarity` gives every row one earlier partner, which is enough to drop copies but not to cluster:
-a row may join two groups that have nothing else in common.  So the components of these first links are taken, and only rows
-of different components become pairs again.  The members of a huge cluster, which share a component by then, are not paired with
-one another.
+A partner per row is enough to drop copies but not to cluster: a row may join two groups that have nothing else in common.  So the
+components of the links to the first rows under the ``leads`` are taken, and rows of different components are compared all with all,
+once.  The members of a huge cluster, most of which share a component by then, are not paired with one another; of the pairs found
+the likeliest of each row are verified first, and the others only if their ends are still apart.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import keyed
-from .similarity import earlier_similar, jaccard, set_marks, similar_grid, verified_sets, word_sets
+from .similarity import jaccard, led_similar, set_marks, settled_pairs, similar_grid, verified_sets, word_sets
 from .skew import lookup_join
 
 
@@ -48,9 +48,16 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def _bridges(marks: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``id, other`` that sizes and parity bits do not rule out and that lie in different components."""
+    """Pairs ``id, other, apart`` that sizes and parity bits do not rule out and that lie in different components."""
     marked = cut_lineage(lookup_join(marks.drop("leads"), roots, ["id"], "size").withColumn("cluster", F.coalesce("cluster", "id")))
-    return similar_grid(marked, marked, threshold).select("id", "other")
+    return similar_grid(marked, None, threshold)
+
+
+def _still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, other`` of the ``pairs`` whose ends are in different components."""
+    ends = lookup_join(pairs.select("id", "other"), roots.withColumnRenamed("cluster", "a"), ["id"], "other", stored=True)
+    ends = lookup_join(ends, roots.select(F.col("id").alias("other"), F.col("cluster").alias("b")), ["other"], "id", stored=True)
+    return ends.where(F.coalesce("a", "id") != F.coalesce("b", "other")).select("id", "other")
 
 
 def near_clusters(df: DataFrame, col: str, threshold: float = 0.65, row_id: str = "row_id") -> DataFrame:
@@ -61,9 +68,11 @@ def near_clusters(df: DataFrame, col: str, threshold: float = 0.65, row_id: str
     """
     items, copies = word_sets(df.where(F.col(row_id).isNotNull()), col, row_id)
     marks = set_marks(items)
-    links = cut_lineage(earlier_similar(items, marks, threshold).select("id", "other"))
-    bridges = cut_lineage(_bridges(marks, cut_lineage(connected(links)), threshold))
-    more = verified_sets(bridges, items, lambda a, b: jaccard(a, b) >= threshold)
+    links = led_similar(items, marks, threshold)
+    pairs = cut_lineage(_bridges(marks, cut_lineage(connected(links)), threshold))
+    links = cut_lineage(links.unionByName(settled_pairs(pairs, items, threshold)))
+    left = cut_lineage(_still_apart(pairs, cut_lineage(connected(links))))
+    more = verified_sets(left, items, lambda a, b: jaccard(a, b) >= threshold)
     return connected(links.unionByName(more).unionByName(copies.select("id", "other")))
 
 
